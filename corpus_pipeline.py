@@ -1,11 +1,56 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: reject poor documents, drop exact and near copies, mix the sources, pack the tokens.
 
-STAGES = []
+Each stage takes all that its predecessor kept, written as Parquet and read again. The first four return the columns of
+``documents``; the last returns a row for each packed piece. A document that mixing repeats is there as often, with the
+same id. SQL can't express the classifier, the sketches or the tokenizer: ``ORACLE_SQL`` is None.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.llm import exact_dup, mixing, near_dup, packing, quality_model
+from attestra.llm.shared import Workspace, small_batches
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the rows that the classifier takes for good; those of score 0.5 or more."""
+    ws = Workspace(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    with small_batches(spark):
+        give = quality_model.scorer(quality_model.fit(docs, labels, ws))
+        return ws.keep(docs.where(give(F.col("text")) >= 0.5), "good")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of those with equal texts."""
+    return exact_dup.without_copies(docs, Workspace(spark))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row of the smallest id of each near-duplicate group."""
+    ws = Workspace(spark)
+    dropped = ws.keep(near_dup.near_duplicates(docs, ws).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out rows so that each source has the same share of the text, in a new global order."""
+    return mixing.mixed(docs, Workspace(spark)).select("doc.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all rows into windows."""
+    return packing.packed(docs, Workspace(spark))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ws = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark)
+    for name, stage in STAGES:
+        docs = ws.keep(stage(spark, docs, sf_dir), name)
     return docs
