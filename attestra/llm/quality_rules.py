@@ -30,7 +30,7 @@ SHARE, STEPS = 0.75, 4
 FLOOR = (0.25, 0.05, 0.05, 0.10, 0.10)
 #: The median of chi-squared with 5 degrees of freedom scales the distances; texts beyond the cut are outliers. The
 #: statistics have heavier tails than normal ones, so the cut is far out.
-MEDIAN, CUT = 4.3515, 60.0
+MEDIAN, CUT = 4.3515, 200.0
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
