@@ -1,7 +1,7 @@
 """A quality classifier on supervised subword embeddings.
 
-Hashed words and byte n-grams each have a learned vector; a document is the mean of its features' vectors, and a softmax
-layer gives the class. It is trained by stochastic gradient descent in numpy. The output is linear in the mean, so for
+Hashed words and byte n-grams each have a learned vector, and so have two marks for words that repeat what came before;
+a document is the mean of its features' vectors, and a softmax layer gives the class. It is trained by stochastic gradient descent in numpy. The output is linear in the mean, so for
 scoring each feature's vector shrinks to one number and a document's score needs one table lookup a feature.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, small_batches
-from .words import mix, word_hashes
+from .words import mix, shingle_hashes, word_hashes
 
 #: The training sample's expected number of documents at most; all labelled ones up to that number.
 SAMPLE = 3000
@@ -26,8 +26,14 @@ _PIECE = 1 << 18
 
 
 def features(text: bytes) -> np.ndarray:
-    """A bucket for each word and each byte n-gram of the whole text."""
-    out = [(word_hashes(text, fold=False) >> _SHIFT).astype(np.int32)]
+    """A bucket for each word, each byte n-gram, and each word that repeats the last one or a run of three words."""
+    words = word_hashes(text, fold=False)
+    runs = shingle_hashes(words, 3)
+    again = np.ones(len(runs), bool)
+    again[np.unique(runs, return_index=True)[1]] = False
+    out = [(words >> _SHIFT).astype(np.int32)]
+    for mark, n in ((1, np.count_nonzero(words[1:] == words[:-1])), (2, np.count_nonzero(again))):
+        out.append(np.full(n, int(mix(np.array([mark], np.uint64))[0] >> _SHIFT), np.int32))
     raw = np.frombuffer(text, np.uint8)
     for at in range(0, len(raw), _PIECE):  # pieces overlap by what an n-gram needs
         buf = raw[at : at + _PIECE + max(GRAMS) - 1].astype(np.uint64)
