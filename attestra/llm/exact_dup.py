@@ -52,6 +52,7 @@ def advance(spark: SparkSession, log: str, state: str, out: str) -> None:
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # else each of many small stores holds 4 MB at least
     ):
         query = groups.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -84,7 +85,7 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, digest: Callable[[Column],
 
     hits = ws.keep(groups.where("n > 1").select("digest"), "hits")
     texts = located.select(digest(text).alias("digest"), text.alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"), "file", "row")
-    exact = texts.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
+    exact = texts.join(hits.hint("merge"), "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
     exact = ws.keep(exact.select("digest", F.sha2("text", 256).alias("sha"), "n", "keep"), "checked")
     unlike = exact.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     if unlike.limit(1).count():  # texts that differ share a digest: they part by their full SHA-256
