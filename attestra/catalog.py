@@ -1,10 +1,8 @@
-"""All queries of the library by name, each with its SQL twin."""
+"""All queries of the library by name, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import answer, control, govern, ingest, publish, retrieve, streams  # noqa: F401  each registers its queries
+from .plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
