@@ -1 +1,156 @@
-"""Queries."""
+"""Queries over retrieval: embeddings, lexical scores, ranks, fusion, filters, reranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import retrieve
+from ..sources.tables import table
+from .base import derived, query, twin
+
+TOKENS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
+TOP, CANDIDATES = 5, retrieve.candidate_count(5)
+DIM = 32
+
+POSTINGS_SQL = f"p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY 1, 2)"
+QUERY_SQL = f"q AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS token FROM benchmark) GROUP BY 1, 2)"
+OVERLAP_SQL = f"{POSTINGS_SQL}, {QUERY_SQL}, o AS (SELECT query_id, doc_id, sum(least(tf, qtf))::DOUBLE AS score FROM p JOIN q USING (token) GROUP BY 1, 2)"
+
+
+def ranked_sql(name: str, source: str, k: int, digits: int = 6) -> str:
+    return f"{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {digits}) DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k})"
+
+
+def _postings(spark, sf):
+    return retrieve.term_counts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _queries(spark, sf):
+    return retrieve.term_counts(table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+
+
+@query("term_counts", f"WITH {POSTINGS_SQL} SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS tokens, max(tf) AS most FROM p GROUP BY doc_id")
+def term_counts(spark, sf):
+    return _postings(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"))
+
+
+@query("overlap_topk", f"WITH {OVERLAP_SQL}, {ranked_sql('r', 'o', TOP)} SELECT query_id, doc_id, score, rank::INT AS rank FROM r")
+def overlap_topk(spark, sf):
+    return retrieve.ranked(retrieve.overlap_scores(_postings(spark, sf), _queries(spark, sf)), TOP, F.col("doc_id"))
+
+
+BM25_SQL = f"""{POSTINGS_SQL}, {QUERY_SQL}, l AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1),
+  c AS (SELECT count(*)::DOUBLE AS docs, avg(length) AS mean FROM l), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+  b AS (SELECT query_id, p.doc_id, sum(qtf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+        FROM q JOIN p USING (token) JOIN d USING (token) JOIN l ON l.doc_id = p.doc_id, c GROUP BY 1, 2)"""
+
+
+@query("bm25_topk", f"WITH {BM25_SQL}, {ranked_sql('r', 'b', TOP)} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r")
+def bm25_topk(spark, sf):
+    p = _postings(spark, sf)
+    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    return retrieve.ranked(retrieve.bm25_scores(p, lengths, _queries(spark, sf)), TOP, F.col("doc_id")).withColumn("score", F.round("score", 6))
+
+
+BUCKET_SQL = f"('0x' || substr(sha256(token), 1, 8))::BIGINT % {DIM}"
+SIGN_SQL = "CASE WHEN ('0x' || substr(sha256(token), 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END"
+PLACES_SQL = f"e AS (SELECT doc_id, {BUCKET_SQL} AS i, sum(tf * {SIGN_SQL})::DOUBLE AS v FROM p GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM e GROUP BY 1)"
+
+
+@query("hash_embedding", f"WITH {POSTINGS_SQL}, {PLACES_SQL} SELECT doc_id, i::INT AS place, round(v / n, 6) AS value FROM e JOIN n USING (doc_id) WHERE v <> 0")
+def hash_embedding(spark, sf):
+    v = retrieve.hash_embedding(table(spark, sf, "documents"), "doc_id", "text", DIM)
+    return v.select("doc_id", F.posexplode("vector").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
+@query(
+    "dense_topk",
+    """
+    WITH s AS (
+      SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    SELECT query_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 10""",
+)
+def dense_topk(spark, sf):
+    e = table(spark, sf, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return retrieve.nearest(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10)
+
+
+@query("vector_checks", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm, len(embedding) AS dimension, true AS finite FROM embeddings")
+def vector_checks(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").cast("long").alias("dimension"), vectors.finite(F.col("embedding")).alias("finite"))
+
+
+ROWS = """SELECT doc_id, text, 'n' || cast(doc_id % 211 AS string) AS note_id, doc_id % 3 AS version_id, 1 AS generation,
+  CASE WHEN doc_id % 10 < 6 THEN 'VERIFIED' WHEN doc_id % 10 = 6 THEN 'USER_ASSERTED' WHEN doc_id % 10 = 7 THEN 'OPINION' ELSE 'OUTDATED' END AS status,
+  CASE WHEN doc_id % 4 < 2 THEN 'PUBLIC' WHEN doc_id % 4 = 2 THEN 'RESTRICTED' ELSE 'PRIVATE' END AS sensitivity,
+  CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1000 * (doc_id % 50) END AS valid_from, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 20000 + 1000 * (doc_id % 40) END AS valid_to,
+  CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 15000 + 1000 * (doc_id % 60) END AS freshness_at FROM {documents}"""
+ALLOWED_SQL = """status IN ('VERIFIED', 'USER_ASSERTED') AND sensitivity IN ('PUBLIC', 'RESTRICTED') AND generation = 1
+  AND (valid_from = 0 OR valid_from <= 30000) AND (valid_to = 0 OR valid_to >= 30000) AND (freshness_at = 0 OR freshness_at >= 30000)"""
+
+
+def _allowed(spark, sf):
+    return derived(spark, sf, ROWS).where(retrieve.allowed(F.lit(30000), 1, ("VERIFIED", "USER_ASSERTED"), ("PUBLIC", "RESTRICTED"), False))
+
+
+@query("hard_filter", f"SELECT doc_id, note_id, version_id, status, sensitivity FROM ({twin(ROWS)}) WHERE {ALLOWED_SQL}")
+def hard_filter(spark, sf):
+    return _allowed(spark, sf).select("doc_id", "note_id", "version_id", "status", "sensitivity")
+
+
+POINTERS = "SELECT 'n' || cast(doc_id % 211 AS string) AS note_id, min(doc_id % 3) AS version_id, 1 AS generation FROM {documents} GROUP BY 1"
+
+
+@query("current_version_filter", f"SELECT doc_id, r.note_id, r.version_id FROM ({twin(ROWS)}) r JOIN ({twin(POINTERS)}) p ON r.note_id = p.note_id AND r.version_id = p.version_id AND r.generation = p.generation")
+def current_version_filter(spark, sf):
+    return retrieve.current_only(derived(spark, sf, ROWS), derived(spark, sf, POINTERS)).select("doc_id", "note_id", "version_id")
+
+
+HYBRID_SQL = f"""
+  WITH a AS (SELECT * FROM ({twin(ROWS)}) WHERE {ALLOWED_SQL}), {POSTINGS_SQL.replace("FROM documents", "FROM a")}, {QUERY_SQL}, {PLACES_SQL},
+  qe AS (SELECT query_id, {BUCKET_SQL} AS i, sum(qtf * {SIGN_SQL})::DOUBLE AS v FROM q GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qe GROUP BY 1),
+  dense AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM qn q CROSS JOIN (SELECT doc_id FROM a) d LEFT JOIN
+    (SELECT query_id, doc_id, sum((qe.v / qn.n) * (e.v / n.n)) AS score FROM qe JOIN qn USING (query_id) JOIN e USING (i) JOIN n USING (doc_id) GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
+  lexical AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM qn q CROSS JOIN (SELECT doc_id FROM a) d LEFT JOIN
+    (SELECT query_id, doc_id, sum(least(tf, qtf))::DOUBLE AS score FROM p JOIN q USING (token) GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
+  {ranked_sql("r1", "dense", CANDIDATES)}, {ranked_sql("r2", "lexical", CANDIDATES)},
+  f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM r1 UNION ALL SELECT query_id, doc_id, rank FROM r2) GROUP BY 1, 2),
+  {ranked_sql("c", "f", CANDIDATES, 12)},
+  k AS (SELECT c.query_id, c.doc_id, c.score FROM c JOIN a USING (doc_id) JOIN ({twin(POINTERS)}) g ON a.note_id = g.note_id AND a.version_id = g.version_id AND a.generation = g.generation)"""
+
+
+def _candidates(spark, sf):
+    """Filter, rank both ways, fuse, cut; then what isn't current goes."""
+    rows = _allowed(spark, sf)
+    docs, queries = rows.select("doc_id", "text"), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    terms = _queries(spark, sf)
+    lexical = retrieve.with_unscored(retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id", "text"), terms), docs, queries, CANDIDATES)
+    vectors_ = retrieve.hash_embedding(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "id")
+    dense = retrieve.nearest(vectors_, retrieve.hash_embedding(queries, "query_id", "text", DIM), CANDIDATES)
+    best = retrieve.fused([dense, retrieve.ranked(lexical, CANDIDATES, F.col("doc_id"))], CANDIDATES)
+    named = best.join(rows.select("doc_id", "note_id", "version_id", "generation"), "doc_id")
+    return retrieve.current_only(named, derived(spark, sf, POINTERS)).select("query_id", "doc_id", "score")
+
+
+@query("hybrid_retrieval", HYBRID_SQL + ", " + ranked_sql("t", "k", TOP, 12) + " SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank FROM t")
+def hybrid_retrieval(spark, sf):
+    return retrieve.ranked(_candidates(spark, sf), TOP, F.col("doc_id"), 12).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "rerank",
+    HYBRID_SQL
+    + """, v AS (SELECT k.query_id, k.doc_id, k.score, coalesce(l.score, 0) AS overlap FROM k LEFT JOIN lexical l ON l.query_id = k.query_id AND l.doc_id = k.doc_id),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, round(score, 12) DESC, doc_id) AS rank FROM v)
+    SELECT query_id, doc_id, overlap, rank::INT AS rank FROM t WHERE rank <= 5""".replace("k.score, coalesce", "k.score AS score, coalesce"),
+)
+def rerank(spark, sf):
+    hits = _candidates(spark, sf)
+    docs = table(spark, sf, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    overlap = retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id", "text"), _queries(spark, sf))
+    return retrieve.reranked(hits, overlap, TOP).select("query_id", "doc_id", "overlap", "rank")
