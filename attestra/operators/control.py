@@ -133,7 +133,7 @@ def lease_decisions(requests: DataFrame, records: DataFrame) -> DataFrame:
         .when(c("status") == "SUCCEEDED", "REPLAY")
         .when(c("status") == "UNKNOWN", "RECONCILE")
         .when(c("status") == "FAILED", "TERMINAL")
-        .when(F.coalesce(c("lease_expires_at") > c("at"), F.lit(False)), "BUSY")
+        .when(F.coalesce(c("lease_expires_at") > c("asked_at"), F.lit(False)), "BUSY")
         .otherwise("TAKEN_OVER")
     )
     rows = rows.withColumn("outcome", outcome)

@@ -1 +1,142 @@
-"""Queries."""
+"""Queries over curated notes, chunks and index generations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import publish
+from ..sources.tables import table
+from .base import derived, query, twin
+
+CLAIMS = """SELECT doc_id, 'claim_' || cast(doc_id AS string) AS claim_id, 'n' || cast(doc_id % 97 AS string) AS note_id, doc_id AS seq, source AS subject, substr(text, 1, 30) AS predicate, substr(text, 5, 90) AS value,
+  CASE doc_id % 5 WHEN 0 THEN 'FACT' WHEN 1 THEN 'CODE_BEHAVIOR' WHEN 2 THEN 'USER_EXPERIENCE' ELSE 'DEFINITION' END AS claim_type,
+  CASE doc_id % 6 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'USER_ASSERTED' WHEN 2 THEN 'OPINION' WHEN 3 THEN 'REJECTED' ELSE 'VERIFIED' END AS status,
+  CASE doc_id % 8 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'RESTRICTED' ELSE 'PUBLIC' END AS sensitivity,
+  CASE WHEN doc_id % 4 <> 0 THEN 100 + doc_id % 50 END AS valid_from, CASE WHEN doc_id % 3 <> 0 THEN 1000 + doc_id % 70 END AS valid_to, CASE WHEN doc_id % 7 = 0 THEN 500 + doc_id % 30 END AS freshness_at,
+  CASE WHEN doc_id % 31 = 0 THEN 1 END AS deleted_at FROM {documents}"""
+LIVE_SQL = f"c AS (SELECT * FROM ({twin(CLAIMS)}) WHERE deleted_at IS NULL AND status IN ('VERIFIED', 'USER_ASSERTED', 'OPINION'))"
+_INLINE = r"regexp_replace(trim(regexp_replace(regexp_replace({0}, '[\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g')), '([\\`*_{{}}\[\]<>#|])', '\\\1', 'g')"
+
+
+def _live(spark, sf):
+    return publish.publishable_claims(derived(spark, sf, CLAIMS))
+
+
+@query("active_claims", f"WITH {LIVE_SQL} SELECT claim_id, note_id, status, sensitivity FROM c")
+def active_claims(spark, sf):
+    return _live(spark, sf).select("claim_id", "note_id", "status", "sensitivity")
+
+
+def sentence_sql() -> str:
+    return "'- ' || " + _INLINE.format("subject") + " || ' — ' || " + _INLINE.format("predicate") + " || ': ' || " + _INLINE.format("value") + " || ' [^' || claim_id || ']'"
+
+
+@query("claim_sentence", f"WITH {LIVE_SQL} SELECT claim_id, {sentence_sql()} AS sentence FROM c")
+def claim_sentence(spark, sf):
+    return _live(spark, sf).select("claim_id", publish.claim_sentence(F.col("claim_id"), F.col("subject"), F.col("predicate"), F.col("value")).alias("sentence"))
+
+
+@query("curation_groups", f"WITH {LIVE_SQL} SELECT note_id, array_to_string(list_transform(string_split(lower(replace(claim_type, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS heading, min(seq) AS first_seq, count(*) AS claims FROM c GROUP BY note_id, claim_type")
+def curation_groups(spark, sf):
+    return publish.curation_groups(_live(spark, sf))
+
+
+@query("plain_title", r"SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120), ''), 'Curated knowledge') AS title FROM documents")
+def plain_title(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.plain_title(F.col("text")).alias("title"))
+
+
+SECTIONS = "SELECT doc_id AS note_id, 'v' || cast(doc_id AS string) AS version_id, source AS title, lang AS heading, text FROM {documents}"
+def _chunks(spark, sf):
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.substring(x, 1, 400))
+    return publish.chunks(derived(spark, sf, SECTIONS).withColumn("lines", lines))
+
+
+@query("chunk_pack")
+def chunk_pack(spark, sf):
+    """A fold in one row; a brute-force fold in the tests stands in for SQL."""
+    return _chunks(spark, sf).select("note_id", "ordinal", "lines", F.length("text").alias("chars"), "chunk_id")
+
+
+@query("chunk_counts", "SELECT doc_id AS note_id, true AS covered FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 0")
+def chunk_counts(spark, sf):
+    """Whether a note's chunks hold all its lines, overlaps apart."""
+    source = derived(spark, sf, SECTIONS).select("note_id", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("want")).where("want > 0")
+    got = _chunks(spark, sf).groupBy("note_id").agg(F.sum("lines").alias("got"))
+    return source.join(got, "note_id", "left").select("note_id", (F.coalesce("got", F.lit(0)) >= F.col("want")).alias("covered"))
+
+
+META_SQL = f"WITH {LIVE_SQL}, m AS (SELECT sha256(note_id || '|' || claim_type) AS chunk_id, * FROM c)"
+
+
+@query(
+    "chunk_metadata",
+    META_SQL
+    + """ SELECT chunk_id, CASE max(CASE status WHEN 'VERIFIED' THEN 0 WHEN 'USER_ASSERTED' THEN 1 ELSE 2 END) WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'USER_ASSERTED' ELSE 'OPINION' END AS quality_status,
+      CASE max(CASE sensitivity WHEN 'PUBLIC' THEN 0 WHEN 'RESTRICTED' THEN 1 ELSE 2 END) WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'RESTRICTED' ELSE 'PRIVATE' END AS sensitivity,
+      max(valid_from)::BIGINT AS valid_from, min(valid_to)::BIGINT AS valid_to, min(freshness_at)::BIGINT AS freshness_at, count(*) AS claims FROM m GROUP BY chunk_id""",
+)
+def chunk_metadata(spark, sf):
+    return publish.chunk_metadata(_live(spark, sf).withColumn("chunk_id", F.sha2(F.concat_ws("|", "note_id", "claim_type"), 256)))
+
+
+@query("coverage_gaps", f"WITH {LIVE_SQL} SELECT claim_id, 'missing' AS gap FROM c WHERE doc_id % 41 = 0 UNION ALL SELECT DISTINCT 'ghost_' || doc_id, 'unknown' FROM documents WHERE doc_id % 43 = 0")
+def coverage_gaps(spark, sf):
+    live = _live(spark, sf)
+    ghosts = table(spark, sf, "documents").where("doc_id % 43 = 0").select(F.concat(F.lit("ghost_"), F.col("doc_id").cast("string")).alias("claim_id"))
+    return publish.coverage_gaps(live, live.where("doc_id % 41 <> 0").select("claim_id").unionByName(ghosts))
+
+
+EXPECTED = "SELECT cast(doc_id AS string) AS chunk_id, doc_id % 89 AS note_id, doc_id % 3 AS version_id, substr(text, 1, 20) AS content_hash FROM {documents} WHERE doc_id % 10 <> 0"
+ACTUAL = "SELECT cast(doc_id AS string) AS chunk_id, doc_id % 89 AS note_id, CASE WHEN doc_id % 17 = 0 THEN 9 ELSE doc_id % 3 END AS version_id, substr(text, 1, CASE WHEN doc_id % 23 = 0 THEN 5 ELSE 20 END) AS content_hash FROM {documents} WHERE doc_id % 13 <> 0"
+DRIFT_SQL = f"""d AS (SELECT coalesce(e.chunk_id, a.chunk_id) AS chunk_id, coalesce(e.note_id, a.note_id) AS note_id, CASE WHEN a.chunk_id IS NULL THEN 'missing' WHEN e.chunk_id IS NULL THEN 'unexpected' ELSE 'changed' END AS drift
+  FROM ({twin(EXPECTED)}) e FULL JOIN ({twin(ACTUAL)}) a ON e.chunk_id = a.chunk_id WHERE a.chunk_id IS NULL OR e.chunk_id IS NULL OR e.version_id <> a.version_id OR e.content_hash <> a.content_hash)"""
+
+
+def _drift(spark, sf):
+    return publish.probe_drift(derived(spark, sf, EXPECTED), derived(spark, sf, ACTUAL))
+
+
+@query("probe_drift", f"WITH {DRIFT_SQL} SELECT chunk_id, drift FROM d")
+def probe_drift(spark, sf):
+    return _drift(spark, sf)
+
+
+NOTES = "SELECT DISTINCT doc_id % 89 AS note_id, doc_id % 89 % 11 <> 0 AS vault_ok FROM {documents}"
+
+
+@query(
+    "reconcile_findings",
+    f"""WITH {DRIFT_SQL}, n AS (SELECT note_id, count(*) AS drift FROM d WHERE note_id % 2 = 0 GROUP BY 1)
+    SELECT note_id, coalesce(drift, 0) AS drift, CASE WHEN NOT vault_ok THEN 'BLOCKED' WHEN drift IS NULL THEN 'HEALTHY' ELSE 'REPAIRABLE' END AS finding,
+      CASE WHEN NOT vault_ok THEN 'vault_verification_failed' WHEN drift IS NOT NULL THEN 'index_drift' END AS reason FROM ({twin(NOTES)}) LEFT JOIN n USING (note_id)""",
+)
+def reconcile_findings(spark, sf):
+    by_note = _drift(spark, sf).groupBy((F.col("chunk_id").cast("long") % 89).alias("note_id")).agg(F.count("*").alias("drift")).where("note_id % 2 = 0")
+    return publish.reconcile(derived(spark, sf, NOTES), by_note, repair=False)
+
+
+@query("index_upsert", f"WITH e AS ({twin(EXPECTED)}), a AS ({twin(ACTUAL)}) SELECT * FROM a UNION ALL SELECT * FROM e WHERE chunk_id NOT IN (SELECT chunk_id FROM a)")
+def index_upsert(spark, sf):
+    return publish.upsert(derived(spark, sf, EXPECTED), derived(spark, sf, ACTUAL))
+
+
+@query("index_delete", f"SELECT * FROM ({twin(EXPECTED)}) WHERE chunk_id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE doc_id % 6 = 1)")
+def index_delete(spark, sf):
+    ids = table(spark, sf, "documents").where("doc_id % 6 = 1").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return publish.delete(derived(spark, sf, EXPECTED), ids)
+
+
+GEN_NOTES = "SELECT c_custkey AS note_id, c_custkey % 3 AS generation, CASE WHEN c_custkey % 20 = 0 THEN 1 END AS deleted_at FROM {customer}"
+JOBS = "SELECT c_custkey AS note_id, 1 AS generation, 'ACTIVE_INDEXED' AS status FROM {customer} UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 20 = 0 THEN 'FAILED' ELSE 'INDEXED' END FROM {customer}"
+
+
+@query(
+    "generation_switch",
+    f"""WITH n AS (SELECT * FROM ({twin(GEN_NOTES)}) WHERE generation = 1 AND deleted_at IS NULL), j AS ({twin(JOBS)}),
+    r AS (SELECT note_id, EXISTS (SELECT 1 FROM j WHERE j.note_id = n.note_id AND generation = 1 AND status = 'ACTIVE_INDEXED') AND EXISTS (SELECT 1 FROM j WHERE j.note_id = n.note_id AND generation = 2 AND status = 'INDEXED') AS ready FROM n)
+    SELECT note_id, ready, (SELECT bool_and(ready) FROM r) AS switched, CASE WHEN (SELECT bool_and(ready) FROM r) THEN 2 ELSE 1 END AS generation FROM r""",
+)
+def generation_switch(spark, sf):
+    return publish.generation_switch(derived(spark, sf, GEN_NOTES), derived(spark, sf, JOBS), 1, 2, "ACTIVE_INDEXED", "INDEXED")

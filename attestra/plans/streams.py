@@ -1 +1,39 @@
-"""Queries."""
+"""Streaming queries run to their end over the tables, so that their results can be compared with batch SQL."""
+
+from __future__ import annotations
+
+from ..streaming import events, ingest
+from .base import query
+
+WINDOWS_SQL = "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query("event_tumbling", WINDOWS_SQL)
+def event_tumbling(spark, sf):
+    return events.tumbling(spark, sf)
+
+
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL '30 minutes', true) AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new_::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS events FROM s GROUP BY user_id, n""",
+)
+def event_sessions(spark, sf):
+    return events.sessions(spark, sf)
+
+
+@query("stream_versions", "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def stream_versions(spark, sf):
+    return ingest.versions(spark, sf)
+
+
+@query(
+    "lease_stream",
+    """WITH RECURSIVE r AS (SELECT user_id, epoch_ms(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    f AS (SELECT user_id, event_id, i, t + 3600000 AS lease, 1 AS attempt, 'ACQUIRED' AS outcome FROM r WHERE i = 1
+      UNION ALL SELECT r.user_id, r.event_id, r.i, CASE WHEN f.lease > t THEN f.lease ELSE t + 3600000 END, CASE WHEN f.lease > t THEN attempt ELSE attempt + 1 END, CASE WHEN f.lease > t THEN 'BUSY' ELSE 'TAKEN_OVER' END FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
+    SELECT user_id, event_id, outcome, attempt::BIGINT AS attempt FROM f""",
+)
+def lease_stream(spark, sf):
+    return events.leases(spark, sf)
