@@ -116,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample: int = SAMPLE)
 
 def scorer(model: DataFrame):
     """A column function text -> score. The model goes out as one number a bucket: half a megabyte."""
-    stored = np.load(io.BytesIO(bytes(model.first()["model"])))
-    table, constant = scalar_table(stored)
+    row = model.first()  # none without any labelled text: then the untrained model gives 0.5
+    table, constant = scalar_table(np.load(io.BytesIO(bytes(row["model"]))) if row else train([], np.empty(0)))
     shared = model.sparkSession.sparkContext.broadcast((table.astype(np.float32), constant))
 
     @F.pandas_udf("double")
