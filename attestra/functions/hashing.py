@@ -32,8 +32,3 @@ def candidate_id(source_version: Column, position: Column) -> Column:
 def item_operation_id(run: Column, item: Column) -> Column:
     return F.concat(F.lit("ingop_"), sha256(F.concat_ws(":", run, item, F.lit("1"))))
 
-
-def canonical_json(*fields: Column) -> Column:
-    """Compact JSON of the named columns with keys in alphabetical order and nulls as null."""
-    by_name = {c._jc.toString().split(" AS ")[-1].strip("`"): c for c in fields}
-    return F.to_json(F.struct(*(by_name[k] for k in sorted(by_name))), {"ignoreNullFields": "false"})
