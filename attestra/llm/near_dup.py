@@ -219,3 +219,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, each: i
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark), size=2)
+
+
+#: Exact on all rows: linked sets share one of the rarest fifth of their shingles, so only such pairs are counted out.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) = 1 THEN a ELSE list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT sh, count(*) AS df FROM s GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT doc_id, sh, n, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), sh) AS k FROM s JOIN n USING (doc_id) LEFT JOIN f USING (sh)),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) AND a.k <= a.n - (4 * a.n + 4) // 5 + 1 AND b.k <= b.n - (4 * b.n + 4) // 5 + 1),
+l AS (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND b.sh = a.sh GROUP BY x, y, nx, ny HAVING 100 * count(*) >= 80 * (nx + ny - count(*))),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id, min(root) = d.doc_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n
+"""

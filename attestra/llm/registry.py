@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": near_dup.OP1_SQL,
     "op2_exact_duplicates": exact_dup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_tool_calls": tool_calls.OP9_SQL,
