@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's name, so that other readers than Spark's find the same place."""
+    if "://" in path:
+        return path
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -26,7 +35,7 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_attestra_work", None) or tempfile.mkdtemp(prefix="spark-attestra-")
         spark._attestra_work = base
-    return f"{base.rstrip('/')}/attestra-{uuid.uuid4().hex}"
+    return f"{_qualified(spark, base).rstrip('/')}/attestra-{uuid.uuid4().hex}"
 
 
 class Workspace:
