@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieve import CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES
+
 # The gate's thresholds.
 LEAST_PRECISION, LEAST_RECALL = 0.95, 0.90
 
@@ -42,6 +44,17 @@ def rendered(claims: DataFrame) -> DataFrame:
     return claims.join(marks, ["answer_id", "position"], "left").select("answer_id", "position", F.concat_ws(" ", "text", "marks").alias("line"))
 
 
+def planned(requests: DataFrame) -> DataFrame:
+    """``requests(request_id, scope, asked_scope, version, asked_version, top_k, current)`` -> what retrieval is asked for.
+
+    What was asked for explicitly wins over what planning proposed. Opinions count for personal questions alone.
+    """
+    scope = F.coalesce("asked_scope", "scope")
+    statuses = F.when(scope == "PERSONAL", "OPINION,USER_ASSERTED,VERIFIED").when(scope == "MIXED", "USER_ASSERTED,VERIFIED").otherwise("VERIFIED")
+    candidates = F.least(F.lit(MOST_CANDIDATES), F.greatest(CANDIDATES_PER_RESULT * F.col("top_k"), F.lit(LEAST_CANDIDATES)))
+    return requests.select("request_id", scope.alias("scope"), F.coalesce("asked_version", "version").alias("version"), statuses.alias("statuses"), candidates.alias("candidates"), (~F.col("current")).alias("allow_stale"))
+
+
 def citation_link(path: Column, headings: Column) -> Column:
     """A wiki link without the file's suffix, headings joined, special characters escaped."""
     escape = lambda c: F.regexp_replace(c, r"([|\]#])", r"\\$1")

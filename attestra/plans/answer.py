@@ -104,3 +104,15 @@ def purge_answers(spark, sf):
 def sse_frames(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", answer.sse_frame(F.col("turn") + 1, F.col("role"), F.to_json(F.struct(F.length("text").alias("n")))).alias("frame"))
+
+
+PLANS = "SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 0 THEN 'PERSONAL' WHEN 1 THEN 'MIXED' ELSE 'PUBLIC' END AS scope, CASE WHEN o_orderkey % 5 = 0 THEN 'PUBLIC' END AS asked_scope, o_orderstatus AS version, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS asked_version, o_orderkey % 120 + 1 AS top_k, o_orderkey % 2 = 0 AS current FROM {orders}"
+
+
+@query(
+    "query_plan",
+    f"""WITH p AS (SELECT *, coalesce(asked_scope, scope) AS s FROM ({twin(PLANS)}))
+    SELECT request_id, s AS scope, coalesce(asked_version, version) AS version, CASE s WHEN 'PERSONAL' THEN 'OPINION,USER_ASSERTED,VERIFIED' WHEN 'MIXED' THEN 'USER_ASSERTED,VERIFIED' ELSE 'VERIFIED' END AS statuses, least(500, greatest(6 * top_k, 30)) AS candidates, NOT current AS allow_stale FROM p""",
+)
+def query_plan(spark, sf):
+    return answer.planned(derived(spark, sf, PLANS))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import control
+from ..functions import times
+from ..operators import checks, control
 from ..sources.tables import table
 from .base import derived, query, twin
 
@@ -103,3 +104,43 @@ def lineage_reach(spark, sf):
     edges = derived(spark, sf, EDGES)
     sql = "WITH RECURSIVE r(node, depth) AS (SELECT 'region:1', 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN {edges} ON src = node) SELECT split(node, ':')[0] AS kind, depth, count(*) AS nodes FROM r GROUP BY 1, 2"
     return spark.sql(sql, edges=edges)
+
+
+@query("unique_violations", "SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 AND user_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark, sf):
+    return checks.repeated_keys(table(spark, sf, "events"), ["user_id", "event_type"], F.col("value") > 50)
+
+
+@query("foreign_key_violations", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
+def foreign_key_violations(spark, sf):
+    return checks.orphans(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer").where("c_acctbal > 0"), "c_custkey")
+
+
+@query(
+    "check_violations",
+    """SELECT 'positive' AS "check", count(*) FILTER (l_quantity <= 10) AS n FROM lineitem UNION ALL SELECT 'unit_score', count(*) FILTER (NOT l_discount * 12 BETWEEN 0 AND 1) FROM lineitem
+    UNION ALL SELECT 'digest', count(*) FILTER (l_orderkey % 3 = 0) FROM lineitem UNION ALL SELECT 'typed_id', count(*) FILTER (l_orderkey % 2 = 0) FROM lineitem""",
+)
+def check_violations(spark, sf):
+    line = table(spark, sf, "lineitem")
+    digest = F.concat(F.sha2(F.col("l_orderkey").cast("string"), 256), F.when(F.col("l_orderkey") % 3 == 0, "x").otherwise(""))
+    id_ = F.concat(F.lit("claim_"), F.repeat(F.lit("0"), 26), F.when(F.col("l_orderkey") % 2 == 0, "U").otherwise(""))
+    return checks.broken(line, {"positive": F.col("l_quantity") > 10, "unit_score": (F.col("l_discount") * 12).between(0, 1), "digest": checks.is_sha256(digest), "typed_id": checks.is_typed_id(id_, "claim")})
+
+
+REFERENCES = "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'part' ELSE 'supplier' END AS type, cast(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey * 2 ELSE l_suppkey * 3 END AS string) AS id FROM {lineitem}"
+
+
+@query("entity_exists", f"SELECT type, id FROM ({twin(REFERENCES)}) r WHERE (type = 'part' AND id IN (SELECT p_partkey::VARCHAR FROM part)) OR (type = 'supplier' AND id IN (SELECT s_suppkey::VARCHAR FROM supplier))")
+def entity_exists(spark, sf):
+    return checks.entity_exists(derived(spark, sf, REFERENCES), {"part": (table(spark, sf, "part"), "p_partkey"), "supplier": (table(spark, sf, "supplier"), "s_suppkey")})
+
+
+@query("next_numbers", "SELECT o_custkey, max(o_orderkey) + 1 AS next_number FROM orders GROUP BY 1")
+def next_numbers(spark, sf):
+    return checks.next_numbers(table(spark, sf, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("event_times", "SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS utc_text FROM events")
+def event_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", times.utc_millis(F.col("ts")).alias("millis"), times.utc_text(F.col("ts")).alias("utc_text"))

@@ -30,7 +30,7 @@ def stream_versions(spark, sf):
 
 @query(
     "lease_stream",
-    """WITH RECURSIVE r AS (SELECT user_id, epoch_ms(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    """WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f AS (SELECT user_id, event_id, i, t + 3600000 AS lease, 1 AS attempt, 'ACQUIRED' AS outcome FROM r WHERE i = 1
       UNION ALL SELECT r.user_id, r.event_id, r.i, CASE WHEN f.lease > t THEN f.lease ELSE t + 3600000 END, CASE WHEN f.lease > t THEN attempt ELSE attempt + 1 END, CASE WHEN f.lease > t THEN 'BUSY' ELSE 'TAKEN_OVER' END FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
     SELECT user_id, event_id, outcome, attempt::BIGINT AS attempt FROM f""",
