@@ -75,3 +75,8 @@ def vault_path(path: Column) -> Column:
     devices = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
     bad = F.exists(parts, lambda s: s.isin("", ".", "..") | s.endswith(" ") | s.endswith(".") | s.contains(":") | F.lower(F.split(s, r"\.")[0]).isin(devices))
     return F.when(~bad & ~p.startswith("/") & F.lower(p).endswith(".md"), p)
+
+
+def source_uri(base: Column, path: Column) -> Column:
+    """The path's segments percent-encoded, blanks included, behind a base."""
+    return F.concat(base, F.array_join(F.transform(F.split(path, "/"), lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))), "/"))

@@ -96,3 +96,16 @@ def line_blocks(docs: DataFrame) -> DataFrame:
     """A block a line: ``doc_id, ordinal, anchor, text_hash, character_count``."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where("text <> ''")
     return lines.select("doc_id", "ordinal", F.concat(F.lit("paragraph:"), (F.col("ordinal") + 1).cast("string")).alias("anchor"), F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("character_count"))
+
+
+def known_sources(locations: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:
+    """Live locations with their source's current and latest version: what a plan compares a scan with.
+
+    ``locations(source_id, path_key, deleted_at)``, ``sources(source_id, current_version_id, deleted_at)``,
+    ``versions(version_id, source_id, version_number, content_hash, status)``.
+    """
+    live = locations.where("deleted_at is null").drop("deleted_at").join(sources.where("deleted_at is null").drop("deleted_at"), "source_id")
+    current = versions.select(F.col("version_id").alias("current_version_id"), F.col("content_hash").alias("current_hash"))
+    last = versions.groupBy("source_id").agg(F.max(F.struct("version_number", "content_hash", "status")).alias("v"))
+    rows = live.join(current, "current_version_id", "left").join(last, "source_id", "left")
+    return rows.select("source_id", "path_key", "current_hash", F.col("v.content_hash").alias("latest_hash"), F.col("v.status").alias("latest_status"), F.col("v.version_number").alias("latest_number"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_id, sha256
-from ..functions.text import safe_inline
+from ..functions.text import plain_title, safe_inline
 
 # The chunker's version and sizes in characters, and the order of statuses and sensitivities.
 CHUNKER, TARGET, OVERLAP, HARD_LIMIT = "markdown-v1", 900, 120, 1600
@@ -33,6 +33,43 @@ def curation_groups(claims: DataFrame) -> DataFrame:
     return claims.groupBy("note_id", "claim_type").agg(F.min("seq").alias("first_seq"), F.count("*").alias("claims")).select("note_id", heading.alias("heading"), "first_seq", "claims")
 
 
+def curated_notes(claims: DataFrame) -> DataFrame:
+    """A note's Markdown and the digest of its content: ``note_id, title, body, claims, sensitivity, content_hash``.
+
+    Sections go by first appearance of their type, sentences by ``seq``. A note is one row and holds its own claims only.
+    """
+    heading = F.initcap(F.lower(F.replace("claim_type", F.lit("_"), F.lit(" "))))
+    sentence = claim_sentence(F.col("claim_id"), F.col("subject"), F.col("predicate"), F.col("value"))
+    parts = claims.groupBy("note_id", "claim_type").agg(
+        F.min("seq").alias("first_seq"), F.first(heading).alias("heading"), F.array_sort(F.collect_list(F.struct("seq", sentence.alias("line"), "claim_id"))).alias("lines"),
+        F.max(rank_in(F.col("sensitivity"), SENSITIVITY_ORDER)).alias("strictest"), F.min(F.struct("seq", "subject")).alias("opening"),
+    )
+    section = F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    notes = parts.withColumn("section", section).groupBy("note_id").agg(
+        F.array_sort(F.collect_list(F.struct("first_seq", "section"))).alias("sections"), F.array_sort(F.flatten(F.collect_list(F.transform("lines", lambda x: x["claim_id"])))).alias("claim_ids"),
+        F.max("strictest").alias("strictest"), F.min("opening").alias("opening"),
+    )
+    title = plain_title(F.col("opening.subject"))
+    body = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"), F.lit("\n"))
+    notes = notes.withColumn("title", title).withColumn("body", body).withColumn("sensitivity", F.element_at(F.array(*(F.lit(x) for x in SENSITIVITY_ORDER)), (F.col("strictest") + 1).cast("int")))
+    return notes.select("note_id", "title", "body", F.size("claim_ids").cast("long").alias("claims"), "sensitivity", content_hash(F.col("body"), F.col("claim_ids"), F.col("title")).alias("content_hash"))
+
+
+def content_hash(body: Column, claim_ids: Column, title: Column) -> Column:
+    return sha256(F.to_json(F.struct(body.alias("body"), claim_ids.alias("claim_ids"), title.alias("title"))))
+
+
+def select_generation(generations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each collection the generation of the wanted manifest if one is staging or active, else the next number.
+
+    ``generations(collection, number, manifest_hash, status)``, ``wanted(collection, manifest_hash)``.
+    """
+    usable = generations.where(F.col("status").isin("STAGING", "ACTIVE")).groupBy("collection", "manifest_hash").agg(F.max("number").alias("found"))
+    last = generations.groupBy("collection").agg(F.max("number").alias("last"))
+    rows = wanted.join(usable, ["collection", "manifest_hash"], "left").join(last, "collection", "left")
+    return rows.select("collection", F.coalesce("found", F.coalesce("last", F.lit(0)) + 1).alias("number"), F.col("found").isNull().alias("created"))
+
+
 def overlap_tail(lines: Column, budget: int) -> Column:
     """The last lines whose cost, a line feed each included, stays within the budget."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("open"))

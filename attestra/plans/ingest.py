@@ -202,3 +202,24 @@ def snapshots_to_add(spark, sf):
     d = table(spark, sf, "documents")
     stored = d.where("doc_id % 3 = 0").select(hashing.sha256(F.col("text")).alias("content_hash"))
     return add(stored, d.select("text")).select("content_hash", "folder")
+
+
+LOCATIONS = "SELECT c_custkey AS source_id, c_name AS path_key, CASE WHEN c_custkey % 9 = 0 THEN 1 END AS deleted_at FROM {customer}"
+SOURCES = "SELECT o_custkey AS source_id, min(o_orderkey) AS current_version_id, CASE WHEN o_custkey % 14 = 0 THEN 1 END AS deleted_at FROM {orders} GROUP BY o_custkey"
+SOURCE_VERSIONS = "SELECT o_orderkey AS version_id, o_custkey AS source_id, o_orderkey AS version_number, o_orderpriority AS content_hash, o_orderstatus AS status FROM {orders}"
+
+
+@query(
+    "known_sources",
+    f"""WITH v AS ({twin(SOURCE_VERSIONS)}), l AS (SELECT source_id, max(version_number) AS latest_number, arg_max(content_hash, version_number) AS latest_hash, arg_max(status, version_number) AS latest_status FROM v GROUP BY 1)
+    SELECT p.source_id, path_key, v.content_hash AS current_hash, latest_hash, latest_status, latest_number FROM ({twin(LOCATIONS)}) p JOIN ({twin(SOURCES)}) s ON s.source_id = p.source_id LEFT JOIN v ON v.version_id = s.current_version_id
+    LEFT JOIN l ON l.source_id = p.source_id WHERE p.deleted_at IS NULL AND s.deleted_at IS NULL""",
+)
+def known_sources(spark, sf):
+    return ingest.known_sources(derived(spark, sf, LOCATIONS), derived(spark, sf, SOURCES), derived(spark, sf, SOURCE_VERSIONS))
+
+
+@query("source_uri", "SELECT doc_id, 'vault://main/' || replace(source, ' ', '%20') || '/' || 'no%20' || doc_id || '%C3%A9%2Bx.md' AS uri FROM documents")
+def source_uri(spark, sf):
+    path = F.concat(F.col("source"), F.lit("/no "), F.col("doc_id").cast("string"), F.lit("é+x.md"))
+    return table(spark, sf, "documents").select("doc_id", text.source_uri(F.lit("vault://main/"), path).alias("uri"))

@@ -140,3 +140,29 @@ JOBS = "SELECT c_custkey AS note_id, 1 AS generation, 'ACTIVE_INDEXED' AS status
 )
 def generation_switch(spark, sf):
     return publish.generation_switch(derived(spark, sf, GEN_NOTES), derived(spark, sf, JOBS), 1, 2, "ACTIVE_INDEXED", "INDEXED")
+
+
+@query(
+    "curated_notes",
+    f"""WITH {LIVE_SQL}, s AS (SELECT *, {sentence_sql()} AS line, array_to_string(list_transform(string_split(lower(replace(claim_type, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS heading FROM c),
+    g AS (SELECT note_id, heading, min(seq) AS first_seq, string_agg(line, chr(10) ORDER BY seq) AS ls FROM s GROUP BY 1, 2),
+    b AS (SELECT note_id, string_agg('## ' || heading || chr(10) || chr(10) || ls, chr(10) || chr(10) ORDER BY first_seq) AS sections FROM g GROUP BY 1),
+    n AS (SELECT note_id, arg_min(subject, seq) AS title, list(claim_id ORDER BY claim_id) AS ids, count(*) AS claims, max(CASE sensitivity WHEN 'PUBLIC' THEN 0 WHEN 'RESTRICTED' THEN 1 ELSE 2 END) AS strictest FROM s GROUP BY 1),
+    t AS (SELECT note_id, title, '# ' || title || chr(10) || chr(10) || sections || chr(10) AS body, ids, claims, strictest FROM n JOIN b USING (note_id))
+    SELECT note_id, title, body, claims, ['PUBLIC', 'RESTRICTED', 'PRIVATE'][strictest + 1] AS sensitivity, sha256(json_object('body', body, 'claim_ids', ids, 'title', title)::VARCHAR) AS content_hash FROM t""",
+)
+def curated_notes(spark, sf):
+    return publish.curated_notes(_live(spark, sf))
+
+
+GENERATIONS = "SELECT o_custkey AS collection, o_orderkey AS number, o_orderpriority AS manifest_hash, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'STAGING' ELSE 'ACTIVE' END AS status FROM {orders}"
+WANTED = "SELECT c_custkey AS collection, '1-URGENT' AS manifest_hash FROM {customer}"
+
+
+@query(
+    "select_generation",
+    f"""WITH g AS ({twin(GENERATIONS)}), u AS (SELECT collection, max(number) AS found FROM g WHERE status <> 'FAILED' AND manifest_hash = '1-URGENT' GROUP BY 1), l AS (SELECT collection, max(number) AS last FROM g GROUP BY 1)
+    SELECT c_custkey AS collection, coalesce(found, coalesce(last, 0) + 1) AS number, found IS NULL AS created FROM customer LEFT JOIN u ON u.collection = c_custkey LEFT JOIN l ON l.collection = c_custkey""",
+)
+def select_generation(spark, sf):
+    return publish.select_generation(derived(spark, sf, GENERATIONS), derived(spark, sf, WANTED))
