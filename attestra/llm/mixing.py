@@ -60,11 +60,8 @@ def mixed(docs: DataFrame, ws: Workspace, weights: dict[str, float] | None = Non
     rates = ws.keep(_with_terms(source_rates(docs, weights, epochs)), "rates")  # its size is known, so Spark may broadcast it
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     joined = rows.join(rates, F.col("doc.source").cast("string").eqNullSafe(F.col("source")))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("terms")),
-        F.lit(0),
-        lambda acc, i: acc + F.size(F.filter("f", lambda c: c <= _uniform(seed, F.col("doc.doc_id"), i))),
-    )
+    draws = F.transform(F.sequence(F.lit(1), F.col("terms")), lambda i: _uniform(seed, F.col("doc.doc_id"), i))  # one hash a term
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("f", lambda c: c <= u)))
     counted = joined.select("doc", count.alias("copies")).where("copies > 0")
     copies = counted.select("doc", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
