@@ -1,9 +1,9 @@
 """Personal data and the terms that give it away.
 
-Patterns find e-mail and IP addresses, card and phone numbers: the protected entities. Around each mention the words
-nearby are counted against the whole corpus. A term's pointwise mutual information with an entity, as a share of the
-entity's own information content, says how much of it the term discloses (after Sanchez and Batet, "C-sanitized", 2016).
-Terms beyond the threshold become spans too, in the documents that mention that entity.
+Patterns find e-mail and IP addresses, card and phone numbers: the protected entities. The words of the whole documents
+that hold an entity are counted against the whole corpus. A term's pointwise mutual information with an entity, as a share
+of the entity's own information content, says how much of it the term discloses (after Sanchez and Batet, "C-sanitized",
+2016). Every occurrence of a term beyond the threshold becomes a span too, in the documents that mention that entity.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .shared import Workspace, small_batches
 from .words import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of a mention that are looked at; documents in which a term must stand by an entity at least.
-REACH, SUPPORT = 5, 2
+#: Documents that must hold both a term and an entity at least.
+SUPPORT = 2
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Terms counted in a task before the counts are handed on.
@@ -77,27 +77,25 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """Entity, start and end of each word near a mention; words that touch a span are left out."""
-    out, taken = [], sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        entity = _hash(f"{kind}:{text[a:b].lower()}")
-        low = max(0, a - 40 * REACH)
-        before = [m.span() for m in _WORD.finditer(text, low, a)]
-        if before and low and not text[low - 1].isspace():
-            before = before[1:]  # cut in two by the reach
-        high = min(len(text), b + 40 * REACH)
-        after = [m.span() for m in _WORD.finditer(text, b, high)]
-        if after and high < len(text) and after[-1][1] == high:
-            after = after[:-1]
-        for s, e in before[-REACH:] + after[:REACH]:
-            if not any(x < e and s < y for x, y in taken if x < e and y > s):
-                out.append((entity, s, e))
-    return out
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    return sorted({_hash(f"{kind}:{text[a:b].lower()}") for kind, a, b in spans})
+
 
+def _terms(text: str) -> np.ndarray:
+    """A hash for each word, in order."""
+    return word_hashes(text.encode("utf-8", "surrogatepass")).astype(np.int64)
 
-def _term(word: str) -> int:
-    return int(word_hashes(word.encode("utf-8", "surrogatepass"))[0].astype(np.int64))
+
+def occurrences(text: str, spans: list[tuple[int, int]], told: dict[int, float]) -> list[tuple[int, int, float]]:
+    """Start, end and share of each word that ``told`` has; words that touch a span are left out."""
+    out, taken, i, covered = [], sorted(spans), 0, 0
+    for m, term in zip(_WORD.finditer(text), _terms(text).tolist(), strict=True):
+        while i < len(taken) and taken[i][0] < m.end():
+            covered = max(covered, taken[i][1])
+            i += 1
+        if term in told and covered <= m.start():
+            out.append((*m.span(), told[term]))
+    return out
 
 
 class _Counts:
@@ -117,65 +115,105 @@ class _Counts:
         return terms.astype(np.int64), n
 
 
-SCAN = "doc_id long, spans array<struct<kind: string, start: long, stop: long>>, near array<struct<entity: long, term: long, start: long, stop: long>>, term long, n long"
+SCAN = "doc_id long, spans array<struct<kind: string, start: long, stop: long>>, entities array<long>, text string, term long, n long"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
+_LONGS = pa.list_(pa.int64())
+FOUND = "row long, terms array<struct<start: long, stop: long, share: double>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("share", pa.float64())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows of term counts."""
-    counts, names = _Counts(), ["doc_id", "spans", "near", "term", "n"]
+    """A row for each document, with its text where that has a mention, and rows of term counts."""
+    counts, names = _Counts(), ["doc_id", "spans", "entities", "text", "term", "n"]
 
     def counted() -> pa.RecordBatch:
         terms, n = counts.take()
         none = lambda kind: pa.nulls(len(terms), kind)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(_SPAN), none(_NEAR), pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(_SPAN), none(_LONGS), none(pa.string()), pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names)
 
     for batch in batches:
-        spans, near = [], []
+        spans, entities, texts = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             counts.add(word_hashes(text.encode("utf-8", "surrogatepass")))
             found = base_spans(text)
             spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
-            near.append([{"entity": e, "term": _term(text[a:b]), "start": a, "stop": b} for e, a, b in _near(text, found)])
-        rows = len(spans)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPAN), pa.array(near, _NEAR), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+            entities.append(_entities(text, found))
+            texts.append(text if found else None)
+        none = pa.nulls(len(spans), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPAN), pa.array(entities, _LONGS), pa.array(texts, pa.string()), none, none], names)
         if counts.size >= 4 * COUNTED:
             yield counted()
     yield counted()
 
 
-def disclosing_terms(near: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each text."""
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            terms = np.unique(_terms(text))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), row), pa.int64()), pa.array(terms, pa.int64())], ["row", "term"])
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, spans, told in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "told")), strict=True):
+            hits = occurrences(text, [(s["start"], s["stop"]) for s in spans], {t["term"]: t["share"] for t in told})
+            out.append([{"start": a, "stop": b, "share": x} for a, b, x in hits])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, _FOUND)], ["row", "terms"])
+
+
+def _share(both: Column, have: Column, df: Column, documents: int) -> Column:
+    n = F.lit(float(documents))
+    return F.log(n * both / (have * df)) / F.log(n / have)
+
+
+def together(held: DataFrame, words: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+    """``held(row, entity, have)`` and ``words(row, term)`` -> ``row, entity, term, have, df``, a row for each pair in a document.
+
+    Pairs are left out that couldn't pass ``GENERALISE`` even if the term stood in each of the entity's documents, so
+    frequent words meet frequent entities alone.
+    """
+    terms = counts.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= SUPPORT)
+    pairs = words.join(terms, "term").join(held, "row")
+    best = _share(F.col("have"), F.col("have"), F.col("df"), documents)
+    return pairs.where(best >= GENERALISE - 1e-9).select("row", "entity", "term", "have", "df")
+
+
+def disclosing_terms(pairs: DataFrame, documents: int) -> DataFrame:
     """``entity, term, share``: how much of the entity's information the term gives, where that passes ``GENERALISE``.
 
     With document frequencies over the corpus, PMI(e, t) = log(N c(e,t) / (c(e) c(t))) and the share is PMI / IC(e),
-    IC(e) = log(N / c(e)). An entity that every document has discloses nothing.
+    IC(e) = log(N / c(e)). A hot entity's pairs are counted in part before they are shuffled.
     """
-    each = near.select("row", "entity", "term").distinct()
-    together = each.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("have"))
-    terms = counts.groupBy("term").agg(F.sum("n").alias("df"))
-    joined = together.join(entities, "entity").join(terms, "term")
-    share = F.log(F.lit(float(documents)) * F.col("both") / (F.col("have") * F.col("df"))) / F.log(F.lit(float(documents)) / F.col("have"))
-    return joined.where(F.col("have") < documents).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    counted = pairs.groupBy("entity", "term", "have", "df").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    share = _share(F.col("both"), F.col("have"), F.col("df"), documents)
+    return counted.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
 
 
 def personal_data(docs: DataFrame, ws: Workspace) -> DataFrame:
     """``docs(doc_id long, text string, ...)`` -> ``doc_id``, ``base`` and ``terms``: arrays of spans, a row for each row.
 
     A span of ``terms`` also has its ``share``. Null texts count as empty and have no spans; rows that share an id are
-    judged apart. Copies of a text count as documents of their own. An empty table gives an empty result.
+    judged apart. Copies of a text count as documents of their own. An entity that every document has discloses nothing.
+    An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):
         scan = ws.keep(texts.mapInArrow(_scan, SCAN), "scan")
-    rows = ws.keep(scan.where("spans is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", "near"), "rows")
-    near = rows.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    terms = ws.keep(disclosing_terms(near, scan.where("term is not null").select("term", "n"), rows.count()), "terms")
-    told = near.join(terms, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
-    told = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))  # words of one text
-    return rows.join(told, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start: long, stop: long, share: double>>")).alias("terms"))
+        rows = ws.keep(scan.where("spans is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", "entities", "text"), "rows")
+        documents = rows.count()
+        each = rows.select("row", F.explode("entities").alias("entity"))
+        shared = each.groupBy("entity").agg(F.count("*").alias("have")).where((F.col("have") >= SUPPORT) & (F.col("have") < documents))
+        held = ws.keep(each.join(shared, "entity"), "held")
+        words = ws.keep(rows.select("row", "text").join(held.select("row").distinct(), "row", "left_semi").mapInArrow(_words, "row long, term long"), "words")
+        pairs = ws.keep(together(held, words, scan.where("term is not null").select("term", "n"), documents), "pairs")
+        terms = ws.keep(disclosing_terms(pairs, documents), "terms")
+        told = pairs.join(terms, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+        told = told.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("told"))  # words of one text
+        found = ws.keep(rows.select("row", "text", "spans").join(told, "row").mapInArrow(_found, FOUND), "found")
+    return rows.select("row", "doc_id", "spans").join(found, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start: long, stop: long, share: double>>")).alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:

@@ -214,6 +214,40 @@ def test_disclosing_terms(spark, none, odd, ws):
     assert privacy.personal_data(odd, ws).count() == odd.count() and privacy.personal_data(none, ws).count() == 0
 
 
+def test_disclosing_terms_of_whole_documents(spark, ws):
+    """Far from the mention, behind a long word, and each time they stand in its documents."""
+    texts = [f"filler{i} some words here again and again" for i in range(60)]
+    texts += [f"carol@corp.example {'again ' * 40}{'x' * 300} Zorblax and {'words ' * 40}zorblax {i}" for i in range(2)] + ["some zorblaxes"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(texts[r.doc_id][s.start : s.stop], s.share) for s in r.terms] for r in privacy.personal_data(docs, ws).collect()}
+    assert got[60] == got[61] == [("x" * 300, 1.0), ("Zorblax", 1.0), ("zorblax", 1.0)] and not any(t for i, t in got.items() if i not in (60, 61))
+
+
+def brute_disclosing(texts):
+    mentions = {i: {(k, t[a:b].lower()) for k, a, b in privacy.base_spans(t)} for i, t in texts.items()}
+    words = {i: {w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for i, t in texts.items()}
+    out = {i: set() for i in texts}
+    for e in set().union(*mentions.values()):
+        have = [i for i in texts if e in mentions[i]]
+        for w in set().union(*(words[i] for i in have)) if len(have) < len(texts) else ():
+            both, df = sum(w in words[i] for i in have), sum(w in words[i] for i in texts)
+            if both >= 2 and np.log(len(texts) * both / (len(have) * df)) / np.log(len(texts) / len(have)) >= privacy.GENERALISE:
+                for i in have:
+                    out[i] |= {m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i]) if m[0].lower() == w and not any(a < m.end() and m.start() < b for _, a, b in privacy.base_spans(texts[i]))}
+    return out
+
+
+def test_disclosing_terms_are_those_of_brute_force(spark, ws):
+    random = np.random.default_rng(6)
+    texts = {}
+    for i in range(120):
+        words = [f"w{int(x)}" for x in random.zipf(1.3, 40) if x < 500] + [f"p{x}@q.example" for x in random.integers(0, 12, int(random.integers(0, 4)))] + [f"10.0.0.{i % 2}"] * int(i % 3 > 0)
+        texts[i] = " ".join(random.permutation(words))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {(s.start, s.stop) for s in r.terms} for r in privacy.personal_data(docs, ws).collect()}
+    assert got == brute_disclosing(texts) and sum(map(len, got.values())) > 20
+
+
 def test_outliers_go_and_the_bulk_stays(spark, odd, none, ws):
     random = np.random.default_rng(4)
     rows = [(i, "\n".join(" ".join("".join(random.choice(list("abcdefgh"), int(random.integers(2, 9)))) for _ in range(12)) for _ in range(int(random.integers(6, 30)))), "en", "s", 0) for i in range(400)]
