@@ -108,10 +108,25 @@ def packed_lines(lines: Column, prefix: Column, target: int = TARGET, overlap: i
     return F.aggregate(lines, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
 
 
+def section_head() -> Column:
+    return F.concat(F.lit("# "), F.col("title"), F.lit("\n## "), F.col("heading"))
+
+
+def sliced(lines: Column, size: Column) -> Column:
+    """Each line as slices of at most ``size`` code points, in order."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / size).cast("int")), lambda i: F.substr(x, i * size + 1, size))
+    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > size, cut(x)).otherwise(F.array(x))))
+
+
+def fitting_lines(lines: Column) -> Column:
+    """Lines of ``sections(title, heading, ...)``, those that no chunk could hold as slices of what one holds."""
+    room = F.greatest(F.lit(1), F.lit(HARD_LIMIT) - F.coalesce(F.length(section_head()) + 2, F.lit(0)))
+    return sliced(lines, room)
+
+
 def chunks(sections: DataFrame) -> DataFrame:
     """``sections(note_id, version_id, title, heading, lines)`` -> a row a chunk with its text and id, ordinals from 0."""
-    head = F.concat(F.lit("# "), F.col("title"), F.lit("\n## "), F.col("heading"))
-    rows = sections.withColumn("head", head).withColumn("batches", packed_lines(F.col("lines"), F.length("head") + 2))
+    rows = sections.withColumn("head", section_head()).withColumn("batches", packed_lines(F.col("lines"), F.length("head") + 2))
     rows = rows.select("note_id", "version_id", "heading", "head", F.posexplode("batches").alias("ordinal", "batch"))
     text = F.concat("head", F.lit("\n\n"), F.array_join("batch", "\n"))
     rows = rows.select("note_id", "version_id", "ordinal", F.size("batch").alias("lines"), text.alias("text"))

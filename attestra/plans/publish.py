@@ -48,9 +48,14 @@ def plain_title(spark, sf):
 
 
 SECTIONS = "SELECT doc_id AS note_id, 'v' || cast(doc_id AS string) AS version_id, source AS title, lang AS heading, text FROM {documents}"
+
+
+def _sections(spark, sf):
+    return derived(spark, sf, SECTIONS).withColumn("whole", F.filter(F.split("text", "\n"), lambda x: x != "")).withColumn("lines", publish.fitting_lines(F.col("whole")))
+
+
 def _chunks(spark, sf):
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.substring(x, 1, 400))
-    return publish.chunks(derived(spark, sf, SECTIONS).withColumn("lines", lines))
+    return publish.chunks(_sections(spark, sf))
 
 
 @query("chunk_pack")
@@ -61,10 +66,14 @@ def chunk_pack(spark, sf):
 
 @query("chunk_counts", "SELECT doc_id AS note_id, true AS covered FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 0")
 def chunk_counts(spark, sf):
-    """Whether a note's chunks hold all its lines, overlaps apart."""
-    source = derived(spark, sf, SECTIONS).select("note_id", F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("want")).where("want > 0")
-    got = _chunks(spark, sf).groupBy("note_id").agg(F.sum("lines").alias("got"))
-    return source.join(got, "note_id", "left").select("note_id", (F.coalesce("got", F.lit(0)) >= F.col("want")).alias("covered"))
+    """Whether a note's chunks hold all its text: each line, or each slice of it where the slices make up the line."""
+    hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(x))
+    uncut = F.array_join("whole", "") == F.array_join("lines", "")
+    source = _sections(spark, sf).where(F.size("whole") > 0).select("note_id", uncut.alias("uncut"), hashed(F.col("lines")).alias("want"))
+    held = F.split("text", "\n")  # a chunk starts with title, heading and an empty line
+    got = _chunks(spark, sf).groupBy("note_id").agg(F.flatten(F.collect_list(hashed(F.slice(held, F.lit(4), F.size(held))))).alias("got"))  # a note's own lines
+    missing = F.size(F.array_except("want", F.coalesce("got", F.array().cast("array<bigint>"))))
+    return source.join(got, "note_id", "left").select("note_id", (F.col("uncut") & (missing == 0)).alias("covered"))
 
 
 META_SQL = f"WITH {LIVE_SQL}, m AS (SELECT sha256(note_id || '|' || claim_type) AS chunk_id, * FROM c)"

@@ -92,6 +92,21 @@ def test_a_line_beyond_the_hard_limit_is_an_error(spark):
         df.select(publish.packed_lines(F.col("lines"), F.lit(20))).collect()
 
 
+def test_chunks_hold_whole_texts(spark, tmp_path, monkeypatch):
+    from attestra.plans import publish as plans
+
+    lines = ["".join(f"{i}é{n}," for i in range(n)) for n in (3, 90, 420, 900, 1300)]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "web"), (2, "short", "en", "web"), (3, "\n", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = plans._chunks(spark, str(tmp_path))
+    held = {i: [x for r in chunks.where(f"note_id = {i}").orderBy("ordinal").collect() for x in r.text.split("\n")[3:]] for i in (1, 2)}
+    assert max(map(len, lines)) > 5000 and "".join(dict.fromkeys(held[1])) == "".join(lines) and held[2] == ["short"]
+    assert all(len(r.text) <= publish.HARD_LIMIT for r in chunks.collect())
+    assert {r.note_id: r.covered for r in plans.chunk_counts(spark, str(tmp_path)).collect()} == {1: True, 2: True}
+    cut = chunks.withColumn("text", F.when(F.col("ordinal") == 2, F.regexp_replace("text", ".$", "")).otherwise(F.col("text")))
+    monkeypatch.setattr(plans, "_chunks", lambda *_: cut)
+    assert {r.note_id: r.covered for r in plans.chunk_counts(spark, str(tmp_path)).collect()} == {1: False, 2: True}
+
+
 def test_verdict_branches(spark):
     claims = spark.createDataFrame(
         [(1, "FACT", "T4", None, "x", "PUBLIC", None, None, True, False), (2, "FACT", "T4", None, "law", "PUBLIC", None, None, True, False), (3, "FACT", "T4", None, "x", "PUBLIC", None, None, False, False), (4, "OPINION", "T4", None, "x", "PUBLIC", None, None, True, False), (5, "DECISION", "T0", "me", "x", "PRIVATE", None, None, True, False), (6, "FACT", "T4", None, "x", "PUBLIC", None, None, True, True), (7, "FACT", "T4", None, "x", "PUBLIC", None, None, True, False), (8, "CODE_BEHAVIOR", "T4", None, "x", "PUBLIC", None, None, True, False), (9, "FACT", "T4", None, "x", "PRIVATE", None, None, True, False)],
