@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The stages of a publication and what each leaves behind when it is done.
@@ -94,12 +94,16 @@ def robots_verdict(status: Column) -> Column:
 
 def search_hits(responses: DataFrame, most: int) -> DataFrame:
     """``responses(request_id, payload)`` -> HTTPS addresses in order, the first of each, at most ``most`` a response."""
-    parsed = responses.select("request_id", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "url")).where(F.col("url").startswith("https://"))
-    first = parsed.groupBy("request_id", "url").agg(F.min("place").alias("place"))
-    lists = first.groupBy("request_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "url"))), 1, most).alias("hits"))  # one response's addresses
-    rows = lists.select("request_id", F.posexplode("hits").alias("rank", "hit"))
-    candidate = F.concat(F.lit("candidate_"), F.substring(F.sha2(F.concat_ws("\n", "request_id", F.col("rank").cast("string"), "hit.url"), 256), 1, 24))
-    return rows.select("request_id", "rank", F.col("hit.url").alias("url"), candidate.alias("candidate_id"))
+    return first_hits(responses.select("request_id", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "url")), most)
+
+
+def first_hits(found: DataFrame, most: int) -> DataFrame:
+    """``found(request_id, place, url)`` -> the same for addresses that come as rows; the rank's limit works before the shuffle too."""
+    first = found.where(F.col("url").startswith("https://")).groupBy("request_id", "url").agg(F.min("place").alias("place"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("place", "url"))
+    rows = first.withColumn("row", place).where(F.col("row") <= most).withColumn("rank", F.col("row") - 1)
+    candidate = F.concat(F.lit("candidate_"), F.substring(F.sha2(F.concat_ws("\n", "request_id", F.col("rank").cast("string"), "url"), 256), 1, 24))
+    return rows.select("request_id", "rank", "url", candidate.alias("candidate_id"))
 
 
 def redacted(metadata: Column) -> Column:

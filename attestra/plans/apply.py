@@ -105,9 +105,8 @@ def robots_verdict(spark, sf):
     SELECT request_id, rank::INT AS rank, url, 'candidate_' || substr(sha256(request_id || chr(10) || rank || chr(10) || url), 1, 24) AS candidate_id FROM k WHERE rank < 4""",
 )
 def search_hits(spark, sf):
-    p = table(spark, sf, "pages").groupBy(F.concat(F.lit("r"), (F.col("page_id") % 30).cast("string")).alias("request_id"))
-    payload = p.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: x["url"])).alias("payload"))
-    return apply.search_hits(payload, 4)
+    request = F.concat(F.lit("r"), (F.col("page_id") % 30).cast("string"))
+    return apply.first_hits(table(spark, sf, "pages").select(request.alias("request_id"), F.col("page_id").alias("place"), "url"), 4)
 
 
 @query("metadata_redaction", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'k,n' WHEN event_id % 3 = 1 THEN 'n' ELSE 'n,user' END AS names FROM events")

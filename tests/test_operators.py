@@ -107,6 +107,20 @@ def test_chunks_hold_whole_texts(spark, tmp_path, monkeypatch):
     assert {r.note_id: r.covered for r in plans.chunk_counts(spark, str(tmp_path)).collect()} == {1: False, 2: True}
 
 
+def test_search_hits_are_ranked_before_anything_gathers(spark, tmp_path):
+    from attestra.operators import apply
+    from attestra.plans import apply as plans
+
+    urls = ["http://a", "https://b", "https://c", "https://b", "https://d", None, "https://e", "https://f"]
+    spark.createDataFrame([(30 * i, u) for i, u in enumerate(urls)] + [(1, "https://z")], "page_id long, url string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = plans.search_hits(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "WindowGroupLimit" in plan
+    assert rows(got.select("request_id", "rank", "url")) == [("r0", 0, "https://b"), ("r0", 1, "https://c"), ("r0", 2, "https://d"), ("r0", 3, "https://e"), ("r1", 0, "https://z")]
+    payload = spark.createDataFrame([("r0", '["http://a","https://b","https://c","https://b",null,"https://d"]')], "request_id string, payload string")
+    assert rows(apply.search_hits(payload, 2).select("rank", "url")) == [(0, "https://b"), (1, "https://c")]
+
+
 def test_verdict_branches(spark):
     claims = spark.createDataFrame(
         [(1, "FACT", "T4", None, "x", "PUBLIC", None, None, True, False), (2, "FACT", "T4", None, "law", "PUBLIC", None, None, True, False), (3, "FACT", "T4", None, "x", "PUBLIC", None, None, False, False), (4, "OPINION", "T4", None, "x", "PUBLIC", None, None, True, False), (5, "DECISION", "T0", "me", "x", "PRIVATE", None, None, True, False), (6, "FACT", "T4", None, "x", "PUBLIC", None, None, True, True), (7, "FACT", "T4", None, "x", "PUBLIC", None, None, True, False), (8, "CODE_BEHAVIOR", "T4", None, "x", "PUBLIC", None, None, True, False), (9, "FACT", "T4", None, "x", "PRIVATE", None, None, True, False)],
