@@ -84,14 +84,14 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
-    end = np.uint32(end_id).tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = memoryview(encoder.encode(text) + end)
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+                ids = memoryview(np.concatenate([found, end])).cast("B")
                 n = len(ids) // 4
                 whole, part = n - n % capacity, max(1, capacity // PARTS)
                 cuts = [(at, capacity) for at in range(0, whole, capacity)] + [(at, min(part, n - at)) for at in range(whole, n, part)]

@@ -20,7 +20,7 @@ _HEAD, _TAIL = struct.Struct("<IIIB"), struct.Struct("<QQQI8s")
 def encode_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(values.min())
     rest = values - np.uint32(low)
-    width = max(1, int(np.sort(rest)[min(len(rest) - 1, int(len(rest) * percentile / 100))]).bit_length())
+    width = max(1, int(np.partition(rest, at := min(len(rest) - 1, int(len(rest) * percentile / 100)))[at]).bit_length())
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, int)
     body = rest.astype("<u4")
     bits = np.unpackbits(body.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
@@ -49,6 +49,16 @@ class Writer:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((0 if doc_id is None else doc_id, doc_id is not None, len(ids)))
         self.total += len(ids)
+        self._put(ids)
+
+    def end(self, ids: np.ndarray) -> None:
+        """Further ids of the document added last."""
+        doc_id, known, n = self.docs[-1]
+        self.docs[-1] = (doc_id, known, n + len(ids))
+        self.total += len(ids)
+        self._put(ids)
+
+    def _put(self, ids: np.ndarray) -> None:
         while len(ids):
             take = ids[: BLOCK - self.pending]
             self.part.append(take)

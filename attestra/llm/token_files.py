@@ -1,8 +1,9 @@
 """Token ids of a corpus as binary files, in document order.
 
-Documents are range-partitioned by id, so file after file holds them in ascending order. Each task streams its
-partition into one file of the shared folder under a name of its attempt and renames it when complete: a lost executor
-leaves no half-written file behind, and a repeated task writes the same bytes.
+Documents are range-partitioned by id, so file after file holds them in ascending order. Each attempt of a task streams
+its partition into a file of its own in the shared folder, which must be in a store that Arrow opens (local, HDFS, S3,
+Google). Only the manifest, a table that Spark commits, says which files count: it names those of the attempts that
+succeeded, so what a lost executor or a repeated task leaves behind is never read, and nothing is renamed.
 """
 
 from __future__ import annotations
@@ -26,22 +27,21 @@ MANIFEST = "file string, shard int, n_documents long, n_tokens long"
 
 
 def _write(folder: str, tokenizer: str, end_id: int):
-    end = np.uint32(end_id).tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder.of(tokenizer), TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
-        writer, name = None, f"{base}/part-{task.partitionId():06d}.atpf"
-        trial = f"{base}/_trial-{task.partitionId():06d}-{task.taskAttemptId()}"
+        writer, name = None, f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.atpf"
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 if writer is None:
                     store.create_dir(base, recursive=True)
-                    writer = Writer(store.open_output_stream(trial))
-                writer.add(doc, np.frombuffer(encoder.encode(text) + end, "<u4"))
+                    writer = Writer(store.open_output_stream(name))
+                writer.add(doc, ids)
+                writer.end(end)
         if writer is not None:
             writer.close()
-            store.move(trial, name)
             yield pa.RecordBatch.from_pylist([{"file": name, "shard": task.partitionId(), "n_documents": len(writer.docs), "n_tokens": writer.total}], pa.schema([("file", pa.string()), ("shard", pa.int32()), ("n_documents", pa.int64()), ("n_tokens", pa.int64())]))
 
     return run
@@ -79,10 +79,14 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Reads the files back: each document's place among all ids, its length and a checksum of its ids."""
+    """Reads the files back, a task each: every document's place among all ids, its length and a checksum of its ids.
+
+    ``manifest`` is a written table; its number of rows is what the driver sees.
+    """
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    files = manifest.withColumn("first", F.coalesce(before, F.lit(0))).select("file", "first")
-    return files.repartition(F.col("file")).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.withColumn("first", F.coalesce(before, F.lit(0))).select("file", "first", "shard")
+    files = files.repartitionByRange(max(1, manifest.count()), "shard").select("file", "first")  # a given number isn't coalesced
+    return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
