@@ -1,12 +1,11 @@
-"""Visible text of web pages."""
+"""Visible text of web pages, as column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html as entities
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import web_text
@@ -16,49 +15,40 @@ HIDDEN = ("script", "style", "noscript", "template", "svg")
 BREAKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 BLOCK_CHARS, MOST_BLOCKS = 2000, 128
 
+_INSIDE = r"(?:[\s/][^>]*)?"
+#: A hidden element goes with all that it holds, up to its end tag or the page's end; then comments and declarations.
+REMOVED = (
+    *(rf"(?is)<{tag}(?:\s[^>]*)?/>|<{tag}{_INSIDE}>.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN),
+    r"(?s)<!--.*?-->",
+    r"<[!?][^>]*>",
+)
+BREAK, TAG = rf"(?i)</?(?:{'|'.join(BREAKS)}){_INSIDE}>", r"</?[A-Za-z][^>]*>"
+LINK, CANONICAL, HREF = r"(?is)<link\s[^>]*>", r"(?is)\srel\s*=\s*[\"']?canonical[\"'\s/>]", r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.hidden, self.canonical = [], 0, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif tag in BREAKS:
-            self.parts.append("\n")
-        elif tag == "link":
-            found = dict(attrs)
-            if (found.get("rel") or "").lower() == "canonical" and found.get("href"):
-                self.canonical = found["href"]
-
-    def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BREAKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pages in batches:
-        texts, links = [], []
-        for html in pages["html"]:
-            parser = _Visible()
-            parser.feed(html or "")
-            parser.close()
-            texts.append("".join(parser.parts))
-            links.append(parser.canonical)
-        yield pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "raw": texts, "canonical": links})
+
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(entities.unescape, na_action="ignore")
+
+
+def visible(page: Column) -> Column:
+    """A page's text with a line feed at each break; null counts as empty. Tags end at their first ``>``."""
+    text = F.coalesce(page, F.lit(""))
+    for pattern in REMOVED:
+        text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), TAG, "")
+    return F.when(F.contains(text, F.lit("&")), F.pandas_udf(_unescaped, "string")(text)).otherwise(text)
+
+
+def canonical_link(page: Column) -> Column:
+    """The address of the last canonical link; null without one."""
+    links = F.filter(F.regexp_extract_all(page, F.lit(LINK), F.lit(0)), lambda x: x.rlike(CANONICAL))
+    last = F.try_element_at(F.filter(links, lambda x: x.rlike(HREF)), F.lit(-1))
+    return F.nullif(F.concat(*(F.regexp_extract(last, HREF, i) for i in (1, 2, 3))), F.lit(""))
 
 
 def html_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, canonical``; the parser runs on Arrow batches, the rest on columns."""
-    read = pages.select("page_id", "url", "html").mapInPandas(_read, "page_id long, url string, raw string, canonical string")
-    return read.select("page_id", "url", web_text(F.col("raw")).alias("text"), "canonical")
+    """``page_id, url, text, canonical``."""
+    return pages.select("page_id", "url", web_text(visible(F.col("html"))).alias("text"), canonical_link(F.col("html")).alias("canonical"))
 
 
 def text_blocks(pages: DataFrame) -> DataFrame:
