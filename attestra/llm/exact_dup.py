@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace, lower_az, settings
 
+#: Bytes of fingerprints that a micro-batch takes.
+PER_BATCH = str(16 << 30)
 LOG = "doc_id long, digest binary, sha string, file long, row long"
 
 
@@ -24,6 +26,11 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def locations(docs: DataFrame) -> DataFrame:
+    """``file, path``: the files that the locators of ``docs``, read from files, name."""
+    return docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path")).distinct()
+
+
 def _located(docs: DataFrame, ws: Workspace) -> DataFrame:
     """``doc`` (the whole row), and where it lies. Rows that don't come from files are written to one first."""
     place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -39,7 +46,7 @@ def advance(spark: SparkSession, log: str, state: str, out: str) -> None:
     A call with the same ``state`` goes on where the last one ended, also after a failure.
     """
     groups = (
-        spark.readStream.schema(LOG).parquet(log)
+        spark.readStream.schema(LOG).option("maxBytesPerTrigger", PER_BATCH).parquet(log)
         .groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
     )
 
@@ -85,8 +92,8 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, digest: Callable[[Column],
 
     hits = ws.keep(groups.where("n > 1").select("digest"), "hits")
     texts = located.select(digest(text).alias("digest"), text.alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"), "file", "row")
-    exact = texts.join(hits.hint("merge"), "digest", "left_semi").groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
-    exact = ws.keep(exact.select("digest", F.sha2("text", 256).alias("sha"), "n", "keep"), "checked")
+    same = texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))  # copies meet before they are dealt out
+    exact = ws.keep(same.select("digest", F.sha2("text", 256).alias("sha"), "n", "keep").join(hits, "digest", "left_semi"), "checked")
     unlike = exact.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     if unlike.limit(1).count():  # texts that differ share a digest: they part by their full SHA-256
         single = groups.join(unlike, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("part"), "n", "keep")
