@@ -29,6 +29,8 @@ from .words import jaccard_parts, shingle_set
 
 #: Shingles that a block of a bucket holds on average; a block has at most a few MB of them.
 BLOCK_SHINGLES = 1 << 20
+#: Rows that a block holds on average at most; it compares all pairs of its rows.
+BLOCK_ROWS = 1024
 #: Standard deviations by which the estimate may fall short of the threshold before a pair is dropped unverified.
 SLACK = 5.0
 
@@ -195,19 +197,40 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 5, percent: int
 
         named = members.select("key", "band", "doc_id", "n_shingles").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         named = named.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("total")).where("x <> y")
-        mixed = mixed.select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("total"), F.count("*").alias("rows")).where("x <> y")
+        mixed = mixed.select("key", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
         open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         open_ = open_.select("key", "band", "doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         work = open_.join(sets, "doc_id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "band")
         more = ws.keep(work.mapInArrow(_blocks(size, percent, sketch), "a long, b long"), "more-links")
-        final = components(links.union(copies).union(more), ws)
-    named = signed.select("doc_id", "n_shingles").join(final, signed["doc_id"] == final["node"], "left")
+        if more.limit(1).count():  # the components found first stand for all links found first
+            first = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), ws)
+    named = signed.select("doc_id", "n_shingles").join(first, signed["doc_id"] == first["node"], "left")
     component = F.coalesce("component", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, ws: Workspace, **how) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of the smallest id, with all their columns.
+
+    Rows with a null id stay. Where an id is there more than once, rows are told apart by a number of their own, and the
+    one of smallest id and number stays.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeated:
+        dropped = ws.keep(near_duplicates(docs, ws, **how).where(~F.col("kept")).select("doc_id"), "dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = ws.keep(docs.select(F.monotonically_increasing_id().alias("place"), whole), "numbered")
+    named = rows.select(F.when(F.col("doc.doc_id").isNotNull(), F.col("place")).alias("doc_id"), F.col("doc.text").alias("text"))
+    found = near_duplicates(named, ws, **how).where("doc_id is not null").select(F.col("doc_id").alias("place"), "component_id")
+    found = ws.keep(found, "found")
+    kept = rows.select("place", F.col("doc.doc_id").alias("id")).join(found, "place").groupBy("component_id").agg(F.min(F.struct("id", "place")).alias("k"))
+    dropped = ws.keep(found.join(kept.select(F.col("k.place").alias("place")), "place", "left_anti").select("place"), "dropped")
+    return rows.join(dropped, "place", "left_anti").select("doc.*")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, each: int = 256) -> DataFrame:
     """Keeps the pairs whose full sets are linked. A leader's members are salted into groups of about ``each``."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
