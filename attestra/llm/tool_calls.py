@@ -54,7 +54,7 @@ def call_levels(calls: DataFrame, ws: Workspace) -> DataFrame:
 
     Level 0 waits for nothing, or for a call that isn't there.
     """
-    known = calls.select(F.col("call_id").alias("known"))
+    known = calls.select(F.col("call_id").alias("known")).hint("shuffle_hash")
     now = calls.join(known, F.col("after") == F.col("known"), "left").select("call_id", F.col("known").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("level"))
     now, n, steps = ws.keep(now, "levels"), None, 1
     while True:
@@ -64,7 +64,7 @@ def call_levels(calls: DataFrame, ws: Workspace) -> DataFrame:
         n = n or now.count()
         if steps > 2 * n:  # longer than any chain: what still waits is circular
             return now.select("call_id", F.when(F.col("up").isNull(), F.col("level")).otherwise(-1).alias("level"))
-        above = now.select(F.col("call_id").alias("id"), F.col("up").alias("next"), F.col("level").alias("more"))
+        above = now.select(F.col("call_id").alias("id"), F.col("up").alias("next"), F.col("level").alias("more")).hint("shuffle_hash")
         now = now.join(above, F.col("up") == F.col("id"), "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
         now, steps = ws.keep(now, "levels"), steps * 2
     return now.select("call_id", "level")
@@ -76,9 +76,11 @@ def linked(messages: DataFrame, ws: Workspace, schemas: dict = SCHEMAS) -> DataF
     ``messages(conv_id, turn, role, kind, call_id, name, after, arguments, content)``, ``kind`` one of call, result and
     text. Of several calls (results) with one id the first by turn and content is linked, the others are ``duplicate``.
     Calls without a result are ``pending``, results without a call ``orphan``. A null id links with nothing. Null
-    content is the empty text. ``position`` orders a conversation: twice the level of the call, plus one for its result;
-    messages without a level come first, at -1. Null turns rank before all others. An empty table gives an empty result.
+    content is the empty text, a null kind text. ``position`` orders a conversation: twice the level of the call, plus one for its result;
+    messages without a level come first, at -1. Null turns rank before all others. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
+    messages = messages.select("conv_id", "turn", "role", F.coalesce("kind", F.lit("text")).alias("kind"), "call_id", "name", "after", "arguments", "content")
     rank = F.struct("turn", F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("after", F.lit("")).alias("after"))
     ids = messages.where("call_id is not null and kind in ('call', 'result')").groupBy("call_id").agg(
         F.min(F.when(F.col("kind") == "call", rank)).alias("call"), F.min(F.when(F.col("kind") == "result", rank)).alias("result")
@@ -86,7 +88,8 @@ def linked(messages: DataFrame, ws: Workspace, schemas: dict = SCHEMAS) -> DataF
     ids = ws.keep(ids, "ids")
     levels = call_levels(ids.where("call is not null").select("call_id", F.col("call.after").alias("after")), ws)
     ids = ids.join(levels, "call_id", "left")
-    rows = messages.withColumn("mine", rank).join(ids, "call_id", "left")
+    mine, linkable = messages.withColumn("mine", rank), F.col("call_id").isNotNull() & F.col("kind").isin("call", "result")
+    rows = mine.where(linkable).join(ids.hint("shuffle_hash"), "call_id", "left").unionByName(mine.where(~linkable), allowMissingColumns=True)
     first = F.when(F.col("kind") == "call", F.col("mine").eqNullSafe(F.col("call"))).otherwise(F.col("mine").eqNullSafe(F.col("result")))
     partner = F.when(F.col("kind") == "call", F.col("result").isNotNull()).otherwise(F.col("call").isNotNull())
     status = F.when(F.col("kind") == "text", "text").when(F.col("call_id").isNull() | ~partner, F.when(F.col("kind") == "call", "pending").otherwise("orphan")).when(~first, "duplicate").otherwise("linked")
