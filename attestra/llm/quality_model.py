@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .shared import Workspace, small_batches
 from .words import mix, shingle_hashes, word_hashes
 
-#: The training sample's expected number of documents at most; all labelled ones up to that number.
-SAMPLE = 3000
+#: The training sample's expected numbers of documents and of features at most; all labelled ones up to those numbers.
+SAMPLE, MOST_FEATURES = 3000, 1 << 25
 BUCKETS, DIMENSIONS, EPOCHS, RATE, GRAMS = 1 << 17, 16, 6, 0.5, (3, 4)
 _SHIFT = np.uint64(64 - 17)
 _PIECE = 1 << 18
@@ -47,15 +47,17 @@ def features(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features and their shares."""
+    ids, n = np.unique(features(text), return_counts=True)
+    return ids, (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Vectors, output weights and biases. Without both classes the model is a constant."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
-    bags = []
-    for text in texts:
-        ids, n = np.unique(features(text), return_counts=True)
-        bags.append((ids, (n / n.sum()).astype(np.float32)) if len(ids) else (ids, n.astype(np.float32)))
     share = np.bincount(labels.astype(int), minlength=2) / max(1, len(labels)) if len(labels) else np.array([0.5, 0.5])
     bias += np.log(np.clip(share, 1e-3, 1)).astype(np.float32)
     steps, total = 0, EPOCHS * max(1, len(bags))
@@ -89,9 +91,16 @@ def score(text: bytes, table: np.ndarray, constant: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        bags = [bag((t or "").encode()) for t in rows["text"]]
+        yield pd.DataFrame({"doc_id": rows["doc_id"], "quality": rows["quality"], "ids": [i.astype("<i4").tobytes() for i, _ in bags], "shares": [w.astype("<f4").tobytes() for _, w in bags]})
+
+
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "quality": []}), *batches]).sort_values(["doc_id", "text", "quality"])
-    model = train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(dtype=int))
+    rows = pd.concat([pd.DataFrame({"doc_id": [], "quality": [], "ids": [], "shares": []}), *batches]).sort_values(["doc_id", "ids", "shares"])
+    bags = [(np.frombuffer(i, "<i4"), np.frombuffer(w, "<f4")) for i, w in zip(rows["ids"], rows["shares"], strict=True)]
+    model = train(bags, rows["quality"].to_numpy(dtype=int))
     np.savez(buffer := io.BytesIO(), **model)
     yield pd.DataFrame({"model": [buffer.getvalue()]})
 
@@ -104,18 +113,23 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, sample: int = SAMPLE) -> DataFrame:
     """One row with the trained model. Reads the labelled, not held-out documents, of which about ``sample`` at most.
 
-    One task trains; what it holds is bounded by ``sample``. Labels other than 0 and 1, and null ids, are left out.
+    One task trains; it holds features only, and both bounds of the sample limit them. Labels other than 0 and 1, and null
+    ids, are left out, and so are ids that have labels of both kinds. Documents that share an id each count with its label.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
-    known = known.dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     share = sample / max(sample, known.count())
     drawn = ws.keep(known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn, "doc_id")
-    return ws.keep(texts.repartition(1).mapInPandas(_fit, "model binary"), "model")
+    bags = ws.keep(texts.mapInPandas(_bags, "doc_id long, quality int, ids binary, shares binary"), "bags")
+    n = bags.agg(F.sum(F.length("ids") / 4)).first()[0] or 0
+    if n > MOST_FEATURES:
+        bags = bags.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(MOST_FEATURES / n * 1_000_000))
+    return ws.keep(bags.repartition(1).mapInPandas(_fit, "model binary"), "model")
 
 
 def scorer(model: DataFrame):
-    """A column function text -> score. The model goes out as one number a bucket: half a megabyte."""
+    """A column function text -> score, and the broadcast that it needs: the model as one number a bucket, half a megabyte."""
     row = model.first()  # none without any labelled text: then the untrained model gives 0.5
     table, constant = scalar_table(np.load(io.BytesIO(bytes(row["model"]))) if row else train([], np.empty(0)))
     shared = model.sparkSession.sparkContext.broadcast((table.astype(np.float32), constant))
@@ -125,7 +139,7 @@ def scorer(model: DataFrame):
         values, base = shared.value
         return pd.Series([score(t.encode() if t else b"", values, base) for t in texts], dtype="float64")
 
-    return lambda text: scores(text.cast("string"))
+    return lambda text: scores(text.cast("string")), shared
 
 
 def classified(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
@@ -135,9 +149,10 @@ def classified(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     Without labels of both kinds every score is the share of label 1 among them, or 0.5 without any.
     """
     with small_batches(docs.sparkSession):
-        give = scorer(fit(docs, labels, ws))
+        give, model = scorer(fit(docs, labels, ws))
         rows = docs.select("doc_id", held_out().alias("held_out"), give(F.col("text")).alias("score"))
         rows = ws.keep(rows, "scores")
+        model.destroy()
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

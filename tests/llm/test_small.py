@@ -148,7 +148,7 @@ def test_statistics_are_the_plain_ones(text):
 
 def test_classifier_learns_and_constants_stand():
     good, bad = [f"the {w} of a {w} thing goes on".encode() for w in "abcdefgh"], [f"{w}!! {w}!! {w}!! {w}$$$".encode() for w in "ABCDEFGH"]
-    table, base = quality_model.scalar_table(quality_model.train(good + bad, np.array([1] * 8 + [0] * 8)))
+    table, base = quality_model.scalar_table(quality_model.train([quality_model.bag(t) for t in good + bad], np.array([1] * 8 + [0] * 8)))
     assert quality_model.score(b"the x of a y thing", table, base) > 0.5 > quality_model.score(b"Z!! Z!! Z$$$", table, base)
     table, base = quality_model.scalar_table(quality_model.train([], np.array([])))
     assert quality_model.score(b"", table, base) == pytest.approx(0.5)
