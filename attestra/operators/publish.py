@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_id, sha256
@@ -90,7 +90,8 @@ def packed_lines(lines: Column, prefix: Column, target: int = TARGET, overlap: i
     """Lines of one section as chunks of lines, by a fold inside the row: no shuffle, no window.
 
     A chunk closes when the next line would pass the target; the next one starts with the tail of the last. A chunk
-    that passes the hard limit with its tail closes before its last line. Lines beyond the hard limit raise an error.
+    that passes the hard limit with its tail closes before its last line. A line that with its line feed passes the hard limit
+    where it opens a chunk, or without it anywhere, raises an error.
     """
     cost = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.length(x) + 1)
     start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"))
@@ -102,7 +103,8 @@ def packed_lines(lines: Column, prefix: Column, target: int = TARGET, overlap: i
         over = (F.size(base) > 0) & (prefix + cost(base) + F.length(line) + 1 > hard)
         done = F.when(over, F.concat(done, F.array(base))).otherwise(done)
         cur = F.when(over, F.array(line)).otherwise(F.concat(base, F.array(line)))
-        checked = F.when(prefix + F.length(line) > hard, F.raise_error(F.lit("a line exceeds the hard limit")).cast("array<string>")).otherwise(cur)
+        alone = (F.size(base) == 0) & (prefix + F.length(line) + 1 > hard)
+        checked = F.when(alone | (prefix + F.length(line) > hard), F.raise_error(F.lit("a line exceeds the hard limit")).cast("array<string>")).otherwise(cur)
         return F.struct(done.alias("done"), checked.alias("cur"))
 
     return F.aggregate(lines, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
@@ -120,14 +122,18 @@ def sliced(lines: Column, size: Column) -> Column:
 
 def fitting_lines(lines: Column) -> Column:
     """Lines of ``sections(title, heading, ...)``, those that no chunk could hold as slices of what one holds."""
-    room = F.greatest(F.lit(1), F.lit(HARD_LIMIT) - F.coalesce(F.length(section_head()) + 2, F.lit(0)))
+    room = F.greatest(F.lit(1), F.lit(HARD_LIMIT - 1) - F.coalesce(F.length(section_head()) + 2, F.lit(0)))
     return sliced(lines, room)
 
 
 def chunks(sections: DataFrame) -> DataFrame:
-    """``sections(note_id, version_id, title, heading, lines)`` -> a row a chunk with its text and id, ordinals from 0."""
+    """``sections(note_id, version_id, section, title, heading, lines)`` -> a row a chunk with its text and id.
+
+    Ordinals start from 0 and run on over the sections of a version, in the order of ``section``.
+    """
     rows = sections.withColumn("head", section_head()).withColumn("batches", packed_lines(F.col("lines"), F.length("head") + 2))
-    rows = rows.select("note_id", "version_id", "heading", "head", F.posexplode("batches").alias("ordinal", "batch"))
+    rows = rows.select("note_id", "version_id", "section", "heading", "head", F.posexplode("batches").alias("place", "batch"))
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("note_id", "version_id").orderBy("section", "place")) - 1)
     text = F.concat("head", F.lit("\n\n"), F.array_join("batch", "\n"))
     rows = rows.select("note_id", "version_id", "ordinal", F.size("batch").alias("lines"), text.alias("text"))
     return rows.withColumn("chunk_id", chunk_id(F.col("version_id"), CHUNKER, F.col("ordinal"), F.col("text")))

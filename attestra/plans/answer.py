@@ -8,11 +8,11 @@ from ..operators import answer
 from ..sources.tables import table
 from .base import derived, query, twin
 
-CLAIMS = """SELECT conv_id AS answer_id, turn AS position, substr(text, 1, 50) AS text,
+CLAIMS = """SELECT conv_id AS answer_id, turn AS position, text,
   CASE turn % 4 WHEN 0 THEN array('c' || cast(conv_id % 7 AS string), 'c' || cast(turn AS string)) WHEN 1 THEN array('c' || cast(turn + 3 AS string)) WHEN 2 THEN array('c1', 'c1') ELSE array('x9', 'c' || cast(turn - 1 AS string)) END AS cited,
   CASE WHEN turn % 5 = 0 THEN array('c' || cast(turn AS string)) WHEN turn % 5 = 1 THEN array('c8') WHEN turn % 5 = 2 THEN array_remove(array('z'), 'z') ELSE array('c' || cast(turn - 1 AS string)) END AS supporting,
   (conv_id + turn) % 6 <> 0 AS supported FROM {conversations}"""
-CLAIMS_SQL = """cl AS (SELECT conv_id AS answer_id, turn AS position, substr(text, 1, 50) AS text,
+CLAIMS_SQL = """cl AS (SELECT conv_id AS answer_id, turn AS position, text,
   CASE turn % 4 WHEN 0 THEN ['c' || conv_id % 7, 'c' || turn] WHEN 1 THEN ['c' || (turn + 3)] WHEN 2 THEN ['c1', 'c1'] ELSE ['x9', 'c' || (turn - 1)] END AS cited,
   CASE WHEN turn % 5 = 0 THEN ['c' || turn] WHEN turn % 5 = 1 THEN ['c8'] WHEN turn % 5 = 2 THEN [] ELSE ['c' || (turn - 1)] END AS supporting,
   (conv_id + turn) % 6 <> 0 AS supported FROM conversations), ev AS (SELECT DISTINCT conv_id AS answer_id, 'c' || turn AS chunk_id FROM conversations)"""
@@ -61,27 +61,23 @@ def refusal_code(spark, sf):
 
 
 def _golden(spark, sf):
-    """Benchmark items as cases: expected are the documents that hold the passage, found by its first 40 characters."""
-    items = table(spark, sf, "benchmark").withColumn("head", F.substring("text", 1, 40))
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\n|(?<=\.) ")).alias("s")).withColumn("head", F.substring("s", 1, 40)).where(F.length("head") >= 20)
-    hits = docs.join(items.select("item_id", "head"), "head").select("item_id", F.col("doc_id").cast("string").alias("id")).distinct()
-    found = hits.groupBy("item_id").agg(F.collect_set("id").alias("expected"))
-    none = F.array().cast("array<string>")
-    cases = items.join(found, "item_id", "left").select(
-        F.col("item_id").alias("case_id"), F.col("expected").isNull().alias("should_refuse"), F.coalesce("expected", none).alias("expected"), none.alias("allowed"), F.array(F.lit("-1")).alias("forbidden")
-    )
-    seen = cases.select(
-        "case_id", (F.col("should_refuse") | (F.col("case_id") % 11 == 0)).alias("refused"), F.filter("expected", lambda x: x.cast("long") % 13 != 0).alias("retrieved"),
-        F.when(F.col("case_id") % 17 == 3, F.array(F.lit("-1"))).otherwise(F.filter("expected", lambda x: x.cast("long") % 5 != 0)).alias("cited"),
-    )
-    return cases, seen
+    """Benchmark items as cases: expected are the documents that hold the passage, whole and verbatim."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents").select("doc_id", "text")
+    held = answer.passages_held(items, docs)
+    forbidden = F.lit(-1).cast("long").alias("id")
+    expected = held.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"))
+    known = expected.select("case_id").distinct().withColumn("known", F.lit(True))
+    cases = items.select(F.col("item_id").alias("case_id")).join(known, "case_id", "left").select("case_id", F.col("known").isNull().alias("should_refuse"))
+    seen = cases.select("case_id", (F.col("should_refuse") | (F.col("case_id") % 11 == 0)).alias("refused"))
+    wrong = cases.select("case_id", (F.col("case_id") % 17 == 3).alias("wrong"))
+    cited = expected.join(wrong, "case_id").where("not wrong and id % 5 <> 0").select("case_id", "id").unionByName(wrong.where("wrong").select("case_id", forbidden))
+    return cases, seen, expected, expected.where("false"), cases.select("case_id", forbidden), expected.where("id % 13 <> 0"), cited
 
 
 @query(
     "golden_metrics",
     r"""
-    WITH s AS (SELECT doc_id, substr(unnest(string_split(regexp_replace(regexp_replace(text, '\. ', '.' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1))), 1, 40) AS head FROM documents),
-    h AS (SELECT DISTINCT item_id, doc_id FROM (SELECT * FROM s WHERE length(head) >= 20) s JOIN benchmark b ON substr(b.text, 1, 40) = head),
+    WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     c AS (SELECT b.item_id, count(doc_id) AS expected, count(doc_id) FILTER (doc_id % 13 <> 0) AS found, CASE WHEN b.item_id % 17 = 3 THEN 1 ELSE count(doc_id) FILTER (doc_id % 5 <> 0) END AS cited,
       CASE WHEN b.item_id % 17 = 3 THEN 0 ELSE count(doc_id) FILTER (doc_id % 5 <> 0) END AS good FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id GROUP BY b.item_id),
     m AS (SELECT count(*) AS cases, 0::BIGINT AS gaps, coalesce(sum(good) / nullif(sum(cited)::DOUBLE, 0), 1.0) AS precision, coalesce(sum(found) / nullif(sum(expected)::DOUBLE, 0), 1.0) AS recall,

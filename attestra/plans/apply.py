@@ -8,9 +8,9 @@ from ..operators import apply, ingest, markdown
 from ..sources.tables import table
 from .base import derived, query, twin
 
-PLAN = """SELECT CASE doc_id % 6 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'MOVED' WHEN 3 THEN 'UNCHANGED' ELSE 'UPDATED' END AS action, doc_id % 300 AS source_id, substr(text, 1, 25) AS content_hash,
+PLAN = """SELECT CASE doc_id % 6 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'MOVED' WHEN 3 THEN 'UNCHANGED' ELSE 'UPDATED' END AS action, cast(floor(doc_id / 4) AS bigint) AS source_id, sha2(text, 256) AS content_hash,
   doc_id % 17 = 0 AS parse_error, doc_id % 13 = 0 AS unsafe, doc_id % 9 = 0 AS preserve_quarantine FROM {documents}"""
-VERSIONS = "SELECT doc_id % 300 AS source_id, substr(text, 1, 25) AS content_hash, doc_id AS version_number, CASE WHEN doc_id % 4 = 0 THEN 'QUARANTINED' ELSE 'READY' END AS status FROM {documents} WHERE doc_id % 5 <> 0"
+VERSIONS = "SELECT cast(floor(doc_id / 4) AS bigint) AS source_id, sha2(text, 256) AS content_hash, doc_id AS version_number, CASE WHEN n_chars % 4 = 0 THEN 'QUARANTINED' ELSE 'READY' END AS status FROM {documents} WHERE lang <> 'fr'"
 
 
 @query(
@@ -59,14 +59,14 @@ def snapshot_verify(spark, sf):
 
 
 RUNS = "SELECT c_custkey AS run_id FROM {customer}"
-ARTEFACTS = """SELECT c_custkey AS run_id, 'staged' AS kind FROM {customer} WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, 'indexed' FROM {customer} WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'verified' FROM {customer} WHERE c_custkey % 3 <> 0
-  UNION ALL SELECT c_custkey, 'published' FROM {customer} WHERE c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, 'activated' FROM {customer} WHERE c_custkey % 11 <> 0"""
+ARTEFACTS = """SELECT o_custkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'staged' WHEN '2-HIGH' THEN 'indexed' WHEN '3-MEDIUM' THEN 'verified' WHEN '4-NOT SPECIFIED' THEN 'published' ELSE 'activated' END AS kind FROM {orders}"""
 
 
 @query(
     "saga_resume",
-    """SELECT c_custkey AS run_id, CASE WHEN c_custkey % 7 = 0 THEN 'CURATING' WHEN c_custkey % 5 = 0 THEN 'VAULT_STAGED' WHEN c_custkey % 3 = 0 THEN 'INDEXING' WHEN c_custkey % 2 = 0 THEN 'INDEX_VERIFIED' WHEN c_custkey % 11 = 0 THEN 'VAULT_PUBLISHED' ELSE 'COMPLETED' END AS status,
-    CASE WHEN c_custkey % 7 = 0 THEN 'staged' WHEN c_custkey % 5 = 0 THEN 'indexed' WHEN c_custkey % 3 = 0 THEN 'verified' WHEN c_custkey % 2 = 0 THEN 'published' WHEN c_custkey % 11 = 0 THEN 'activated' ELSE 'NONE' END AS next_stage FROM customer""",
+    f"""WITH s AS (SELECT * FROM (VALUES (1, 'staged', 'CURATING'), (2, 'indexed', 'VAULT_STAGED'), (3, 'verified', 'INDEXING'), (4, 'published', 'INDEX_VERIFIED'), (5, 'activated', 'VAULT_PUBLISHED')) v(place, kind, before)),
+    m AS (SELECT c_custkey AS run_id, min(place) AS place FROM customer CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM ({twin(ARTEFACTS)}) a WHERE a.run_id = c_custkey AND a.kind = s.kind) GROUP BY 1)
+    SELECT c_custkey AS run_id, coalesce(before, 'COMPLETED') AS status, coalesce(kind, 'NONE') AS next_stage FROM customer LEFT JOIN m ON m.run_id = c_custkey LEFT JOIN s ON s.place = m.place""",
 )
 def saga_resume(spark, sf):
     return apply.resume_points(derived(spark, sf, RUNS), derived(spark, sf, ARTEFACTS))
@@ -100,12 +100,12 @@ def robots_verdict(spark, sf):
 
 @query(
     "search_hits",
-    r"""WITH p AS (SELECT 'r' || page_id % 30 AS request_id, url, min(page_id) AS place FROM pages WHERE starts_with(url, 'https://') GROUP BY 1, 2),
+    r"""WITH p AS (SELECT 'r' || page_id // 100 AS request_id, url, min(page_id) AS place FROM pages WHERE starts_with(url, 'https://') GROUP BY 1, 2),
     k AS (SELECT request_id, url, row_number() OVER (PARTITION BY request_id ORDER BY place) - 1 AS rank FROM p)
     SELECT request_id, rank::INT AS rank, url, 'candidate_' || substr(sha256(request_id || chr(10) || rank || chr(10) || url), 1, 24) AS candidate_id FROM k WHERE rank < 4""",
 )
 def search_hits(spark, sf):
-    request = F.concat(F.lit("r"), (F.col("page_id") % 30).cast("string"))
+    request = F.concat(F.lit("r"), F.floor(F.col("page_id") / 100).cast("string"))
     return apply.first_hits(table(spark, sf, "pages").select(request.alias("request_id"), F.col("page_id").alias("place"), "url"), 4)
 
 
@@ -132,16 +132,16 @@ def privacy_findings(spark, sf):
 
 @query(
     "markdown_blocks",
-    """WITH l AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:3] AS ls FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 2 AND NOT regexp_matches(text, '(^|\n)\\s|\\|')),
+    """WITH l AS (SELECT doc_id, source, list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: 'p ' || translate(x, '|^', '/-')) AS ls FROM documents),
     b AS (SELECT doc_id, 0 AS ordinal, 'heading' AS block_type, 'h1:' || source AS anchor, '# ' || source AS t FROM l
-      UNION ALL SELECT doc_id, i, 'paragraph', 'h1:' || source || '/paragraph:' || i, ls[i] FROM l, unnest(range(1, 4)) r(i)
-      UNION ALL SELECT doc_id, 4, 'list', 'h1:' || source || '/list:1', '- a' || chr(10) || '- b' FROM l UNION ALL SELECT doc_id, 5, 'heading', 'h1:' || source || '/h2:part two', '## Part  two' FROM l
-      UNION ALL SELECT doc_id, 6, 'code_fence', 'h1:' || source || '/h2:part two/code_fence:1', '```' || chr(10) || '# no heading' || chr(10) || '```' FROM l)
+      UNION ALL SELECT doc_id, i, 'paragraph', 'h1:' || source || '/paragraph:' || i, ls[i] FROM l, unnest(range(1, len(ls) + 1)) r(i)
+      UNION ALL SELECT doc_id, len(ls) + 1, 'list', 'h1:' || source || '/list:1', '- a' || chr(10) || '- b' FROM l UNION ALL SELECT doc_id, len(ls) + 2, 'heading', 'h1:' || source || '/h2:part two', '## Part  two' FROM l
+      UNION ALL SELECT doc_id, len(ls) + 3, 'code_fence', 'h1:' || source || '/h2:part two/code_fence:1', '```' || chr(10) || '# no heading' || chr(10) || '```' FROM l)
     SELECT doc_id, ordinal::INT AS ordinal, block_type, anchor, sha256(t) AS text_hash, length(t) AS character_count FROM b""",
 )
 def markdown_blocks(spark, sf):
-    """Notes made of a document's first lines, with headings, a list and a fence around them."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    d = table(spark, sf, "documents").where((F.size(lines) > 2) & ~F.col("text").rlike(r"(^|\n)\s|\|"))
-    note = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.array_join(F.slice(lines, 1, 3), "\n\n"), F.lit("\n\n- a\n- b\n\n## Part  two\n```\n# no heading\n```\n"))
+    """Notes made of all lines of a document as paragraphs, with headings, a list and a fence around them."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.concat(F.lit("p "), F.translate(x, "|^", "/-")))
+    d = table(spark, sf, "documents")
+    note = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.array_join(lines, "\n\n"), F.lit("\n\n- a\n- b\n\n## Part  two\n```\n# no heading\n```\n"))
     return markdown.blocks(d.select("doc_id", note.alias("text"))).drop("error")

@@ -32,5 +32,5 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def twin(sql: str) -> str:
-    """The same SQL for an engine that knows the tables by name."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    """The same SQL for an engine that knows the tables by name and names the digest otherwise."""
+    return re.sub(r"\bsha2\((\w+), 256\)", r"sha256(\1)", re.sub(r"\{(\w+)\}", r"\1", sql))

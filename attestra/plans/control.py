@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import checks, control
+from ..operators import checks, control, lineage
 from ..sources.tables import table
 from .base import derived, query, twin
 
-CURRENT = "SELECT c_custkey AS id, c_custkey % 5 + 1 AS revision, c_mktsegment AS state FROM {customer}"
-UPDATES = "SELECT o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000 ELSE 0 END AS id, o_orderkey % 5 + 1 AS revision, o_orderstatus AS state FROM {orders} WHERE o_orderkey % 7 = 0"
+CURRENT = "SELECT o_orderkey AS id, o_custkey % 3 + 1 AS revision, o_orderstatus AS state FROM {orders}"
+UPDATES = "SELECT CASE WHEN l_quantity > 48 THEN -1 - l_orderkey ELSE l_orderkey END AS id, cast(l_linenumber AS bigint) AS revision, l_linestatus AS state FROM {lineitem}"
 CAS_SQL = f"""c AS ({twin(CURRENT)}), u AS ({twin(UPDATES)}), k AS (SELECT u.*, count(*) OVER (PARTITION BY u.id) AS n FROM u),
   o AS (SELECT k.id, k.revision, k.state, CASE WHEN c.id IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'CONFLICT' WHEN k.revision <> c.revision THEN 'STALE' ELSE 'APPLIED' END AS outcome FROM k LEFT JOIN c ON c.id = k.id)"""
 
@@ -39,7 +39,7 @@ def transition_violations(spark, sf):
     return control.transition_violations(derived(spark, sf, HISTORY), control.transitions(spark))
 
 
-LOG = "SELECT user_id AS operation_id, event_id, event_type AS payload FROM {events}"
+LOG = "SELECT user_id AS operation_id, event_id, event_type AS payload, value FROM {events}"
 
 
 def _log(spark, sf):
@@ -50,7 +50,7 @@ def _log(spark, sf):
     rows = derived(spark, sf, LOG).withColumn("step", F.row_number().over(w).cast("long")).withColumn("entry_hash", F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256)).withColumn("previous_hash", F.lag("entry_hash").over(w))
     rows = rows.withColumn("previous_hash", F.when(F.col("event_id") % 97 == 0, F.lit("wrong")).otherwise(F.col("previous_hash")))
     own = F.sha2(control.entry_text(F.col("operation_id"), F.col("step"), F.col("payload"), F.col("previous_hash")), 256)
-    return rows.withColumn("entry_hash", F.when(F.col("event_id") % 89 == 0, own).otherwise(F.col("entry_hash"))).where("event_id % 101 <> 0")
+    return rows.withColumn("entry_hash", F.when(F.col("event_id") % 89 == 0, own).otherwise(F.col("entry_hash"))).where("not (payload = 'error' and value > 20)")
 
 
 @query(
@@ -58,7 +58,7 @@ def _log(spark, sf):
     f"""WITH r AS (SELECT *, row_number() OVER w AS step, lag(event_id) OVER w AS before FROM ({twin(LOG)}) WINDOW w AS (PARTITION BY operation_id ORDER BY event_id)),
     p AS (SELECT operation_id, event_id, payload, step, CASE WHEN event_id % 97 = 0 THEN 'wrong' WHEN before IS NOT NULL THEN sha256('e' || before) END AS previous_hash FROM r),
     g AS (SELECT *, sha256('["' || operation_id || '","' || step || '","' || payload || '","' || coalesce(previous_hash, 'null') || '"]') AS own FROM p),
-    h AS (SELECT *, CASE WHEN event_id % 89 = 0 THEN own ELSE sha256('e' || event_id) END AS entry_hash FROM g WHERE event_id % 101 <> 0),
+    h AS (SELECT *, CASE WHEN event_id % 89 = 0 THEN own ELSE sha256('e' || event_id) END AS entry_hash FROM g JOIN (SELECT event_id, value FROM events) USING (event_id) WHERE NOT (payload = 'error' AND value > 20)),
     k AS (SELECT *, lag(step) OVER w AS ls, lag(entry_hash) OVER w AS lh FROM h WINDOW w AS (PARTITION BY operation_id ORDER BY step))
     SELECT operation_id, step, CASE WHEN step <> coalesce(ls, 0) + 1 THEN 'STEP' WHEN previous_hash IS DISTINCT FROM lh THEN 'LINK' WHEN entry_hash <> own THEN 'HASH' END AS broken FROM k
     WHERE step <> coalesce(ls, 0) + 1 OR previous_hash IS DISTINCT FROM lh OR entry_hash <> own""",
@@ -68,7 +68,7 @@ def chain_verify(spark, sf):
 
 
 REQUESTS = "SELECT 'answer' AS scope, c_custkey AS key, CASE WHEN c_custkey % 6 = 0 THEN 'other' ELSE 'same' END AS request_hash, 1000 AS asked_at FROM {customer}"
-RECORDS = "SELECT 'answer' AS scope, c_custkey AS key, 'same' AS request_hash, CASE c_custkey % 5 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'FAILED' ELSE 'IN_PROGRESS' END AS status, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 900 + c_custkey % 200 END AS lease_expires_at, cast(c_custkey % 3 + 1 AS bigint) AS attempt FROM {customer} WHERE c_custkey % 4 <> 0"
+RECORDS = "SELECT 'answer' AS scope, c_custkey AS key, 'same' AS request_hash, CASE c_custkey % 5 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'FAILED' ELSE 'IN_PROGRESS' END AS status, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 900 + c_custkey % 200 END AS lease_expires_at, cast(c_custkey % 3 + 1 AS bigint) AS attempt FROM {customer} WHERE c_acctbal > 0"
 
 
 @query(
@@ -100,10 +100,10 @@ EDGES = """SELECT 'region:' || cast(n_regionkey AS string) AS src, 'nation:' ||
     SELECT string_split(node, ':')[1] AS kind, depth::INT AS depth, count(*) AS nodes FROM r GROUP BY 1, 2""",
 )
 def lineage_reach(spark, sf):
-    """Everything below one region; the levels of the type graph bound the depth."""
-    edges = derived(spark, sf, EDGES)
-    sql = "WITH RECURSIVE r(node, depth) AS (SELECT 'region:1', 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN {edges} ON src = node) SELECT split(node, ':')[0] AS kind, depth, count(*) AS nodes FROM r GROUP BY 1, 2"
-    return spark.sql(sql, edges=edges)
+    """Everything below one region."""
+    roots = spark.range(1).select(F.lit("region:1").alias("node"))
+    found = lineage.reached(derived(spark, sf, EDGES), roots)
+    return found.groupBy(F.split("node", ":")[0].alias("kind"), "depth").agg(F.count("*").alias("nodes"))
 
 
 @query("unique_violations", "SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 AND user_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, urls
 from ..operators import govern
+from ..sources import html
 from ..sources.tables import table
 from .base import derived, query, twin
 
@@ -69,9 +70,10 @@ CLAIMS = """SELECT doc_id AS claim_id, source, lang,
   CASE WHEN doc_id % 4 = 0 THEN 'T0' ELSE 'T4' END AS tier, CASE WHEN doc_id % 5 <> 0 THEN 'me' END AS owner,
   CASE doc_id % 8 WHEN 0 THEN 'Medical' WHEN 1 THEN 'law' ELSE 'cooking' END AS domain, CASE WHEN doc_id % 3 = 0 THEN 'PRIVATE' ELSE 'PUBLIC' END AS sensitivity,
   CASE WHEN doc_id % 12 = 0 THEN '2.1' END AS version, CASE WHEN doc_id % 7 = 0 THEN 1000 END AS freshness_at, doc_id % 3 <> 0 AS search_available, doc_id % 53 = 0 AS unsafe FROM {documents}"""
-EVIDENCE = """SELECT o_orderkey % 1000 AS claim_id, CASE o_orderkey % 5 WHEN 0 THEN 'CONTRADICT' WHEN 1 THEN 'NEUTRAL' ELSE 'SUPPORT' END AS stance,
+EVIDENCE = """SELECT cast(floor(o_orderkey / 15) AS bigint) - CASE WHEN cast(floor(o_orderkey / 15) AS bigint) % 10 = 9 THEN 1 ELSE 0 END AS claim_id,
+  CASE WHEN cast(floor(o_orderkey / 15) AS bigint) % 7 < 3 THEN 'SUPPORT' WHEN cast(floor(o_orderkey / 15) AS bigint) % 7 = 3 THEN 'CONTRADICT' WHEN o_orderstatus = 'P' THEN 'CONTRADICT' WHEN o_orderstatus = 'O' THEN 'NEUTRAL' ELSE 'SUPPORT' END AS stance,
   CASE o_orderkey % 3 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' ELSE 'T4' END AS tier, cast(o_orderkey % 100 AS double) / 100 AS relevance, cast(90 + o_orderkey % 11 AS double) / 100 AS coverage,
-  'f' || cast(o_orderkey % 6 AS string) AS family, o_orderkey % 4 = 0 AS version_match, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS freshness_match FROM {orders} WHERE o_orderkey % 9 = 4"""
+  'f' || cast(o_orderkey % 6 AS string) AS family, o_orderkey % 4 = 0 AS version_match, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS freshness_match FROM {orders}"""
 DIM_SQL = f"""e AS (SELECT *, tier IN ('T1', 'T2') AND relevance >= 0.8 AS trusted FROM ({twin(EVIDENCE)})),
   d AS (SELECT claim_id, count(*) AS results, max(coverage) AS coverage, least(count(DISTINCT family) / 2.0, 1.0) AS independence,
     count(*) FILTER (trusted AND stance = 'SUPPORT') AS supports, count(*) FILTER (trusted AND stance = 'CONTRADICT') AS contradictions,
@@ -129,7 +131,7 @@ def review_gate(spark, sf):
     return govern.review_gate(derived(spark, sf, REVIEWS))
 
 
-PRINTS = "SELECT conv_id, turn, role, substr(text, 1, 40) AS value, CASE WHEN turn % 3 = 0 THEN NULL ELSE cast(turn AS string) END AS version FROM {conversations}"
+PRINTS = "SELECT conv_id, turn, role, text AS value, CASE WHEN turn % 3 = 0 THEN NULL ELSE cast(turn AS string) END AS version FROM {conversations}"
 _J = "replace(replace(replace(value, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
 FAMILY_JSON = "'{\"claim_type\":\"FACT\",\"predicate\":\"' || role || '\",\"scope\":{\"conditions\":[],\"exceptions\":[],\"polarity\":\"AFFIRMED\"' || CASE WHEN version IS NOT NULL THEN ',\"version\":\"' || version || '\"' ELSE '' END || '},\"subject\":\"c' || conv_id % 100 || '\"}'"
 
@@ -160,8 +162,23 @@ def family_groups(spark, sf):
     return _fingerprints(spark, sf).groupBy("family_key").agg(F.count("*").alias("claims"), F.count_distinct("fingerprint").alias("fingerprints"))
 
 
-@query("html_blocks")
-def html_blocks(spark, sf):
-    from ..sources.html import html_text, text_blocks
+def visible_sql() -> str:
+    text = "coalesce(html, '')"
+    for pattern in html.REMOVED:
+        text = f"regexp_replace({text}, '{pattern}', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{html.BREAK}', chr(10), 'g'), '{html.TAG}', '', 'g')"
+    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):  # those that the pages have
+        text = f"replace({text}, '&{entity};', '{char}')"
+    return text
+
 
-    return text_blocks(html_text(table(spark, sf, "pages")))
+@query(
+    "html_blocks",
+    rf"""WITH v AS (SELECT page_id, {visible_sql()} AS t FROM pages),
+    l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM v),
+    s AS (SELECT page_id, list_filter(flatten(list_transform(ls, lambda x: list_transform(range(0, (length(x) - 1) // {html.BLOCK_CHARS} + 1), lambda i: trim(substr(x, (i * {html.BLOCK_CHARS} + 1)::BIGINT, {html.BLOCK_CHARS}))))), lambda x: x <> '')[1:{html.MOST_BLOCKS}] AS bs FROM l),
+    b AS (SELECT page_id, generate_subscripts(bs, 1) - 1 AS ordinal, unnest(bs) AS t FROM s)
+    SELECT page_id, ordinal::INT AS ordinal, 'text:block:' || ordinal AS anchor, sha256(t) AS text_hash, length(t) AS character_count FROM b""",
+)
+def html_blocks(spark, sf):
+    return html.text_blocks(html.html_text(table(spark, sf, "pages")))

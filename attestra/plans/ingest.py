@@ -40,18 +40,18 @@ def path_key_scope(spark, sf):
     return p.select("doc_id", text.vault_path(F.col("path")).alias("vault_path"), hashing.path_key(F.col("path")).alias("path_key"), text.in_scope(F.col("path"), ["SRC1", "src2/Straße", "src2/en"], ["src1/fr"]).alias("in_scope"))
 
 
-ENTRIES = "SELECT source, lang, 'p' || lpad(cast(doc_id AS string), 10, '0') AS path_key, length(text) AS size, CASE WHEN doc_id % 23 = 0 THEN 'UNSTABLE_FILE' END AS error_category FROM {documents}"
+ENTRIES = "SELECT source, lang, cast(floor(doc_id / 1000) AS bigint) AS folder, 'p' || lpad(cast(doc_id AS string), 10, '0') AS path_key, length(text) AS size, CASE WHEN doc_id % 23 = 0 THEN 'UNSTABLE_FILE' END AS error_category FROM {documents}"
 
 
 @query(
     "manifest_digest",
     f"""
     WITH e AS ({twin(ENTRIES)})
-    SELECT source, lang, count(*) AS entries, sha256('[' || string_agg('{{"error_category":' || coalesce('"' || error_category || '"', 'null') || ',"path_key":"' || path_key || '","size":' || size || '}}', ',' ORDER BY path_key) || ']') AS manifest_hash
-    FROM e GROUP BY source, lang""",
+    SELECT source, lang, folder, count(*) AS entries, sha256('[' || string_agg('{{"error_category":' || coalesce('"' || error_category || '"', 'null') || ',"path_key":"' || path_key || '","size":' || size || '}}', ',' ORDER BY path_key) || ']') AS manifest_hash
+    FROM e GROUP BY source, lang, folder""",
 )
 def manifest_digest(spark, sf):
-    return ingest.manifest_digest(derived(spark, sf, ENTRIES), ["source", "lang"], ["path_key", "size", "error_category"], "path_key")
+    return ingest.manifest_digest(derived(spark, sf, ENTRIES), ["source", "lang", "folder"], ["path_key", "size", "error_category"], "path_key")
 
 
 @query(
@@ -69,14 +69,14 @@ def manifest_tree(spark, sf):
 
 MANIFEST = """SELECT doc_id, 'p' || CASE WHEN doc_id % 5 = 0 THEN 'moved-' ELSE '' END || cast(doc_id AS string) AS path_key,
   CASE WHEN doc_id % 3 = 0 THEN 'f' || cast(doc_id AS string) WHEN doc_id % 50 = 1 THEN 'shared' END AS file_key,
-  CASE WHEN doc_id % 29 = 0 THEN NULL ELSE cast(length(text) AS string) || substr(text, 1, 80) END AS content_hash,
-  CASE WHEN doc_id % 29 = 0 THEN 'DECODE' END AS error_category FROM {documents} WHERE doc_id % 11 <> 0"""
+  CASE WHEN doc_id % 29 = 0 THEN NULL ELSE sha2(text, 256) END AS content_hash,
+  CASE WHEN doc_id % 29 = 0 THEN 'DECODE' END AS error_category FROM {documents} WHERE source <> 'src4'"""
 KNOWN = """SELECT doc_id AS source_id, 'p' || cast(doc_id AS string) AS path_key,
   CASE WHEN doc_id % 3 = 0 THEN 'f' || cast(doc_id AS string) WHEN doc_id % 50 = 1 THEN 'shared' END AS file_key,
-  cast(length(text) AS string) || substr(text, 1, 80) AS current_hash,
-  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'changed' ELSE cast(length(text) AS string) || substr(text, 1, 80) END AS latest_hash,
+  sha2(text, 256) AS current_hash,
+  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'changed' ELSE sha2(text, 256) END AS latest_hash,
   CASE WHEN doc_id % 31 = 0 THEN 'PARSE_FAILED' WHEN doc_id % 37 = 0 THEN 'QUARANTINED' ELSE 'READY' END AS latest_status,
-  doc_id % 2 = 0 AS eligible FROM {documents} WHERE doc_id % 7 <> 0"""
+  doc_id % 2 = 0 AS eligible FROM {documents} WHERE source <> 'src6'"""
 PLAN_SQL = f"""
     WITH m AS ({twin(MANIFEST)}), k AS (SELECT *, coalesce(latest_hash, current_hash) AS h FROM ({twin(KNOWN)})),
     same AS (
@@ -195,12 +195,12 @@ def run_summary(spark, sf):
     return e.groupBy(F.col("user_id").alias("run_id")).agg(*(F.count(F.when(F.col("event_type") == x, 1)).alias(x) for x in ("view", "signup", "purchase", "error", "click")))
 
 
-@query("snapshots_to_add", "SELECT DISTINCT sha256(text) AS content_hash, substr(sha256(text), 1, 2) AS folder FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+@query("snapshots_to_add", "SELECT DISTINCT sha256(text) AS content_hash, substr(sha256(text), 1, 2) AS folder FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def snapshots_to_add(spark, sf):
     from ..operators.publish import snapshots_to_add as add
 
     d = table(spark, sf, "documents")
-    stored = d.where("doc_id % 3 = 0").select(hashing.sha256(F.col("text")).alias("content_hash"))
+    stored = d.where("lang = 'en'").select(hashing.sha256(F.col("text")).alias("content_hash"))
     return add(stored, d.select("text")).select("content_hash", "folder")
 
 

@@ -9,7 +9,7 @@ from ..operators import publish
 from ..sources.tables import table
 from .base import derived, query, twin
 
-CLAIMS = """SELECT doc_id, 'claim_' || cast(doc_id AS string) AS claim_id, 'n' || cast(doc_id % 97 AS string) AS note_id, doc_id AS seq, source AS subject, substr(text, 1, 30) AS predicate, substr(text, 5, 90) AS value,
+CLAIMS = """SELECT doc_id, 'claim_' || cast(doc_id AS string) AS claim_id, 'n' || cast(cast(floor(doc_id / 10) AS bigint) AS string) AS note_id, doc_id AS seq, source AS subject, lang AS predicate, text AS value,
   CASE doc_id % 5 WHEN 0 THEN 'FACT' WHEN 1 THEN 'CODE_BEHAVIOR' WHEN 2 THEN 'USER_EXPERIENCE' ELSE 'DEFINITION' END AS claim_type,
   CASE doc_id % 6 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'USER_ASSERTED' WHEN 2 THEN 'OPINION' WHEN 3 THEN 'REJECTED' ELSE 'VERIFIED' END AS status,
   CASE doc_id % 8 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'RESTRICTED' ELSE 'PUBLIC' END AS sensitivity,
@@ -47,7 +47,7 @@ def plain_title(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.plain_title(F.col("text")).alias("title"))
 
 
-SECTIONS = "SELECT doc_id AS note_id, 'v' || cast(doc_id AS string) AS version_id, source AS title, lang AS heading, text FROM {documents}"
+SECTIONS = "SELECT doc_id AS note_id, 'v' || cast(doc_id AS string) AS version_id, 0 AS section, source AS title, lang AS heading, text FROM {documents}"
 
 
 def _sections(spark, sf):
@@ -58,22 +58,42 @@ def _chunks(spark, sf):
     return publish.chunks(_sections(spark, sf))
 
 
-@query("chunk_pack")
+#: The fold as a recursion over lines: what each line closes, then the open rest.
+CHUNK_SQL = f"""RECURSIVE sec AS (SELECT doc_id AS note_id, '# ' || source || chr(10) || '## ' || lang AS head, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS whole FROM documents),
+    fit AS (SELECT note_id, head, length(head) + 2 AS prefix, flatten(list_transform(whole, lambda x: list_transform(range(0, (length(x) - 1) // greatest(1, {publish.HARD_LIMIT} - 1 - length(head) - 2) + 1),
+      lambda i: substr(x, (i * greatest(1, {publish.HARD_LIMIT} - 1 - length(head) - 2) + 1)::BIGINT, greatest(1, {publish.HARD_LIMIT} - 1 - length(head) - 2)::BIGINT)))) AS lines FROM sec),
+    li AS (SELECT note_id, prefix, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM fit),
+    fold AS (
+      SELECT note_id, 0::BIGINT AS i, []::VARCHAR[] AS cur, []::VARCHAR[][] AS closed FROM fit WHERE len(lines) > 0
+      UNION ALL
+      SELECT note_id, i + 1, CASE WHEN over_ THEN [line] ELSE list_append(base, line) END, list_concat(CASE WHEN full_ THEN [cur] ELSE [] END, CASE WHEN over_ THEN [base] ELSE [] END) FROM (
+        SELECT *, len(base) > 0 AND prefix + list_sum(list_transform(base, lambda x: length(x) + 1)) + length(line) + 1 > {publish.HARD_LIMIT} AS over_ FROM (
+          SELECT *, CASE WHEN full_ THEN list_filter(cur, lambda x, k: list_sum(list_transform(cur[k:], lambda y: length(y) + 1)) <= {publish.OVERLAP}) ELSE cur END AS base FROM (
+            SELECT f.note_id, f.i, f.cur, prefix, line, len(cur) > 0 AND prefix + list_sum(list_transform(cur, lambda x: length(x) + 1)) + length(line) + 1 > {publish.TARGET} AS full_
+            FROM fold f JOIN li ON li.note_id = f.note_id AND li.i = f.i + 1)))
+    ), parts AS (
+      SELECT note_id, i, generate_subscripts(closed, 1) AS k, unnest(closed) AS batch FROM fold UNION ALL SELECT note_id, i + 1, 1, cur FROM fold WHERE len(cur) > 0 AND i = (SELECT max(l.i) FROM li l WHERE l.note_id = fold.note_id)
+    ), chunk AS (
+      SELECT note_id, head, batch, row_number() OVER (PARTITION BY note_id ORDER BY i, k) - 1 AS ordinal, head || chr(10) || chr(10) || array_to_string(batch, chr(10)) AS text FROM parts JOIN fit USING (note_id)
+    )"""
+
+
+@query("chunk_pack", f"WITH {CHUNK_SQL} SELECT note_id, ordinal::INT AS ordinal, len(batch)::INT AS lines, length(text)::INT AS chars, sha256('v' || note_id || '|{publish.CHUNKER}|' || ordinal || '|' || text) AS chunk_id FROM chunk")
 def chunk_pack(spark, sf):
-    """A fold in one row; a brute-force fold in the tests stands in for SQL."""
+    """A fold in one row; brute force in the tests has further cases."""
     return _chunks(spark, sf).select("note_id", "ordinal", "lines", F.length("text").alias("chars"), "chunk_id")
 
 
-@query("chunk_counts", "SELECT doc_id AS note_id, true AS covered FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 0")
+@query("chunk_counts", f"WITH {CHUNK_SQL}, got AS (SELECT note_id, count(*) AS chunks, flatten(list(batch)) AS held FROM chunk GROUP BY 1) SELECT note_id, chunks, list_has_all(held, lines) AND array_to_string(lines, '') = array_to_string(whole, '') AS covered FROM fit JOIN sec USING (note_id) JOIN got USING (note_id)")
 def chunk_counts(spark, sf):
-    """Whether a note's chunks hold all its text: each line, or each slice of it where the slices make up the line."""
+    """A note's chunks, and whether they hold all its text: each line, or each slice of it where the slices make up the line."""
     hashed = lambda xs: F.transform(xs, lambda x: F.xxhash64(x))
     uncut = F.array_join("whole", "") == F.array_join("lines", "")
     source = _sections(spark, sf).where(F.size("whole") > 0).select("note_id", uncut.alias("uncut"), hashed(F.col("lines")).alias("want"))
     held = F.split("text", "\n")  # a chunk starts with title, heading and an empty line
-    got = _chunks(spark, sf).groupBy("note_id").agg(F.flatten(F.collect_list(hashed(F.slice(held, F.lit(4), F.size(held))))).alias("got"))  # a note's own lines
+    got = _chunks(spark, sf).groupBy("note_id").agg(F.flatten(F.collect_list(hashed(F.slice(held, F.lit(4), F.size(held))))).alias("got"), F.count("*").alias("chunks"))  # a note's own lines
     missing = F.size(F.array_except("want", F.coalesce("got", F.array().cast("array<bigint>"))))
-    return source.join(got, "note_id", "left").select("note_id", (F.col("uncut") & (missing == 0)).alias("covered"))
+    return source.join(got, "note_id", "left").select("note_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), (F.col("uncut") & (missing == 0)).alias("covered"))
 
 
 META_SQL = f"WITH {LIVE_SQL}, m AS (SELECT sha256(note_id || '|' || claim_type) AS chunk_id, * FROM c)"
@@ -90,15 +110,15 @@ def chunk_metadata(spark, sf):
     return publish.chunk_metadata(_live(spark, sf).withColumn("chunk_id", F.sha2(F.concat_ws("|", "note_id", "claim_type"), 256)))
 
 
-@query("coverage_gaps", f"WITH {LIVE_SQL} SELECT claim_id, 'missing' AS gap FROM c WHERE doc_id % 41 = 0 UNION ALL SELECT DISTINCT 'ghost_' || doc_id, 'unknown' FROM documents WHERE doc_id % 43 = 0")
+@query("coverage_gaps", f"WITH {LIVE_SQL} SELECT claim_id, 'missing' AS gap FROM c WHERE subject = 'src7' UNION ALL SELECT DISTINCT 'ghost_' || doc_id, 'unknown' FROM documents WHERE source = 'src8'")
 def coverage_gaps(spark, sf):
     live = _live(spark, sf)
-    ghosts = table(spark, sf, "documents").where("doc_id % 43 = 0").select(F.concat(F.lit("ghost_"), F.col("doc_id").cast("string")).alias("claim_id"))
-    return publish.coverage_gaps(live, live.where("doc_id % 41 <> 0").select("claim_id").unionByName(ghosts))
+    ghosts = table(spark, sf, "documents").where("source = 'src8'").select(F.concat(F.lit("ghost_"), F.col("doc_id").cast("string")).alias("claim_id"))
+    return publish.coverage_gaps(live, live.where("subject <> 'src7'").select("claim_id").unionByName(ghosts))
 
 
-EXPECTED = "SELECT cast(doc_id AS string) AS chunk_id, doc_id % 89 AS note_id, doc_id % 3 AS version_id, substr(text, 1, 20) AS content_hash FROM {documents} WHERE doc_id % 10 <> 0"
-ACTUAL = "SELECT cast(doc_id AS string) AS chunk_id, doc_id % 89 AS note_id, CASE WHEN doc_id % 17 = 0 THEN 9 ELSE doc_id % 3 END AS version_id, substr(text, 1, CASE WHEN doc_id % 23 = 0 THEN 5 ELSE 20 END) AS content_hash FROM {documents} WHERE doc_id % 13 <> 0"
+EXPECTED = "SELECT cast(doc_id AS string) AS chunk_id, cast(floor(doc_id / 10) AS bigint) AS note_id, doc_id % 3 AS version_id, sha2(text, 256) AS content_hash FROM {documents} WHERE source <> 'src3'"
+ACTUAL = "SELECT cast(doc_id AS string) AS chunk_id, cast(floor(doc_id / 10) AS bigint) AS note_id, CASE WHEN n_chars % 67 = 0 THEN 9 ELSE doc_id % 3 END AS version_id, CASE WHEN n_chars % 53 = 0 THEN sha2(source, 256) ELSE sha2(text, 256) END AS content_hash FROM {documents} WHERE source <> 'src5'"
 DRIFT_SQL = f"""d AS (SELECT coalesce(e.chunk_id, a.chunk_id) AS chunk_id, coalesce(e.note_id, a.note_id) AS note_id, CASE WHEN a.chunk_id IS NULL THEN 'missing' WHEN e.chunk_id IS NULL THEN 'unexpected' ELSE 'changed' END AS drift
   FROM ({twin(EXPECTED)}) e FULL JOIN ({twin(ACTUAL)}) a ON e.chunk_id = a.chunk_id WHERE a.chunk_id IS NULL OR e.chunk_id IS NULL OR e.version_id <> a.version_id OR e.content_hash <> a.content_hash)"""
 
@@ -112,17 +132,17 @@ def probe_drift(spark, sf):
     return _drift(spark, sf)
 
 
-NOTES = "SELECT DISTINCT doc_id % 89 AS note_id, doc_id % 89 % 11 <> 0 AS vault_ok FROM {documents}"
+NOTES = "SELECT cast(floor(doc_id / 10) AS bigint) AS note_id, max(n_chars) % 11 <> 0 AS vault_ok FROM {documents} GROUP BY 1"
 
 
 @query(
     "reconcile_findings",
-    f"""WITH {DRIFT_SQL}, n AS (SELECT note_id, count(*) AS drift FROM d WHERE note_id % 2 = 0 GROUP BY 1)
+    f"""WITH {DRIFT_SQL}, n AS (SELECT note_id, count(*) AS drift FROM d GROUP BY 1)
     SELECT note_id, coalesce(drift, 0) AS drift, CASE WHEN NOT vault_ok THEN 'BLOCKED' WHEN drift IS NULL THEN 'HEALTHY' ELSE 'REPAIRABLE' END AS finding,
       CASE WHEN NOT vault_ok THEN 'vault_verification_failed' WHEN drift IS NOT NULL THEN 'index_drift' END AS reason FROM ({twin(NOTES)}) LEFT JOIN n USING (note_id)""",
 )
 def reconcile_findings(spark, sf):
-    by_note = _drift(spark, sf).groupBy((F.col("chunk_id").cast("long") % 89).alias("note_id")).agg(F.count("*").alias("drift")).where("note_id % 2 = 0")
+    by_note = _drift(spark, sf).groupBy(F.floor(F.col("chunk_id").cast("long") / 10).alias("note_id")).agg(F.count("*").alias("drift"))
     return publish.reconcile(derived(spark, sf, NOTES), by_note, repair=False)
 
 
@@ -131,9 +151,9 @@ def index_upsert(spark, sf):
     return publish.upsert(derived(spark, sf, EXPECTED), derived(spark, sf, ACTUAL))
 
 
-@query("index_delete", f"SELECT * FROM ({twin(EXPECTED)}) WHERE chunk_id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE doc_id % 6 = 1)")
+@query("index_delete", f"SELECT * FROM ({twin(EXPECTED)}) WHERE chunk_id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'de')")
 def index_delete(spark, sf):
-    ids = table(spark, sf, "documents").where("doc_id % 6 = 1").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    ids = table(spark, sf, "documents").where("lang = 'de'").select(F.col("doc_id").cast("string").alias("chunk_id"))
     return publish.delete(derived(spark, sf, EXPECTED), ids)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attestra.functions import text, urls
-from attestra.operators import answer, control, govern, ingest, publish, retrieve, safety
+from attestra.operators import answer, control, govern, ingest, lineage, publish, retrieve, safety
 
 
 def rows(df):
@@ -72,6 +72,8 @@ def brute_chunks(lines, prefix, target=900, overlap=120, hard=1600):
         if current and cost([*current, line]) > hard:
             done.append(current)
             current = []
+        if prefix + len(line) > hard or not current and prefix + len(line) + 1 > hard:
+            return None
         current = [*current, line]
     return done + ([current] if current else [])
 
@@ -90,6 +92,14 @@ def test_a_line_beyond_the_hard_limit_is_an_error(spark):
     df = spark.createDataFrame([(["y" * 1700],)], "lines array<string>")
     with pytest.raises(Exception, match="hard limit"):
         df.select(publish.packed_lines(F.col("lines"), F.lit(20))).collect()
+    for length in (1579, 1580):  # with its line feed a line fills the chunk, or passes the limit
+        df = spark.createDataFrame([(["y" * length],)], "lines array<string>").select(publish.packed_lines(F.col("lines"), F.lit(20)).alias("b"))
+        if brute_chunks(["y" * length], 20) is None:
+            with pytest.raises(Exception, match="hard limit"):
+                df.collect()
+        else:
+            assert df.first().b == [["y" * length]]
+    assert brute_chunks(["y" * 1580], 20) is None
 
 
 def test_chunks_hold_whole_texts(spark, tmp_path, monkeypatch):
@@ -112,7 +122,7 @@ def test_search_hits_are_ranked_before_anything_gathers(spark, tmp_path):
     from attestra.plans import apply as plans
 
     urls = ["http://a", "https://b", "https://c", "https://b", "https://d", None, "https://e", "https://f"]
-    spark.createDataFrame([(30 * i, u) for i, u in enumerate(urls)] + [(1, "https://z")], "page_id long, url string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(100, "https://z")], "page_id long, url string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     got = plans.search_hits(spark, str(tmp_path))
     plan = got._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "WindowGroupLimit" in plan
@@ -145,13 +155,27 @@ def test_cas_and_transitions(spark):
 
 
 def test_golden_gate(spark):
-    cases = spark.createDataFrame([("a", False, ["1"], [], ["9"]), ("b", True, [], [], [])], "case_id string, should_refuse boolean, expected array<string>, allowed array<string>, forbidden array<string>")
-    good = spark.createDataFrame([("a", False, ["1"], ["1"]), ("b", True, [], [])], "case_id string, refused boolean, retrieved array<string>, cited array<string>")
-    assert answer.golden_metrics(cases, good).first().passed
-    unsafe = spark.createDataFrame([("a", False, ["1"], ["1", "9"]), ("b", True, [], [])], "case_id string, refused boolean, retrieved array<string>, cited array<string>")
-    bad = answer.golden_metrics(cases, unsafe).first()
+    cases = spark.createDataFrame([("a", False), ("b", True)], "case_id string, should_refuse boolean")
+    seen = spark.createDataFrame([("a", False), ("b", True)], "case_id string, refused boolean")
+    ids = lambda *xs: spark.createDataFrame([("a", x) for x in xs], "case_id string, id string")
+    assert answer.golden_metrics(cases, seen, ids("1"), ids(), ids("9"), ids("1", "1"), ids("1")).first().passed
+    bad = answer.golden_metrics(cases, seen, ids("1"), ids(), ids("9"), ids("1"), ids("1", "9", "9")).first()
     assert not bad.passed and bad.unsafe == 1 and bad.precision == 0.5
-    assert answer.golden_metrics(cases, good.where("case_id = 'a'")).first().gaps == 1
+    assert answer.golden_metrics(cases, seen.where("case_id = 'a'"), ids("1"), ids(), ids("9"), ids("1"), ids("1")).first().gaps == 1
+
+
+def test_passages_are_found_wherever_they_start(spark):
+    passage = "in one two three four five si"
+    docs = [(1, "begin one two three four five six"), (2, "one two three four five six"), (3, f"x{passage}"), (4, "a b"), (5, None), (6, ""), (7, f"{passage} and {passage}"), (8, "gin one two three four five sia b begin one two three FOUR five six")]
+    items = spark.createDataFrame([(0, passage), (1, "a b"), (2, None)], "item_id long, text string")
+    got = answer.passages_held(items, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 7, 8] and got.where("item_id <> 0").count() == 0
+
+
+def test_lineage_ends_on_circles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("x", "y"), (None, "a"), ("c", None)], "src string, dst string")
+    got = lambda *roots: {(r.node, r.depth) for r in lineage.reached(edges, spark.createDataFrame([(r,) for r in roots], "node string")).collect() if r.node}
+    assert got("a") == {("a", 0), ("b", 1), ("c", 1)} and got("b", "x") == {("b", 0), ("x", 0), ("c", 1), ("y", 1), ("a", 2)} and got("q") == {("q", 0)} and got() == set()
 
 
 def test_exact_search_matches_brute_force(spark):
