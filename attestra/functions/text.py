@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def token_counts(text: Column) -> Column:
+    """The distinct tokens of a text with their numbers and that of all, as an array: sorted, then cut where the token changes."""
+
+    def runs(words: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        counted = lambda at: F.transform(at, lambda x, k: F.struct(F.get(words, x - 1).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(words) + 1) - x).cast("long").alias("tf"), F.size(words).cast("long").alias("length")))
+        return F.when(F.size(words) > 0, bound(changes, counted)).otherwise(F.array().cast("array<struct<token: string, tf: bigint, length: bigint>>"))
+
+    return bound(F.sort_array(tokens(text)), runs)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import tokens
+from ..functions.text import bound, token_counts
 
 # Fusion constant, BM25 parameters, candidates for each result wanted and their bounds.
 RRF_K, K1, B = 60, 1.2, 0.75
@@ -24,8 +24,11 @@ def candidate_count(top_k: int) -> int:
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf``."""
-    return rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """``key, token, tf, length``; counted inside each row, so nothing is shuffled. A null text has no tokens.
+
+    The outer form keeps Spark from tokenising twice, for a filter of rows without tokens and for the rows.
+    """
+    return rows.select(key, F.inline_outer(token_counts(F.col(text)))).where("token is not null")
 
 
 def overlap_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -37,16 +40,27 @@ def overlap_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return postings.join(q, "token").groupBy("query_id", "doc_id").agg(F.sum(F.least("tf", "qtf")).cast("double").alias("score"))
 
 
-def bm25_scores(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 with ``ln(1 + (N - df + 0.5) / (df + 0.5))``; ``postings(doc_id, token, tf)``, ``lengths(doc_id, length)``."""
-    corpus = lengths.agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))  # one row
-    wanted = queries.select("query_id", "token", F.col("tf").alias("qtf"))
-    hits = postings.join(wanted.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(corpus).select("token", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    rows = hits.join(idf, "token").join(lengths, "doc_id").join(wanted, "token")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+def bm25_weights(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, token, weight, mean`` for ``docs(doc_id, text)``, ``queries(query_id, token, tf)``.
+
+    The weight is a token's number in the query times ``ln(1 + (N - df + 0.5) / (df + 0.5))``, ``mean`` the mean length. One
+    pass counts documents by token; a row without a token in each document counts documents and lengths.
+    """
+    first = lambda x, i: F.when(i == 0, F.struct(F.lit(None).cast("string").alias("token"), x["length"].alias("tf"), x["length"].alias("length")))
+    both = bound(token_counts(F.col("text")), lambda counts: F.concat(counts, F.filter(F.transform(counts, first), lambda x: x.isNotNull())))
+    rows = docs.select(F.inline_outer(both)).where("tf is not null")
+    wanted = queries.select("token").distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("token")))
+    df = rows.join(wanted.withColumnRenamed("token", "wanted"), F.col("token").eqNullSafe(F.col("wanted")), "left_semi").groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("total"))
+    corpus = df.where("token is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean"))  # one row
+    idf = df.where("token is not null").crossJoin(corpus).select("token", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return queries.join(idf, "token").select("query_id", "token", (F.col("tf") * F.col("idf")).alias("weight"), "mean")
+
+
+def bm25_scores(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score`` of ``docs(doc_id, text)`` that share a token; ``weights`` of ``bm25_weights``, written or small."""
+    rows = term_counts(docs, "doc_id", "text")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.join(weights, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dimension: int) -> DataFrame:

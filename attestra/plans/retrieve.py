@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import retrieve
-from ..sources.tables import table
+from ..sources.tables import spread, table
+from ..streaming.run import kept
 from .base import derived, query, twin
 
 TOKENS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
@@ -22,8 +23,12 @@ def ranked_sql(name: str, source: str, k: int, digits: int = 6) -> str:
     return f"{name} AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {digits}) DESC, doc_id) AS rank FROM {source}) WHERE rank <= {k})"
 
 
+def _documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _postings(spark, sf):
-    return retrieve.term_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return retrieve.term_counts(_documents(spark, sf), "doc_id", "text")
 
 
 def _queries(spark, sf):
@@ -48,9 +53,13 @@ BM25_SQL = f"""{POSTINGS_SQL}, {QUERY_SQL}, l AS (SELECT doc_id, sum(tf) AS leng
 
 @query("bm25_topk", f"WITH {BM25_SQL}, {ranked_sql('r', 'b', TOP)} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r")
 def bm25_topk(spark, sf):
-    p = _postings(spark, sf)
-    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    return retrieve.ranked(retrieve.bm25_scores(p, lengths, _queries(spark, sf)), TOP, F.col("doc_id")).withColumn("score", F.round("score", 6))
+    docs = _documents(spark, sf)
+    return retrieve.ranked(_bm25(docs, _queries(spark, sf)), TOP, F.col("doc_id")).withColumn("score", F.round("score", 6))
+
+
+def _bm25(docs, queries):
+    weights = kept(retrieve.bm25_weights(docs, queries), "weights")  # as long as the queries; written, its size is known
+    return retrieve.bm25_scores(docs, weights)
 
 
 BUCKET_SQL = f"('0x' || substr(sha256(token), 1, 8))::BIGINT % {DIM}"
@@ -60,7 +69,7 @@ PLACES_SQL = f"e AS (SELECT doc_id, {BUCKET_SQL} AS i, sum(tf * {SIGN_SQL})::DOU
 
 @query("hash_embedding", f"WITH {POSTINGS_SQL}, {PLACES_SQL} SELECT doc_id, i::INT AS place, round(v / n, 6) AS value FROM e JOIN n USING (doc_id) WHERE v <> 0")
 def hash_embedding(spark, sf):
-    v = retrieve.hash_embedding(table(spark, sf, "documents"), "doc_id", "text", DIM)
+    v = retrieve.hash_embedding(_documents(spark, sf), "doc_id", "text", DIM)
     return v.select("doc_id", F.posexplode("vector").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -127,7 +136,7 @@ HYBRID_SQL = f"""
 def _candidates(spark, sf):
     """Filter, rank both ways, fuse, cut; then what isn't current goes."""
     rows = _allowed(spark, sf)
-    docs, queries = rows.select("doc_id", "text"), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    docs, queries = spread(rows.select("doc_id", "text")), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
     terms = _queries(spark, sf)
     lexical = retrieve.with_unscored(retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id", "text"), terms), docs, queries, CANDIDATES)
     vectors_ = retrieve.hash_embedding(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "id")

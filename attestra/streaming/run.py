@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/attestra-{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: computed once, of known size."""
+    rows.write.parquet(to := shared_folder(rows.sparkSession, name))
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"  # a file or a folder; streams take single files by pattern only
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
