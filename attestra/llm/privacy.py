@@ -193,9 +193,10 @@ def disclosing_terms(pairs: DataFrame, documents: int) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``docs(doc_id long, text string, ...)`` -> ``doc_id``, ``base`` and ``terms``: arrays of spans, a row for each row.
+    """``docs(doc_id long, text string, ...)`` -> ``doc_id``, ``base`` and ``terms``: arrays of spans, ``sanitised``, a row for each row.
 
-    A span of ``terms`` also has its ``share``. Null texts count as empty and have no spans; rows that share an id are
+    A span of ``terms`` also has its ``share``. ``sanitised`` is the text without what the spans disclose; null where there
+    are none, as the text stays as it is. Null texts count as empty and have no spans; rows that share an id are
     judged apart. Copies of a text count as documents of their own. An entity that every document has discloses nothing.
     An empty table gives an empty result.
     """
@@ -213,18 +214,27 @@ def personal_data(docs: DataFrame, ws: Workspace) -> DataFrame:
         told = pairs.join(terms, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
         told = told.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("told"))  # words of one text
         found = ws.keep(rows.select("row", "text", "spans").join(told, "row").mapInArrow(_found, FOUND), "found")
-    return rows.select("row", "doc_id", "spans").join(found, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast("array<struct<start: long, stop: long, share: double>>")).alias("terms"))
+        none = F.array().cast("array<struct<start: long, stop: long, share: double>>")
+        spans = rows.join(found, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"), "text")
+        edited = F.when(F.size("base") > 0, sanitised(F.col("text"), F.col("base"), F.col("terms")))
+        return ws.keep(spans.select("doc_id", "base", "terms", edited.alias("sanitised")), "sanitised")
+
+
+def general_form(word: str) -> str:
+    """What a disclosing term is generalised to: the class of its characters."""
+    if any(c.isdigit() for c in word):
+        return "<number>" if not any(c.isalpha() for c in word) else "<code>"
+    return "<name>" if word[:1].isupper() else "<word>"
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:
-    """The text with entities named by kind, disclosing terms generalised to a placeholder or removed."""
+    """The text with entities named by kind, disclosing terms generalised to their class or removed; null text is empty."""
 
-    @F.pandas_udf("string")
     def edited(texts: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         out = []
         for text, spans, told in zip(texts, base, terms, strict=True):
             text, edits = text or "", [(s["start"], s["stop"], f"<{s['kind']}>") for s in spans]
-            edits += [(s["start"], s["stop"], "" if s["share"] >= REMOVE else "<term>") for s in told]
+            edits += [(s["start"], s["stop"], "" if s["share"] >= REMOVE else general_form(text[s["start"] : s["stop"]])) for s in told]
             parts, at = [], 0
             for start, stop, new in sorted(edits):
                 if stop > at:
@@ -233,7 +243,7 @@ def sanitised(text: Column, base: Column, terms: Column) -> Column:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype="object")
 
-    return edited(text, base, terms)
+    return F.pandas_udf(edited, "string")(text, base, terms)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,4 +253,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.concat_ws(",", F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["stop"].cast("string"))))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of_kind(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"))
+    action = F.transform("terms", lambda s: F.when(s["share"] >= REMOVE, "removed").otherwise("generalised"))
+    actions = F.array_join(action, ",")
+    sanitised_sha = F.sha2(F.col("sanitised"), 256).alias("sanitised_sha256")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"), actions.alias("term_actions"), sanitised_sha)
