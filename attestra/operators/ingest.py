@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.run import kept
+
 
 def manifest_digest(entries: DataFrame, scope: list[str], fields: list[str], order: str) -> DataFrame:
     """One digest a scope: the SHA-256 of the JSON array of its entries in the order of their keys.
@@ -35,32 +37,35 @@ def unique_match(left: DataFrame, right: DataFrame, key: str, keep_left: list[st
 
 
 def plan_changes(manifest: DataFrame, known: DataFrame) -> DataFrame:
-    """What a scan changes: ``action, path_key, source_id, preserve_quarantine, reason``.
+    """What a scan changes: ``action, path_key, source_id, preserve_quarantine, matched_by, base_version``.
 
     ``manifest(path_key, file_key, content_hash, error_category)``, ``known(source_id, path_key, file_key, current_hash,
-    latest_hash, latest_status, eligible)``. Paths that both have are UPDATED (an error, another hash, or an earlier
+    latest_hash, latest_status, eligible, current_version)``; ``verify.plan_problems`` tells whether they may be planned. Paths that both have are UPDATED (an error, another hash, or an earlier
     parse failure) or UNCHANGED. What is left is matched by unique file key, then by unique content hash, as MOVED. The
-    rest is CREATED, or DELETED where eligible.
+    rest is CREATED, or DELETED where eligible. All but the new carry the version that the change is made from.
     """
     hash_known = F.coalesce("latest_hash", "current_hash")
     m = manifest.select("path_key", F.col("file_key").alias("m_file"), F.col("content_hash").alias("m_hash"), "error_category")
-    k = known.select("path_key", "source_id", F.col("file_key").alias("k_file"), hash_known.alias("k_hash"), "latest_status", "eligible")
-    both = m.join(k, "path_key")
+    k = known.select("path_key", "source_id", F.col("file_key").alias("k_file"), hash_known.alias("k_hash"), "latest_status", "eligible", F.col("current_version").alias("base_version"))
+    sides = m.withColumn("in_m", F.lit(True)).join(k.withColumn("in_k", F.lit(True)), "path_key", "full_outer")
+    sides = kept(sides, "sides")  # both tables are read once
+    both = sides.where("in_m and in_k")
     changed = F.col("error_category").isNotNull() | F.coalesce(F.col("m_hash") != F.col("k_hash"), F.lit(True)) | F.coalesce(F.col("latest_status") == "PARSE_FAILED", F.lit(False))
     same = both.select(
         F.when(changed, "UPDATED").otherwise("UNCHANGED").alias("action"), "path_key", "source_id",
-        (~changed & F.coalesce(F.col("latest_status") == "QUARANTINED", F.lit(False))).alias("preserve_quarantine"), F.lit("path").alias("matched_by"),
+        (~changed & F.coalesce(F.col("latest_status") == "QUARANTINED", F.lit(False))).alias("preserve_quarantine"), F.lit("path").alias("matched_by"), "base_version",
     )
-    new = m.join(k.select("path_key"), "path_key", "left_anti").withColumnRenamed("path_key", "new_path")
-    old = k.join(m.select("path_key"), "path_key", "left_anti").withColumnRenamed("path_key", "old_path")
+    new = sides.where("in_k is null").select(F.col("path_key").alias("new_path"), "m_file", "m_hash")
+    old = sides.where("in_m is null").select(F.col("path_key").alias("old_path"), "source_id", "k_file", "k_hash", "eligible", "base_version")
     moved = []
     for how, left, right in (("file", "m_file", "k_file"), ("hash", "m_hash", "k_hash")):
-        pairs = unique_match(new.withColumnRenamed(left, "key"), old.withColumnRenamed(right, "key"), "key", ["new_path"], ["old_path", "source_id"])
-        moved.append(pairs.select(F.lit("MOVED").alias("action"), F.col("new_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(how).alias("matched_by")))
+        pairs = unique_match(new.withColumnRenamed(left, "key"), old.withColumnRenamed(right, "key"), "key", ["new_path"], ["old_path", "source_id", "base_version"])
+        pairs = kept(pairs, "pairs")
+        moved.append(pairs.select(F.lit("MOVED").alias("action"), F.col("new_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(how).alias("matched_by"), "base_version"))
         new = new.join(pairs.select("new_path"), "new_path", "left_anti")
         old = old.join(pairs.select("old_path"), "old_path", "left_anti")
-    created = new.select(F.lit("CREATED").alias("action"), F.col("new_path").alias("path_key"), F.lit(None).cast("long").alias("source_id"), F.lit(False).alias("preserve_quarantine"), F.lit(None).cast("string").alias("matched_by"))
-    deleted = old.where("eligible").select(F.lit("DELETED").alias("action"), F.col("old_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(None).cast("string").alias("matched_by"))
+    created = new.select(F.lit("CREATED").alias("action"), F.col("new_path").alias("path_key"), F.lit(None).cast("long").alias("source_id"), F.lit(False).alias("preserve_quarantine"), F.lit(None).cast("string").alias("matched_by"), F.lit(None).cast("string").alias("base_version"))
+    deleted = old.where("eligible").select(F.lit("DELETED").alias("action"), F.col("old_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(None).cast("string").alias("matched_by"), "base_version")
     return same.unionByName(moved[0]).unionByName(moved[1]).unionByName(created).unionByName(deleted)
 
 
@@ -73,11 +78,12 @@ def structural_diff(before: DataFrame, after: DataFrame, document: str = "doc_id
     b = before.select(document, F.col("anchor"), F.col("text_hash").alias("old_hash"))
     a = after.select(document, F.col("anchor"), F.col("text_hash").alias("new_hash"))
     at = [document, "anchor"]
-    all_ = b.join(a, at, "full_outer")
+    all_ = kept(b.join(a, at, "full_outer"), "sides")
     unchanged = all_.where("old_hash = new_hash").select(document, F.lit("unchanged").alias("kind"), F.col("anchor").alias("from_anchor"), F.col("anchor").alias("to_anchor"), "old_hash", "new_hash")
     rest = all_.where("not (old_hash <=> new_hash)")
     side = lambda h: rest.where(F.col(h).isNotNull()).groupBy(document, F.col(h).alias("hash")).agg(F.count("*").alias("n"), F.min("anchor").alias(f"{h}_anchor")).where("n = 1").drop("n")
     moves = side("old_hash").join(side("new_hash"), [document, "hash"]).where("old_hash_anchor <> new_hash_anchor")
+    moves = kept(moves, "moves")
     moved = moves.select(document, F.lit("moved").alias("kind"), F.col("old_hash_anchor").alias("from_anchor"), F.col("new_hash_anchor").alias("to_anchor"), F.col("hash").alias("old_hash"), F.col("hash").alias("new_hash"))
     olds = rest.where("old_hash is not null").select(*at, "old_hash").join(moves.select(document, F.col("old_hash_anchor").alias("anchor")), at, "left_anti")
     news = rest.where("new_hash is not null").select(*at, "new_hash").join(moves.select(document, F.col("new_hash_anchor").alias("anchor")), at, "left_anti")

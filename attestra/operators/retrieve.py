@@ -98,6 +98,11 @@ def fused(rankings: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     return ranked(scores, k, F.col("doc_id"), 12)
 
 
+def degraded(rankings: dict[str, DataFrame | None], k: int) -> DataFrame:
+    """Fuses the rankings that there are; ``degraded`` tells that one of them couldn't be had."""
+    return fused([r for r in rankings.values() if r is not None], k).withColumn("degraded", F.lit(any(r is None for r in rankings.values())))
+
+
 def reranked(hits: DataFrame, overlap: DataFrame, k: int) -> DataFrame:
     """Orders hits by token overlap, then by their earlier score, then by id."""
     rows = hits.join(overlap.select("query_id", "doc_id", F.col("score").alias("overlap")), ["query_id", "doc_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))

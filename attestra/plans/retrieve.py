@@ -151,6 +151,35 @@ def hybrid_retrieval(spark, sf):
     return retrieve.ranked(_candidates(spark, sf), TOP, F.col("doc_id"), 12).withColumn("score", F.round("score", 9))
 
 
+@query(
+    "hybrid_bm25",
+    HYBRID_SQL
+    + """, l AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1), co AS (SELECT count(*)::DOUBLE AS docs, avg(length) AS mean FROM l), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
+    b AS (SELECT query_id, p.doc_id, sum(qtf * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+      FROM q JOIN p USING (token) JOIN df USING (token) JOIN l ON l.doc_id = p.doc_id, co GROUP BY 1, 2), """
+    + ranked_sql("r3", "b", CANDIDATES)
+    + """, f2 AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM r1 UNION ALL SELECT query_id, doc_id, rank FROM r3) GROUP BY 1, 2), """
+    + ranked_sql("t", "f2", TOP, 12)
+    + " SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank, false AS degraded FROM t",
+)
+def hybrid_bm25(spark, sf):
+    docs, queries = spread(_allowed(spark, sf).select("doc_id", "text")), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    vectors_ = retrieve.hash_embedding(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "id")
+    dense = retrieve.nearest(vectors_, retrieve.hash_embedding(queries, "query_id", "text", DIM), CANDIDATES)
+    lexical = retrieve.ranked(_bm25(docs, _queries(spark, sf)), CANDIDATES, F.col("doc_id"))
+    return retrieve.degraded({"dense": dense, "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "lexical_only",
+    f"WITH {OVERLAP_SQL}, {ranked_sql('r', 'o', CANDIDATES)}, f AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS score FROM r), {ranked_sql('t', 'f', TOP, 12)} SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank, true AS degraded FROM t",
+)
+def lexical_only(spark, sf):
+    """What retrieval gives where no vectors are to be had."""
+    lexical = retrieve.ranked(retrieve.overlap_scores(_postings(spark, sf), _queries(spark, sf)), CANDIDATES, F.col("doc_id"))
+    return retrieve.degraded({"dense": None, "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
+
+
 @query(
     "rerank",
     HYBRID_SQL
