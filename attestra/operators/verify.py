@@ -206,3 +206,27 @@ def header_digest(headers: Column) -> Column:
     """The digest of a map of header names and values, whatever their order: values count by their own digests."""
     pairs = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(F.lower(e["key"]), F.lit(":"), sha256(e["value"])))
     return sha256(F.array_join(pairs, "\n"))
+
+
+def active_notes(notes: DataFrame, generation: int | None = None) -> DataFrame:
+    """Live notes with a version, of one generation or of all, in the order of their ids."""
+    live = notes.where("deleted_at is null and version_id is not null and generation is not null")
+    return (live if generation is None else live.where(F.col("generation") == generation)).select("note_id", "version_id").orderBy("note_id")
+
+
+def token_totals(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """``runs(..., tokens_in, tokens_out)`` -> sums by ``keys``; a null counts as none."""
+    into, out = (F.sum(F.coalesce(c, F.lit(0))) for c in ("tokens_in", "tokens_out"))
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), into.alias("tokens_in"), out.alias("tokens_out"), (into + out).alias("tokens"))
+
+
+def set_digests(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """The digest of each key's distinct members as a sorted JSON array; a key has few of them, as a note has claims."""
+    each = rows.groupBy(key, member).agg(F.count("*").alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("all"))
+    return each.select(key, F.size("all").cast("long").alias("members"), sha256(F.to_json("all")).alias("digest"))
+
+
+def canonical_signal(url: Column, link: Column) -> Column:
+    """Whether a page's canonical link leads to another host; relative links and no link don't."""
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.when((host(link) != "") & (host(link) != host(url)), F.lit("canonical_origin_mismatch"))

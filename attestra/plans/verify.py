@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import publish, verify
+from ..functions import hashing, text
+from ..operators import answer, publish, verify
+from ..sources import html
 from ..sources.tables import table
 from .base import derived, query, twin
 from .govern import EVIDENCE
@@ -220,3 +222,57 @@ def header_digest(spark, sf):
 def public_evidence(spark, sf):
     kind = F.when(F.col("source") == "src1", "FACT").when(F.col("source") == "src3", "PROCEDURE").otherwise("OPINION")
     return table(spark, sf, "documents").select("doc_id", verify.needs_public_evidence(kind, F.when(F.col("lang") == "en", "PUBLIC").otherwise("PRIVATE")).alias("needed"))
+
+
+@query(
+    "derived_ids",
+    """SELECT doc_id, 'evidence_candidate_' || substr(sha256(doc_id || ':' || n_chars), 1, 24) AS candidate_id, 'ingop_' || sha256(source || ':' || doc_id || ':1') AS operation_id,
+      CASE WHEN lang <> 'en' THEN sha256(n_chars || ':' || doc_id) END AS file_key FROM documents""",
+)
+def derived_ids(spark, sf):
+    d, inode = table(spark, sf, "documents"), F.when(F.col("lang") != "en", F.col("doc_id"))
+    ids = hashing.candidate_id(F.col("doc_id").cast("string"), F.col("n_chars")), hashing.item_operation_id(F.col("source"), F.col("doc_id").cast("string")), hashing.file_key(F.col("n_chars"), inode)
+    return d.select("doc_id", *(i.alias(n) for i, n in zip(ids, ("candidate_id", "operation_id", "file_key"), strict=True)))
+
+
+@query("block_forms", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g')) AS form FROM documents")
+def block_forms(spark, sf):
+    """Texts as they come from another system: carriage returns, blanks at line ends and empty lines around them go."""
+    rough = F.concat(F.lit("\r\n\n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n")), F.lit("  \r"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.block_text(rough), 256).alias("form"))
+
+
+@query("citation_links", "SELECT doc_id, '[[' || source || '/a\\|' || doc_id || '#' || lang || ' / C\\#\\]]]' AS link FROM documents")
+def citation_links(spark, sf):
+    path = F.concat(F.col("source"), F.lit("/a|"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf, "documents").select("doc_id", answer.citation_link(path, F.array("lang", F.lit("C#]"))).alias("link"))
+
+
+ACTIVE_NOTES = "SELECT o_orderkey AS note_id, o_custkey % 3 AS generation, CASE WHEN o_orderpriority = '5-LOW' THEN 1 END AS deleted_at, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS version_id FROM {orders}"
+
+
+@query("active_notes", f"SELECT note_id, version_id FROM ({twin(ACTIVE_NOTES)}) WHERE deleted_at IS NULL AND version_id IS NOT NULL AND generation = 1 ORDER BY note_id")
+def active_notes(spark, sf):
+    return verify.active_notes(derived(spark, sf, ACTIVE_NOTES), 1)
+
+
+@query("token_totals", "SELECT doc_id % 7 AS model, count(*) AS runs, sum(n_chars)::BIGINT AS tokens_in, sum(length(lang))::BIGINT AS tokens_out, sum(n_chars + length(lang))::BIGINT AS tokens FROM documents GROUP BY 1")
+def token_totals(spark, sf):
+    runs = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("model"), F.col("n_chars").alias("tokens_in"), F.length("lang").cast("long").alias("tokens_out"))
+    return verify.token_totals(runs, ["model"])
+
+
+@query("set_digests", "SELECT source, count(DISTINCT lang) AS members, sha256('[' || string_agg(DISTINCT '\"' || lang || '\"', ',' ORDER BY '\"' || lang || '\"') || ']') AS digest FROM documents GROUP BY source")
+def set_digests(spark, sf):
+    return verify.set_digests(table(spark, sf, "documents"), "source", "lang")
+
+
+ORIGINS = "SELECT page_id, 'https://h' || cast(page_id % 9 AS string) || '.test/p' AS url, CASE page_id % 4 WHEN 0 THEN 'https://h' || cast(page_id % 9 AS string) || '.test/other' WHEN 1 THEN 'https://elsewhere.test/p' WHEN 2 THEN '/p' END AS link FROM {pages}"
+
+
+@query("canonical_origins", f"SELECT page_id, CASE WHEN link LIKE 'https://elsewhere%' THEN 'canonical_origin_mismatch' END AS signal FROM ({twin(ORIGINS)})")
+def canonical_origins(spark, sf):
+    """Pages that name another host as their origin are no evidence of their own."""
+    rows = derived(spark, sf, ORIGINS)
+    page = F.concat(F.lit("<head>"), F.coalesce(F.concat(F.lit("<link rel='canonical' href='"), "link", F.lit("'>")), F.lit("")), F.lit("</head>"))
+    return rows.select("page_id", verify.canonical_signal(F.col("url"), html.canonical_link(page)).alias("signal"))
