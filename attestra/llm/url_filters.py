@@ -87,34 +87,34 @@ def _wide(nodes: DataFrame, parents: list[str], step: str) -> DataFrame:
     return nodes.join(wide.select(*parents, F.lit(True).alias("wide")), parents, "left").withColumn(step, F.when(F.col("wide"), F.lit("*")).otherwise(F.col(step))).drop("wide")
 
 
-def _branches(nodes: DataFrame) -> DataFrame:
+def _branches(nodes: DataFrame, ws: Workspace) -> DataFrame:
     """``nodes(host, prefix, step, below, n, m, b)`` -> ``host, prefix, step, branch``: the name under which a step goes on.
 
     Siblings with the same chief children are a pool. Each is tested against its whole pool, for what lies below it and for
     its labels; those that pass go by the least of their names in braces.
     """
-    at, pool = ["host", "prefix"], ["host", "prefix", "shape"]
-    cells = nodes.groupBy(*at, "step", "below").agg(*(F.sum(c).alias(c) for c in "nmb"))
-    steps = cells.groupBy(*at, "step").agg(F.sum("n").alias("tot"), F.sum("m").alias("m"), F.sum("b").alias("b"))
-    chief = cells.join(steps.select(*at, "step", "tot"), [*at, "step"]).where(F.col("n") >= CHIEF * F.col("tot"))
-    shapes = chief.groupBy(*at, "step").agg(F.array_join(F.array_sort(F.collect_set("below")), "\x01").alias("shape"))  # four at most
-    steps = steps.join(shapes, [*at, "step"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
-    cells = cells.join(steps.select(*at, "step", "tot", "shape"), [*at, "step"]).select(*pool, "step", "below", "n", "tot")
+    at, pool = ["host", "prefix", "step"], ["host", "prefix", "shape"]
+    cells = ws.keep(nodes.groupBy(*at, "below").agg(*(F.sum(c).alias(c) for c in "nmb")), "cells")
+    steps = ws.keep(cells.groupBy(*at).agg(F.sum("n").alias("tot"), F.sum("m").alias("m"), F.sum("b").alias("b")), "steps")
+    chief = cells.select(*at, "below", "n").join(steps.select(*at, "tot"), at).where(F.col("n") >= CHIEF * F.col("tot"))
+    shapes = ws.keep(chief.groupBy(*at).agg(F.array_join(F.array_sort(F.collect_set("below")), "\x01").alias("shape")), "shapes")  # four at most
+    steps = ws.keep(steps.join(shapes, at, "left").withColumn("shape", F.coalesce("shape", F.lit(""))), "shaped")
+    parts = ws.keep(cells.select(*at, "below", "n").join(steps.select(*at, "tot", "shape"), at), "parts")
+    shares = ws.keep(parts.groupBy(*pool, "below").agg(F.sum("n").alias("held")), "shares")
+    chi = parts.join(shares, [*pool, "below"]).groupBy(*pool, "step").agg(F.sum(F.col("n").cast("double") * F.col("n") / (F.col("tot") * F.col("held"))).alias("chi"))
     pools = steps.groupBy(*pool).agg(F.sum("tot").alias("size"), F.sum("m").alias("mm"), F.sum("b").alias("bb"))
-    shares = cells.groupBy(*pool, "below").agg(F.sum("n").alias("held"))
-    kinds = shares.groupBy(*pool).agg((F.count("*") - 1).cast("double").alias("free"))
-    parts = cells.join(shares, [*pool, "below"]).join(pools.select(*pool, "size"), pool)
-    chi = parts.groupBy(*pool, "step").agg((F.sum(F.col("n") * F.col("n") * F.col("size") / (F.col("tot") * F.col("held"))) - F.first("tot")).alias("chi"))
-    rows = steps.join(pools, pool).join(kinds, pool).join(chi, [*pool, "step"]).where("size > tot")
+    pools = pools.join(shares.groupBy(*pool).agg((F.count("*") - 1).cast("double").alias("free")), pool)
+    rows = steps.join(ws.keep(pools, "pools"), pool).join(ws.keep(chi, "chi"), [*pool, "step"]).where("size > tot")
     spread = 2 / (9 * F.col("free"))
     bound = F.when(F.col("free") == 0, 1e-6).otherwise(F.col("free") * F.pow(1 - spread + LIKELY * F.sqrt(spread), F.lit(3.0)))
+    apart_by = (F.col("chi") * F.col("size") - F.col("tot")) / (1 - F.col("tot") / F.col("size"))
     rest, share = F.col("mm") - F.col("m"), (F.col("bb") + 1) / (F.col("mm") + 2)
     error = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("m"), F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
     apart = F.abs(F.col("b") / F.greatest(F.col("m"), F.lit(1)) - (F.col("bb") - F.col("b")) / F.greatest(rest, F.lit(1)))
-    same = (F.col("chi") / (1 - F.col("tot") / F.col("size")) <= bound) & ((F.col("m") == 0) | (rest == 0) | (apart <= ALIKE * error))
-    alike = rows.where(same).select(*pool, "step")
+    same = (apart_by <= bound) & ((F.col("m") == 0) | (rest == 0) | (apart <= ALIKE * error))
+    alike = ws.keep(rows.where(same).select(*pool, "step"), "alike")
     named = alike.groupBy(*pool).agg(F.concat(F.lit("{"), F.min("step"), F.lit("}")).alias("branch"))
-    return alike.join(named, pool).select(*at, "step", "branch")
+    return alike.join(named, pool).select(*at, "branch")
 
 
 def _purity(b: Column, m: Column, above: Column) -> Column:
@@ -147,16 +147,17 @@ def templates(pages: DataFrame, ws: Workspace) -> DataFrame:
             break
         open_ = open_.withColumn("step", _first(F.col("rest")))
         tail = F.when(F.instr("rest", "/") > 0, F.substr("rest", F.length("step") + 2))
-        open_ = _wide(open_.withColumn("tail", tail), ["host", "prefix"], "step")
+        open_ = ws.keep(_wide(open_.withColumn("tail", tail), ["host", "prefix"], "step"), "generalised")
         open_ = _wide(open_.withColumn("below", F.coalesce(_first(F.col("tail")), F.lit("$"))), ["host", "prefix", "step"], "below")
         open_ = ws.keep(open_, "steps")
-        branches = ws.keep(_branches(open_), "branches")
+        branches = ws.keep(_branches(open_, ws), "branches")
         down = open_.join(branches, ["host", "prefix", "step"], "left")
         down = down.select("host", "raw", F.concat("prefix", F.lit("/"), F.coalesce("branch", "step")).alias("prefix"), F.col("tail").alias("rest"), "n", "m", "b", "p")
         now = _looked_into(down, ws, "level")
     leaves = done[0]
     for part in done[1:]:
         leaves = leaves.unionByName(part)
+    leaves = ws.keep(leaves, "leaves")
     kind = F.concat_ws("/", "prefix", "rest")
     sums = leaves.groupBy("host", kind.alias("template"), "p").agg(F.sum("m").alias("mm"), F.sum("b").alias("bb"), F.count("rest").alias("below"))
     sums = sums.select("host", "template", F.when(F.col("below") > 0, _purity(F.col("bb"), F.col("mm"), F.col("p"))).otherwise(F.col("p")).alias("purity"))
@@ -224,11 +225,11 @@ def _level_sql(i: int) -> str:
 ), k{i} AS (
   SELECT host, prefix, shape, (count(*) - 1)::DOUBLE AS free FROM s{i} GROUP BY ALL
 ), x{i} AS (
-  SELECT host, prefix, shape, step, sum(n::DOUBLE * n * size / (tot * held)) - first(tot) AS chi
-  FROM c{i} JOIN (SELECT host, prefix, step, tot, shape FROM h{i}) USING (host, prefix, step) JOIN s{i} USING (host, prefix, shape, below) JOIN (SELECT host, prefix, shape, size FROM g{i}) USING (host, prefix, shape) GROUP BY ALL
+  SELECT host, prefix, shape, step, sum(n::DOUBLE * n / (tot * held)) AS chi
+  FROM c{i} JOIN (SELECT host, prefix, step, tot, shape FROM h{i}) USING (host, prefix, step) JOIN s{i} USING (host, prefix, shape, below) GROUP BY ALL
 ), l{i} AS (
   SELECT host, prefix, shape, step FROM h{i} JOIN g{i} USING (host, prefix, shape) JOIN k{i} USING (host, prefix, shape) JOIN x{i} USING (host, prefix, shape, step)
-  WHERE size > tot AND chi / (1 - tot / size) <= CASE WHEN free = 0 THEN 1e-6 ELSE free * pow(1 - 2 / (9 * free) + {LIKELY} * sqrt(2 / (9 * free)), 3.0) END
+  WHERE size > tot AND (chi * size - tot) / (1 - tot / size) <= CASE WHEN free = 0 THEN 1e-6 ELSE free * pow(1 - 2 / (9 * free) + {LIKELY} * sqrt(2 / (9 * free)), 3.0) END
     AND (m = 0 OR mm - m = 0 OR abs(b / greatest(m, 1) - (bb - b) / greatest(mm - m, 1))
       <= {ALIKE} * sqrt((bb + 1) / (mm + 2) * (1 - (bb + 1) / (mm + 2)) * (1 / greatest(m, 1) + 1 / greatest(mm - m, 1))))
 ), b{i} AS (
