@@ -93,7 +93,8 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, digest: Callable[[Column],
     hits = ws.keep(groups.where("n > 1").select("digest"), "hits")
     texts = located.select(digest(text).alias("digest"), text.alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"), "file", "row")
     same = texts.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))  # copies meet before they are dealt out
-    exact = ws.keep(same.select("digest", F.sha2("text", 256).alias("sha"), "n", "keep").join(hits, "digest", "left_semi"), "checked")
+    same = same.select("digest", F.sha2("text", 256).alias("sha"), "n", "keep")
+    exact = ws.keep(same.join(hits.hint("merge"), "digest"), "checked")  # hits are distinct; a semi-join would be moved to before the texts meet
     unlike = exact.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     if unlike.limit(1).count():  # texts that differ share a digest: they part by their full SHA-256
         single = groups.join(unlike, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("part"), "n", "keep")
