@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Host names that are never public.
 LOCAL_NAMES = ("localhost",)
 LOCAL_SUFFIXES = (".local", ".localhost", ".internal")
+# IPv4 ranges that aren't public, as a pattern of dotted quads.
+PRIVATE_QUADS = r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2[0-9]|3[01])|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|22[4-9]|2[3-5][0-9])(\.[0-9]+)+$"
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -27,9 +29,12 @@ def port(url: Column) -> Column:
 
 
 def public_https(url: Column) -> Column:
-    """The normal form, or null: HTTPS only, no user, port 443 at most, no local host; without fragment."""
+    """The normal form, or null: HTTPS only, no user, port 443 at most, no local host or private address; without fragment.
+
+    Literal IPv6 addresses aren't taken.
+    """
     name, at = host(url), port(url)
-    local = name.isin(*LOCAL_NAMES)
+    local = name.isin(*LOCAL_NAMES) | name.rlike(PRIVATE_QUADS) | name.startswith("[")
     for suffix in LOCAL_SUFFIXES:
         local = local | name.endswith(suffix)
     good = (F.lower(_part(url, 1)) == "https") & (name != "") & ~_part(url, 2).contains("@") & at.isin("", "443") & ~local

@@ -10,14 +10,14 @@ from ..sources import html
 from ..sources.tables import table
 from .base import derived, query, twin
 
-URLS = "SELECT page_id, CASE page_id % 9 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN replace(url, '.example.', '.internal.') WHEN 2 THEN replace(replace(url, '.com/', '.com:443/'), '.org/', '.org:8443/') WHEN 3 THEN upper(url) ELSE url END AS url FROM {pages}"
+URLS = "SELECT page_id, CASE page_id % 9 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN replace(url, '.example.', '.internal.') WHEN 2 THEN replace(replace(url, '.com/', '.com:443/'), '.org/', '.org:8443/') WHEN 3 THEN upper(url) WHEN 4 THEN 'https://' || CASE page_id % 4 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN '172.20.0.1' WHEN 2 THEN '8.8.4.4' ELSE '[2001:db8::1]' END || '/x' ELSE url END AS url FROM {pages}"
 _HOST = "rtrim(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', ''), ':[0-9]*$', '')), '.')"
 _PORT = "regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':([0-9]+)$', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = "regexp_extract(url, '^[^?#]*([?][^#]*)', 1)"
 URL_SQL = f"""u AS (SELECT page_id, url, {_HOST} AS host, {_PORT} AS port, {_PATH} AS path, {_QUERY} AS q FROM ({twin(URLS)})),
   s AS (SELECT *, lower(url) LIKE 'https://%' AND host <> '' AND regexp_extract(url, '://([^/?#]*)', 1) NOT LIKE '%@%' AND port IN ('', '443')
-    AND host <> 'localhost' AND host NOT LIKE '%.local' AND host NOT LIKE '%.localhost' AND host NOT LIKE '%.internal' AS good FROM u)"""
+    AND host <> 'localhost' AND host NOT LIKE '%.local' AND host NOT LIKE '%.localhost' AND host NOT LIKE '%.internal' AND NOT regexp_matches(host, '{urls.PRIVATE_QUADS}') AND host NOT LIKE '[%' AS good FROM u)"""
 
 
 @query("url_normalize", f"WITH {URL_SQL} SELECT page_id, CASE WHEN good THEN 'https://' || host || CASE WHEN port <> '' THEN ':' || port ELSE '' END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '?' THEN '' ELSE q END END AS url FROM s")
