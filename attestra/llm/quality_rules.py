@@ -196,15 +196,18 @@ def _concentrated(rows: pd.DataFrame) -> pd.DataFrame:
 MODEL = "group string, start int, mean array<double>, inverse array<double>, size double, falling boolean"
 
 
-def _concentration(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """One step for the models that still fall; the others as they are."""
+def _concentration(rows: DataFrame, models: DataFrame, ws: Workspace) -> DataFrame:
+    """One step for the models that still fall; the others as they are.
+
+    The sums are written first: so they are dealt out by their steps, and a group gathers only a row for each.
+    """
     x = [F.col("x")[i] for i in range(DIM)]
     far = rows.join(models.where("falling"), "group").withColumn("step", _step_of(_distance()))
     sums = far.groupBy("group", "start", "step").agg(
         F.count("*").alias("n"), F.array(*(F.sum(v) for v in x)).alias("first"), _products(x).alias("second"),
         F.first("mean").alias("mean"), F.first("inverse").alias("inverse"), F.first("size").alias("size"),
     )
-    return sums.groupBy("group", "start").applyInPandas(_concentrated, MODEL).unionByName(models.where("not falling"))
+    return ws.keep(sums, "sums").groupBy("group", "start").applyInPandas(_concentrated, MODEL).unionByName(models.where("not falling"))
 
 
 def robust_estimates(rows: DataFrame, ws: Workspace) -> DataFrame:
@@ -216,7 +219,7 @@ def robust_estimates(rows: DataFrame, ws: Workspace) -> DataFrame:
     x = [F.col("x")[i] for i in range(DIM)]
     axes = rows.select("group", F.posexplode("x").alias("axis", "value"))
     histogram = axes.groupBy("group", "axis", F.floor(F.col("value") * VALUE_STEPS).alias("value")).agg(F.count("*").alias("n"))
-    middles = ws.keep(histogram.groupBy("group").applyInPandas(_middles, "group string, middle array<double>, scale array<double>"), "middles")
+    middles = ws.keep(ws.keep(histogram, "histogram").groupBy("group").applyInPandas(_middles, "group string, middle array<double>, scale array<double>"), "middles", one_file=True)
     z = [(F.col("x")[i] - F.col("middle")[i]) / F.col("scale")[i] for i in range(DIM)]
     apart = rows.join(middles, "group").select("group", "middle", "scale", F.array(*z).alias("z"))
     z = [F.col("z")[i] for i in range(DIM)]
@@ -225,19 +228,19 @@ def robust_estimates(rows: DataFrame, ws: Workspace) -> DataFrame:
         F.count("*").alias("n"), _products(z).alias("second"), _products([v / F.sqrt(norm) for v in z]).alias("signs"), _products([F.tanh(v) for v in z]).alias("tangents"),
         F.first("middle").alias("middle"), F.first("scale").alias("scale"),
     )
-    models = ws.keep(apart.groupBy("group").applyInPandas(_starts, MODEL), "starts")
+    models = ws.keep(ws.keep(apart, "apart").groupBy("group").applyInPandas(_starts, MODEL), "starts", one_file=True)
     for _ in range(FIRST_STEPS):
-        models = ws.keep(_concentration(rows, models), "concentrated")
+        models = ws.keep(_concentration(rows, models, ws), "concentrated", one_file=True)
     best = models.groupBy("group").agg(F.min_by(F.struct("start", "mean", "inverse", "size"), F.struct("size", "start")).alias("m"))
-    models = ws.keep(best.select("group", "m.*", F.lit(True).alias("falling")), "best")
+    models = ws.keep(best.select("group", "m.*", F.lit(True).alias("falling")), "best", one_file=True)
     for _ in range(MOST_STEPS):
-        models = ws.keep(_concentration(rows, models), "concentrated")
+        models = ws.keep(_concentration(rows, models, ws), "concentrated", one_file=True)
         if not models.where("falling").limit(1).count():
             break
     near = rows.join(models.select("group", "mean", "inverse"), "group").where(_distance() <= NEAR)
     sums = near.groupBy("group").agg(F.count("*").alias("near"), F.array(*(F.sum(v) for v in x)).alias("first"), _products(x).alias("second"))
     sums = rows.groupBy("group").agg(F.count("*").alias("n")).join(sums, "group", "left").join(models.select("group", "mean", "inverse"), "group")
-    return ws.keep(sums.mapInPandas(_reweighted, "group string, n long, mean array<double>, covariance array<double>"), "estimates")
+    return ws.keep(sums.mapInPandas(_reweighted, "group string, n long, mean array<double>, covariance array<double>"), "estimates", one_file=True)
 
 
 def _reweighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +304,7 @@ def judged(docs: DataFrame, ws: Workspace) -> DataFrame:
     levels = F.explode(F.array("by_source", "by_lang", F.lit(ALL))).alias("group")
     vectors = ws.keep(rows.where("not base_failed").select("by_source", "by_lang", "x"), "vectors").select(levels, "x")
     estimates = robust_estimates(vectors, ws)
-    models = ws.keep(shrunk_estimates(rows.select("by_source", "by_lang").distinct(), estimates), "models")
+    models = ws.keep(shrunk_estimates(rows.select("by_source", "by_lang").distinct(), estimates), "models", one_file=True)
     named = rows.join(models, "by_source", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return named.select("doc_id", *STATS, "base_failed", kept.alias("kept"), "distance")

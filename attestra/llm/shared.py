@@ -52,8 +52,9 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(to := self.folder(label))
+    def keep(self, df: DataFrame, label: str, one_file: bool = False) -> DataFrame:
+        """``one_file`` is for a row a group: its size then shows that it is small, and joins with it don't shuffle."""
+        (df.repartition(1) if one_file else df).write.parquet(to := self.folder(label))
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self) -> None:
