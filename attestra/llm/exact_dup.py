@@ -87,7 +87,7 @@ def exact_duplicates(docs: DataFrame, ws: Workspace, digest: Callable[[Column],
     prints.write.parquet(log)
     spark.range(0).select(F.lit(b"").alias("digest"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("struct<doc_id: long, file: long, row: long>").alias("keep")).write.parquet(f"{out}/epoch=-1")
     advance(spark, log, ws.folder("state"), out)
-    groups = _groups(spark, out)
+    groups = ws.keep(_groups(spark, out), "latest")  # written, so that Spark can split a hot digest in the join below
     prints = spark.read.schema(LOG).parquet(log)
 
     hits = ws.keep(groups.where("n > 1").select("digest"), "hits")
