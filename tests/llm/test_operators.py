@@ -214,6 +214,13 @@ def test_disclosing_terms(spark, none, odd, ws):
     assert privacy.personal_data(odd, ws).count() == odd.count() and privacy.personal_data(none, ws).count() == 0
 
 
+def test_sanitised_texts_are_in_the_result(spark, ws):
+    texts = [f"filler{i} some words here" for i in range(40)] + [f"call +49 30 1234567 Zorblax x9 {i % 1} 77" for i in range(2)]
+    got = {r.doc_id: r for r in privacy.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ws).collect()}
+    assert got[0].sanitised is None and got[40].sanitised == got[41].sanitised and "<phone>" in got[40].sanitised and "Zorblax" not in got[40].sanitised
+    assert [privacy.general_form(w) for w in ("Paris", "lab", "x9", "77", "")] == ["<name>", "<word>", "<code>", "<number>", "<word>"]
+
+
 def test_disclosing_terms_of_whole_documents(spark, ws):
     """Far from the mention, behind a long word, and each time they stand in its documents."""
     texts = [f"filler{i} some words here again and again" for i in range(60)]
@@ -248,6 +255,88 @@ def test_disclosing_terms_are_those_of_brute_force(spark, ws):
     assert got == brute_disclosing(texts) and sum(map(len, got.values())) > 20
 
 
+def plain_estimate(x):
+    """The estimate of one group on one array: the same definition, without Spark."""
+    floor, dim, n = np.square(quality_rules.FLOOR), quality_rules.DIM, len(x)
+    step = lambda d: np.floor(np.log(np.maximum(d, 1e-6)) * quality_rules.DISTANCE_STEPS)
+    far = lambda x, mean, inverse: np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    grid = np.sort(np.floor(x * quality_rules.VALUE_STEPS) / quality_rules.VALUE_STEPS, axis=0)
+    half = int(np.ceil(n / 2)) - 1
+    middle = grid[half]
+    scale = np.sqrt(np.square(1.4826 * np.sort(np.abs(grid - middle), axis=0)[half]) + floor)
+    z = (x - middle) / scale
+    norm = np.maximum((z * z).sum(1), 1e-6)
+    near = z[step(norm) <= np.sort(step(norm))[int(np.ceil(0.5 * n)) - 1]]
+    starts = [np.eye(dim)]
+    for v in (np.tanh(z), z / np.sqrt(norm)[:, None], near):
+        second = v.T @ v / len(v)
+        deviation = np.sqrt(np.diag(second) + 1e-9)
+        starts.append(0.999 * second / np.outer(deviation, deviation) + 0.001 * np.eye(dim))
+
+    def concentrate(model):
+        mean, inverse, size, falling = model
+        if not falling:
+            return model
+        d = step(far(x, mean, inverse))
+        inside = x[d <= np.sort(d)[int(np.ceil(quality_rules.SHARE * n)) - 1]]
+        mean_ = inside.mean(0)
+        cov = quality_rules.consistency(len(inside) / n) * (inside.T @ inside / len(inside) - np.outer(mean_, mean_)) + np.diag(floor)
+        size_ = np.linalg.slogdet(cov)[1]
+        return (mean_, np.linalg.inv(cov), size_, True) if size_ < size - 1e-6 else (mean, inverse, size, False)
+
+    models = [(middle, np.linalg.inv(s * np.outer(scale, scale)), np.inf, True) for s in starts]
+    for _ in range(quality_rules.FIRST_STEPS):
+        models = [concentrate(m) for m in models]
+    best = (*min(models, key=lambda m: m[2])[:3], True)
+    for _ in range(quality_rules.MOST_STEPS):
+        best = concentrate(best)
+    inside = x[far(x, *best[:2]) <= quality_rules.NEAR]
+    mean = inside.mean(0)
+    factor = quality_rules.REWEIGHT / quality_rules.chi2_cdf(quality_rules.NEAR, dim + 2)
+    return n, mean, factor * (inside.T @ inside / len(inside) - np.outer(mean, mean)) + np.diag(floor)
+
+
+def plain_distances(rows):
+    """Distance by id for rows ``(doc_id, text, lang, source)`` that pass the base rule."""
+    x, group = {}, {}
+    for i, text, lang, source, *_ in rows:
+        n, chars, symbols, lines, repeats = quality_rules.text_statistics((text or "").encode())
+        if n >= 50 and 2 * repeats <= n:
+            x[i] = [np.log1p(n), np.log((chars + 250) / (n + 50)), *(np.sqrt(v / n) for v in (symbols, lines, repeats))]
+            group[i] = [(), (lang,), (lang, source)]
+    made = {g: plain_estimate(np.array([x[i] for i in x if g in group[i]])) for g in {g for gs in group.values() for g in gs}}
+    out = {}
+    for i in x:
+        mean = cov = None
+        for n, m, c in (made[g] for g in group[i]):
+            part = 1.0 if mean is None else n / (n + quality_rules.PARENT_ROWS)
+            mean, cov = (m, c) if mean is None else (part * m + (1 - part) * mean, part * c + (1 - part) * cov)
+        out[i] = (np.array(x[i]) - mean) @ np.linalg.inv(cov) @ (np.array(x[i]) - mean)
+    return out
+
+
+def test_distances_are_those_of_a_plain_estimate(spark, ws):
+    random = np.random.default_rng(11)
+    rows = []
+    for i in range(330):
+        words = ["".join(random.choice(list("abcdefghij"), int(random.integers(2, 5 + i % 7)))) + random.choice(["", "", "", "#", "*"]) for _ in range(int(random.integers(45, 400)))]
+        text = " ".join(words[:30] + words[: int(random.integers(0, 40))] + words[30:])
+        rows.append((i, text, ["en", "de", None][i % 3], ["a", "b", "c", None][int(random.integers(0, 4)) if i % 3 else 0], 0))
+    rows += [(1000 + i, " ".join("xyz"[j % 3] + "$$$" + str(j % 50) for j in range(200)), "en", "a", 0) for i in range(4)] + [(2000, "lone " + " ".join(f"w{j}" for j in range(80)), "fr", "z", 0)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, COLUMNS).repartition(5), ws).collect()}
+    want = plain_distances(rows)
+    assert {i for i, r in got.items() if r.distance is not None} == set(want)
+    assert all(abs(got[i].distance - d) <= 1e-6 * (1 + d) for i, d in want.items())
+    assert all(got[i].kept == (i in want and want[i] <= quality_rules.CUT) for i in got) and not any(got[1000 + i].kept for i in range(4))
+    again = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows[::-1] + rows[:1], COLUMNS).repartition(2), ws).collect()}
+    assert set(again) == set(got)
+
+
+def test_chi_squared():
+    for p, k, q in ((0.999, 5, 20.515), (0.975, 5, 12.833), (0.5, 5, 4.351), (0.95, 1, 3.841)):
+        assert quality_rules.chi2_quantile(p, k) == pytest.approx(q, abs=1e-3)
+
+
 def test_outliers_go_and_the_bulk_stays(spark, odd, none, ws):
     random = np.random.default_rng(4)
     rows = [(i, "\n".join(" ".join("".join(random.choice(list("abcdefgh"), int(random.integers(2, 9)))) for _ in range(12)) for _ in range(int(random.integers(6, 30)))), "en", "s", 0) for i in range(400)]
@@ -268,6 +357,28 @@ def test_classifier_on_odd_rows(spark, odd, none, ws):
     assert set(quality_model.classified(odd, labels.where("false"), ws).toPandas().score.round(6)) == {0.5}
 
 
+def test_labels_of_both_kinds_are_left_out(spark, ws):
+    docs = spark.createDataFrame([(i, "good plain words here" if i % 2 else "### $$$ bad", "en", "s", 0) for i in range(40)], COLUMNS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    alone = quality_model.classified(docs, labels, ws).orderBy("doc_id").collect()
+    turned = labels.where("doc_id < 6").withColumn("quality", 1 - F.col("quality"))
+    assert quality_model.classified(docs, labels.unionByName(turned), ws).orderBy("doc_id").collect() == quality_model.classified(docs, labels.where("doc_id >= 6"), ws).orderBy("doc_id").collect()
+    assert set(quality_model.classified(docs, labels.unionByName(labels.withColumn("quality", 1 - F.col("quality"))), ws).toPandas().score.round(6)) == {0.5}
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in alone)
+
+
+def test_near_copies_go_by_row_where_ids_repeat(spark, ws):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (None, a), (4, a + " other"), (5, None), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], COLUMNS).withColumn("kept", F.lit("x"))
+    left = near_dup.without_near_copies(docs, ws)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, a), (5, None), (5, None)], key=str)
+    once = docs.dropDuplicates(["doc_id"]).where("doc_id <> 2")
+    assert sorted(r.doc_id for r in near_dup.without_near_copies(once, ws).where("doc_id is not null").collect()) == [1, 3, 5]
+
+
 def test_rules_and_hosts(spark, ws):
     urls = ["https://A.Example.com/en/712?x", "http://example.com/en/8", "https://x.net/de/5", "https://b.example.net/de/81", "https://q.org/es/", "https://q.org/fr/1", None, "no scheme/en/", "x://com/en/", "https://notexample.com#/en/", "https://h?y", "a://b://com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("verdict", F.lit(1)).withColumn("s1", F.lit(1))
@@ -276,6 +387,23 @@ def test_rules_and_hosts(spark, ws):
     assert got[3][2:] == ("example.net/de/8", "block") and got[4][2:] == ("org/es/", "block") and got[5] == ("q.org", "/fr/1", None, "allow")
     assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[8][2:] == ("com/en/", "block") and got[9] == ("notexample.com", "", None, "allow") and got[10] == ("h", "", None, "allow") and got[11] == ("b:", "//com/en/", None, "allow")
     assert url_filters.filtered(pages.where("false"), ws).count() == 0
+    many = tuple(url_filters.Rule("block", f"h{i}.test", "/x") for i in range(url_filters.LITERAL_RULES)) + url_filters.RULES  # joined by host
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filtered(pages, ws, many).collect()} == got
+
+
+def test_templates_go_down_all_levels(spark, ws):
+    """Variable segments deep down become wildcards; what a branch is known for goes to branches that look like it."""
+    names = [f"n{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    urls = [f"https://h.test/{top}/deep/er/{name}/{last}" for top in ("a", "b") for name in names for last in ("view", "edit")]
+    urls += [f"https://h.test/other/{name}.css" for name in names] + ["https://h.test/" + "s/" * 3000] * 3 + ["https://h.test/" + "s/" * 3000 + "t"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    host, path = url_filters.host_and_path(F.col("url"))
+    rows = pages.select(host.alias("host"), path.alias("path"), F.when(path.startswith("/a/"), "block").when(path.startswith("/other/"), "allow").alias("verdict"))
+    got = {r.raw: (r.template, r.purity) for r in url_filters.templates(rows, ws).collect()}
+    assert got["/a/deep/er/naa/view"] == got["/b/deep/er/nff/view"] and got["/b/deep/er/nab/edit"][0] == "/{a}/deep/er/*/{edit}"
+    assert got["/b/deep/er/nff/view"][1] >= url_filters.PURITY and got["/other/naa.css"] == (got["/other/nab.css"][0], got["/other/nab.css"][1]) and got["/other/naa.css"][1] < 0.5
+    verdicts = url_filters.filtered(pages, ws, (url_filters.Rule("block", "h.test", "/a/"), url_filters.Rule("allow", "h.test", "/other/"))).toPandas()
+    assert len(verdicts) == len(urls) and set(verdicts[verdicts.path.str.startswith("/b/")].verdict) == {"block"} and verdicts.rule.isna().sum() == 72 + 6
 
 
 def test_templates_carry_labels_over(spark, ws):
@@ -298,6 +426,10 @@ def test_tool_calls(spark, ws):
     assert got[0].message_json == '{"arguments":{"prompt":"x","turn":1},"call_id":"b","kind":"call","name":"ask"}'
     assert got[9].message_json == '{"content":"","kind":"text","role":"system"}' and got[None].status == "pending"
     assert tool_calls.linked(df.where("false"), ws).count() == 0
+    clash = df.select("*", *(F.lit(1).alias(c) for c in ("level", "result", "call", "mine", "status", "position", "known", "up", "id", "next")))
+    assert sorted(map(str, tool_calls.linked(clash, ws).collect())) == sorted(map(str, got_all := tool_calls.linked(df, ws).collect())) and len(got_all) == len(m)
+    nameless = df.withColumn("kind", F.lit(None).cast("string"))
+    assert {r.status for r in tool_calls.linked(nameless, ws).collect()} == {"text"}
 
 
 def test_long_chains_and_repeated_rows(spark, ws):
