@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dup, fill_middle, merkle, mixing, near_dup, packing, privacy, quality_model, quality_rules, token_files, tool_calls, url_filters
+from . import exact_dup, fill_middle, merkle, mixing, near_dup, packing, privacy, quality_model, quality_rules, suffix_dedup, token_files, tool_calls, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": near_dup.op1_near_duplicates,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tool_calls": tool_calls.op9_tool_calls,
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 
@@ -30,5 +31,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_tool_calls": tool_calls.OP9_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     "op13_fill_in_middle": fill_middle.OP13_SQL,
 }
