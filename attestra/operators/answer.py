@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+from ..streaming.run import kept
 from .retrieve import CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES
 
 # The gate's thresholds.
@@ -79,23 +84,47 @@ def refusal(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", code.alias("refusal_code"))
 
 
-#: Words that stand for a passage when candidates are sought, counted from its second.
-ANCHOR_WORDS = 5
+#: Words in a run by which long passages are sought; runs lie inside, as the first and last word may be cut from longer ones.
+RUN_WORDS = 5
+#: Passages without a whole word inside that are compared with a document at once.
+SHORT_BLOCK = 256
+
+
+def _runs(words: Column, length: int, first: int, rest: int) -> Column:
+    """Hashes of the runs of ``length`` words from the ``first`` on (from 0) that leave ``rest`` words after them."""
+    last = F.size(words) - length - rest
+    run = lambda i: F.xxhash64(F.lit(length), *(F.get(words, i + k) for k in range(length)))
+    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def passages_held(items: DataFrame, docs: DataFrame) -> DataFrame:
     """``items(item_id, text)``, ``docs(doc_id, text)`` -> ``item_id, doc_id`` where the document holds the whole text.
 
-    Runs of words inside a passage find candidates, whatever stands around it; then whole passages are compared. Passages
-    need seven words or more: the first and the last may be cut from longer ones. Shorter ones are found nowhere.
+    Passages of seven words and more are sought by a run of five words inside them, those of three to six by a word
+    inside: of all of a passage's runs the one that the fewest documents have, so that a common beginning costs nothing.
+    Then whole passages are compared. Passages of one or two words may lie inside other words; these are compared with
+    every document, in blocks. Null texts hold nothing and are held nowhere; an empty passage is held by every text.
     """
-    words = F.split("text", r"\s+")
-    run = lambda w, i: F.xxhash64(*(F.element_at(w, i + k) for k in range(ANCHOR_WORDS)))
-    wanted = items.where(F.size(words) >= ANCHOR_WORDS + 2).select("item_id", F.col("text").alias("passage"), run(words, F.lit(2)).alias("anchor"))
-    runs = F.when(F.size(words) > ANCHOR_WORDS, F.transform(F.sequence(F.lit(1), F.size(words) - ANCHOR_WORDS + 1), lambda i: run(words, i)))
-    anchors = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
-    found = anchors.join(wanted.drop("passage"), "anchor").select("item_id", "doc_id")
-    return found.join(docs, "doc_id").join(wanted.drop("anchor"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    items, docs = items.where("text IS NOT NULL").select("item_id", "text"), docs.where("text IS NOT NULL").select("doc_id", "text")
+    words = lambda body: bound(F.split("text", r"\s+"), body)
+    inside = words(lambda w: F.when(F.size(w) >= RUN_WORDS + 2, _runs(w, RUN_WORDS, 1, 1)).otherwise(_runs(w, 1, 1, 1)))
+    wanted = kept(items.select("item_id", F.explode(F.array_distinct(inside)).alias("run")), "passage-runs")
+    of_docs = words(lambda w: F.array_distinct(F.concat(_runs(w, RUN_WORDS, 0, 0), _runs(w, 1, 0, 0))))
+    met = kept(docs.select("doc_id", F.explode(of_docs).alias("run")).join(wanted.select("run").distinct(), "run"), "runs-met")
+    seen = wanted.join(met.groupBy("run").agg(F.count("*").alias("n")), "run", "left")
+    rarest = seen.groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0").select("item_id", "r.run")
+    found = met.join(rarest, "run").select("item_id", "doc_id")
+    long = found.join(docs, "doc_id").join(items.withColumnRenamed("text", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    tiny = items.where(words(F.size) < 3).select(F.col("item_id").cast("long"), "text")
+    sets = tiny.mapInArrow(_together, "passages array<struct<item_id: long, text: string>>")
+    short = docs.crossJoin(sets).select("doc_id", F.explode(F.filter("passages", lambda p: F.contains(F.col("text"), p["text"]))).alias("p")).select("p.item_id", "doc_id")  # a stated set against all rows, in blocks
+    return long.unionByName(short).distinct()
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SHORT_BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([batch.slice(at, SHORT_BLOCK).to_pylist()], pa.list_(pa.struct([("item_id", pa.int64()), ("text", pa.string())])))], ["passages"])
 
 
 def golden_metrics(cases: DataFrame, observations: DataFrame, expected: DataFrame, allowed: DataFrame, forbidden: DataFrame, retrieved: DataFrame, cited: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answer
 from ..sources.tables import table
+from ..streaming.run import kept
 from .base import derived, query, twin
 
 CLAIMS = """SELECT conv_id AS answer_id, turn AS position, text,
@@ -63,7 +64,7 @@ def refusal_code(spark, sf):
 def _golden(spark, sf):
     """Benchmark items as cases: expected are the documents that hold the passage, whole and verbatim."""
     items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents").select("doc_id", "text")
-    held = answer.passages_held(items, docs)
+    held = kept(answer.passages_held(items, docs), "held")
     forbidden = F.lit(-1).cast("long").alias("id")
     expected = held.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"))
     known = expected.select("case_id").distinct().withColumn("known", F.lit(True))
