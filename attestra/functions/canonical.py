@@ -48,23 +48,24 @@ def instant(value: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def encoded(value: Column, kind: T.DataType, keep_nulls: bool = True) -> Column:
+def encoded(value: Column, kind: T.DataType, keep_nulls: bool = True, sparse: tuple[str, ...] = ()) -> Column:
     """JSON without blanks, keys in the order of their code points, nulls as ``null`` or, in objects, left out.
 
+    Nulls are also left out of what lies under the fields named in ``sparse``.
     Structs and maps are objects. A null text as the whole result means that there was none, or that a number in it is
     infinite or none at all. Days are ISO dates, timestamps with a time zone UTC instants; timestamps without one count as UTC.
     """
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name.encode())
-        pairs = [(f, F.concat(quoted(F.lit(f.name)), F.lit(":"), encoded(value[f.name], f.dataType, keep_nulls))) for f in fields]
+        pairs = [(f, F.concat(quoted(F.lit(f.name)), F.lit(":"), encoded(value[f.name], f.dataType, keep_nulls and f.name not in sparse, sparse))) for f in fields]
         # a null part is a null of the value, which may be left out, or something that can't be written, which may not
         parts = F.array(*(pair if keep_nulls else F.when(value[f.name].isNotNull(), pair).otherwise(F.lit("")) for f, pair in pairs)) if pairs else F.array().cast("array<string>")
         out = F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda p: p != ""), ","), F.lit("}")))
     elif isinstance(kind, T.MapType):
-        entry = lambda k: bound(F.element_at(value, k), lambda v: F.concat(quoted(k), F.lit(":"), encoded(v, kind.valueType, keep_nulls)) if keep_nulls else F.when(v.isNotNull(), F.concat(quoted(k), F.lit(":"), encoded(v, kind.valueType, keep_nulls))).otherwise(F.lit("")))
+        entry = lambda k: bound(F.element_at(value, k), lambda v: F.concat(quoted(k), F.lit(":"), encoded(v, kind.valueType, keep_nulls, sparse)) if keep_nulls else F.when(v.isNotNull(), F.concat(quoted(k), F.lit(":"), encoded(v, kind.valueType, keep_nulls, sparse))).otherwise(F.lit("")))
         out = bound(F.transform(F.array_sort(F.map_keys(value)), entry), lambda parts: F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda p: p != ""), ","), F.lit("}"))))
     elif isinstance(kind, T.ArrayType):
-        out = bound(F.transform(value, lambda x: encoded(x, kind.elementType, keep_nulls)), lambda parts: F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))))
+        out = bound(F.transform(value, lambda x: encoded(x, kind.elementType, keep_nulls, sparse)), lambda parts: F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         out = number(value.cast("double"))
     elif isinstance(kind, T.TimestampType):
@@ -78,10 +79,10 @@ def encoded(value: Column, kind: T.DataType, keep_nulls: bool = True) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(out)
 
 
-def canonical_json(rows: DataFrame, column: str, keep_nulls: bool = True) -> Column:
-    return encoded(F.col(column), rows.schema[column].dataType, keep_nulls)
+def canonical_json(rows: DataFrame, column: str, keep_nulls: bool = True, sparse: tuple[str, ...] = ()) -> Column:
+    return encoded(F.col(column), rows.schema[column].dataType, keep_nulls, sparse)
 
 
-def digests(rows: DataFrame, column: str, name: str = "digest", keep_nulls: bool = True) -> DataFrame:
+def digests(rows: DataFrame, column: str, name: str = "digest", keep_nulls: bool = True, sparse: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with the SHA-256 of a column's canonical JSON."""
-    return rows.withColumn(name, F.sha2(canonical_json(rows, column, keep_nulls), 256))
+    return rows.withColumn(name, F.sha2(canonical_json(rows, column, keep_nulls, sparse), 256))

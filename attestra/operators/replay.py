@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digests
@@ -15,11 +15,25 @@ ENTRY = ("action", "actor_id", "actor_type", "after", "before", "created_at", "o
 
 
 def with_entry_hash(entries: DataFrame) -> DataFrame:
-    """``entries`` with ``entry_hash``, the link of the chain; ``before`` and ``after`` are structs or maps."""
-    whole = digests(entries.withColumn("entry", F.struct(*(F.col(c) for c in ENTRY))), "entry", "entry_hash")
+    """``entries`` with ``entry_hash``, the link of the chain; ``before`` and ``after`` are structs, without their nulls."""
+    whole = digests(entries.withColumn("entry", F.struct(*(F.col(c) for c in ENTRY))), "entry", "entry_hash", sparse=("before", "after"))
     return whole.drop("entry")
 
 
+def chain_problems(log: DataFrame) -> DataFrame:
+    """Entries of a log that can't stand: ``operation_id, step_number, problem``; steps begin at 0 and have no gaps.
+
+    STEP for a wrong number, LINK for another hash than the entry's before it, HASH where an entry doesn't give its own.
+    """
+    window = Window.partitionBy("operation_id").orderBy("step_number")  # an operation has a handful of steps
+    rows = log.withColumn("last_step", F.lag("step_number").over(window)).withColumn("last_hash", F.lag("entry_hash").over(window)).withColumnRenamed("entry_hash", "said")
+    c = F.col
+    problem = (
+        F.when(c("step_number") != F.coalesce(c("last_step") + 1, F.lit(0)), "STEP").when(~c("previous_entry_hash").eqNullSafe(c("last_hash")), "LINK").when(c("said") != c("entry_hash"), "HASH")
+    )
+    return with_entry_hash(rows).select("operation_id", "step_number", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def last_entries(log: DataFrame) -> DataFrame:
     """The entry of the highest step of each operation."""
     rest = [c for c in log.columns if c not in ("operation_id", "step_number")]

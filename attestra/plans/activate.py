@@ -183,3 +183,110 @@ def generation_versions(spark, sf):
         part = listed(activate.read(store, version)).withColumn("version", F.lit(version).cast("long"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
+
+
+ENTRIES = """SELECT 'op' || cast(c_custkey AS string) AS operation_id, 'g' || cast(c_custkey % 5 AS string) AS target_id, 'g' || cast(c_custkey % 4 + 7 AS string) AS old, cast(c_custkey % 50 AS bigint) AS notes, cast(c_custkey % 900 AS bigint) AS chunks, c_custkey AS k FROM {customer}"""
+
+
+def _entry(rows: DataFrame, action: str, step: int, previous: str | None) -> DataFrame:
+    c = F.col
+    promoted = action == replay.PROMOTED
+    text = lambda x: F.lit(x).cast("string")
+    before = F.struct(c("old").alias("active_generation_id"), text("STAGING" if promoted else None).alias("target_status"))
+    after = F.struct((c("target_id") if promoted else c("old")).alias("active_generation_id"), c("chunks").alias("chunk_count"), text("a\"b" if promoted else None).alias("gate_hash"), F.when(c("k") % 6 != 0, c("notes")).alias("note_count"), text(None if promoted else "STAGING").alias("target_status"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000 + step) + c("k")) + F.make_dt_interval(secs=F.lit(0.000250))
+    return rows.select(
+        "operation_id", F.lit(step).cast("long").alias("step_number"), F.lit(action).alias("action"), "target_id", before.alias("before"), after.alias("after"), at.alias("created_at"),
+        text(None).alias("actor_id"), F.lit(replay.ACTOR).alias("actor_type"), F.lit(replay.TARGET).alias("target_type"), (c(previous) if previous else text(None)).alias("previous_entry_hash"), "old", "notes", "chunks", "k",
+    )
+
+
+def _log(spark, sf) -> DataFrame:
+    """Two of three operations have been rebuilt, half of these promoted."""
+    rows = derived(spark, sf, ENTRIES)
+    rebuilt = replay.with_entry_hash(_entry(rows.where("k % 3 <> 0"), replay.REBUILT, 0, None))
+    promoted = replay.with_entry_hash(_entry(rebuilt.where("k % 2 = 0").withColumnRenamed("entry_hash", "previous"), replay.PROMOTED, 1, "previous"))
+    return rebuilt.unionByName(promoted)
+
+
+_AT = "strftime(make_timestamp(({s} + k) * 1000000 + 250), '%Y-%m-%dT%H:%M:%S.%fZ')"
+_COUNT = "CASE WHEN k % 6 <> 0 THEN ',\"note_count\":' || notes ELSE '' END"
+
+
+def entry_sql(promoted: bool, step: str, seconds: int, previous: str) -> str:
+    action, active = (replay.PROMOTED, "target_id") if promoted else (replay.REBUILT, "old")
+    after = f"""'{{"active_generation_id":"' || {active} || '","chunk_count":' || chunks || '{',"gate_hash":"a' + chr(92) + '"b"' if promoted else ''}' || {_COUNT} || '{'' if promoted else ',"target_status":"STAGING"'}}}'"""
+    before = f"""'{{"active_generation_id":"' || old || '"{',"target_status":"STAGING"' if promoted else ''}}}'"""
+    return f"""sha256('{{"action":"{action}","actor_id":null,"actor_type":"SYSTEM","after":' || {after} || ',"before":' || {before} || ',"created_at":"' || {_AT.format(s=seconds)} || '","operation_id":"' || operation_id
+      || '","previous_entry_hash":' || coalesce('"' || {previous} || '"', 'null') || ',"step_number":' || {step} || ',"target_id":"' || target_id || '","target_type":"INDEX_GENERATION"}}')"""
+
+
+LOG_SQL = f"""e AS ({twin(ENTRIES)}), zero AS (SELECT *, {entry_sql(False, "0", 1_700_000_000, "NULL")} AS h0 FROM e WHERE k % 3 <> 0), one AS (SELECT *, {entry_sql(True, "1", 1_700_000_001, "h0")} AS h1 FROM zero WHERE k % 2 = 0)"""
+
+
+@query("audit_entries", f"WITH {LOG_SQL} SELECT operation_id, 0::BIGINT AS step_number, NULL AS previous_entry_hash, h0 AS entry_hash FROM zero UNION ALL SELECT operation_id, 1, h0, h1 FROM one")
+def audit_entries(spark, sf):
+    return _log(spark, sf).select("operation_id", "step_number", "previous_entry_hash", "entry_hash")
+
+
+@query(
+    "audit_chain",
+    f"""WITH {LOG_SQL}, l AS (SELECT k, operation_id, 0 AS step, h0 AS own, NULL AS prev, CASE WHEN k % 8 = 1 THEN 'spoilt' ELSE h0 END AS said FROM zero WHERE k % 14 <> 2 UNION ALL SELECT k, operation_id, 1, h1, h0, CASE WHEN k % 16 = 4 THEN 'spoilt' ELSE h1 END FROM one),
+    w AS (SELECT *, lag(step) OVER o AS ls, lag(said) OVER o AS lh FROM l WINDOW o AS (PARTITION BY operation_id ORDER BY step)),
+    p AS (SELECT operation_id, step::BIGINT AS step_number, CASE WHEN step <> coalesce(ls + 1, 0) THEN 'STEP' WHEN prev IS DISTINCT FROM lh THEN 'LINK' WHEN said <> own THEN 'HASH' END AS problem FROM w) SELECT * FROM p WHERE problem IS NOT NULL""",
+)
+def audit_chain(spark, sf):
+    """Logs with entries that are missing or spoilt."""
+    log = _log(spark, sf).where("NOT (step_number = 0 AND k % 14 = 2)")
+    spoilt = ((F.col("step_number") == 0) & (F.col("k") % 8 == 1)) | ((F.col("step_number") == 1) & (F.col("k") % 16 == 4))
+    return replay.chain_problems(log.withColumn("entry_hash", F.when(spoilt, "spoilt").otherwise(F.col("entry_hash"))))
+
+
+@query(
+    "audit_append",
+    f"""WITH {LOG_SQL}, last AS (SELECT e.*, zero.h0, h1, zero.k IS NOT NULL AS rebuilt, one.k IS NOT NULL AS promoted FROM e LEFT JOIN zero USING (k) LEFT JOIN one USING (k)),
+    n AS (SELECT * REPLACE (CASE WHEN k % 9 = 4 THEN 'gx' ELSE target_id END AS target_id), target_id AS had, CASE WHEN promoted THEN 2 WHEN rebuilt THEN 1 ELSE 0 END AS step, coalesce(h1, h0) AS prev FROM last),
+    o AS (SELECT *, CASE WHEN NOT rebuilt THEN 'APPENDED' WHEN had <> target_id THEN 'FOREIGN' WHEN promoted THEN 'KNOWN' ELSE 'APPENDED' END AS outcome FROM n),
+    a AS (SELECT operation_id, '{replay.PROMOTED}' AS action, target_id, outcome, step, prev, {entry_sql(True, "step", 1_700_000_005, "prev")} AS h FROM o)
+    SELECT operation_id, action, target_id, outcome, CASE WHEN outcome = 'APPENDED' THEN step::BIGINT END AS step_number, CASE WHEN outcome = 'APPENDED' THEN prev END AS previous_entry_hash, CASE WHEN outcome = 'APPENDED' THEN h END AS entry_hash FROM a
+    UNION ALL SELECT operation_id, '{replay.ABORTED}', target_id, 'LATER', NULL, NULL, NULL FROM n WHERE k % 7 = 0""",
+)
+def audit_append(spark, sf):
+    """A promotion of every operation, some asked for another generation, some with an abort after it."""
+    rows = derived(spark, sf, ENTRIES).withColumn("target_id", F.when(F.col("k") % 9 == 4, "gx").otherwise(F.col("target_id")))
+    new = _entry(rows, replay.PROMOTED, 5, None)
+    late = new.where("k % 7 = 0").withColumn("action", F.lit(replay.ABORTED)).withColumn("created_at", F.col("created_at") + F.make_dt_interval(hours=F.lit(1)))
+    keep = ["operation_id", "action", "target_id", "before", "after", "created_at"]
+    return replay.appended(_log(spark, sf), new.unionByName(late).select(*keep))
+
+
+AGAIN = "SELECT c_custkey AS request_id, 'op' || cast(c_custkey AS string) AS operation_id, 'INDEX_GENERATION_PROMOTED' AS action, CASE WHEN c_custkey % 11 = 4 THEN 'g9' ELSE 'g' || cast(c_custkey % 5 AS string) END AS generation_id, CASE WHEN c_custkey % 5 = 1 THEN 'other' WHEN c_custkey % 5 = 2 THEN NULL ELSE 'a\"b' END AS gate_hash FROM {customer}"
+ONES = "SELECT 'g' || cast(n_nationkey AS string) AS generation_id, n_nationkey + 1 AS revision, CASE WHEN n_nationkey = 3 THEN 'SUPERSEDED' WHEN n_nationkey > 6 THEN 'STAGING' ELSE 'ACTIVE' END AS status FROM {nation}"
+
+
+@query(
+    "audit_replay",
+    f"""WITH {LOG_SQL}, q AS ({twin(AGAIN)}), g AS ({twin(ONES)}),
+    r AS (SELECT request_id, one.*, CASE WHEN one.k IS NULL THEN 'NEW' WHEN target_id <> q.generation_id OR g.status IS DISTINCT FROM 'ACTIVE' THEN 'MOVED_ON' WHEN one.k % 6 = 0 THEN 'BROKEN' WHEN gate_hash <> 'a"b' THEN 'OTHER' ELSE 'REPLAY' END AS outcome
+      FROM q LEFT JOIN one ON one.operation_id = q.operation_id LEFT JOIN g ON g.generation_id = q.generation_id)
+    SELECT request_id, outcome, CASE WHEN outcome = 'REPLAY' THEN old END AS source, CASE WHEN outcome = 'REPLAY' THEN notes END AS notes, CASE WHEN outcome = 'REPLAY' THEN chunks END AS chunks FROM r""",
+)
+def audit_replay(spark, sf):
+    return replay.replays(derived(spark, sf, AGAIN), _log(spark, sf), derived(spark, sf, ONES))
+
+
+HISTORY = """SELECT 'op' || cast(o_orderkey AS string) AS operation_id, cast(o_orderkey % 3 AS bigint) AS step_number, o_orderdate AS created_at, 'g' || cast(o_custkey AS string) AS target_id, 'g' || cast(o_custkey + 1 AS string) AS old,
+  CASE o_orderkey % 5 WHEN 0 THEN 'INDEX_GENERATION_ROLLED_BACK' WHEN 1 THEN 'INDEX_GENERATION_ABORTED' WHEN 2 THEN 'INDEX_GENERATION_REBUILT' ELSE 'INDEX_GENERATION_PROMOTED' END AS action, CASE WHEN o_custkey % 4 = 0 THEN 'FAILED' ELSE 'STAGING' END AS was FROM {orders}"""
+CREATED = "SELECT 'g' || cast(c_custkey AS string) AS generation_id, 1 AS revision, 'STAGING' AS status FROM {customer}"
+
+
+@query(
+    "log_state",
+    f"""WITH h AS ({twin(HISTORY)}), x AS (SELECT target_id AS generation_id, CASE WHEN action LIKE '%ABORTED' THEN 'FAILED' ELSE 'ACTIVE' END AS s, created_at, operation_id, step_number FROM h WHERE action IN ('{replay.PROMOTED}', '{replay.ROLLED_BACK}') OR (action = '{replay.ABORTED}' AND was <> 'FAILED')
+      UNION ALL SELECT old, 'SUPERSEDED', created_at, operation_id, step_number FROM h WHERE action IN ('{replay.PROMOTED}', '{replay.ROLLED_BACK}')),
+    n AS (SELECT generation_id, arg_max(s, (created_at, operation_id, step_number)) AS now_, count(*) AS steps FROM x GROUP BY 1)
+    SELECT generation_id, revision + coalesce(steps, 0) AS revision, coalesce(now_, status) AS status FROM ({twin(CREATED)}) LEFT JOIN n USING (generation_id)""",
+)
+def log_state(spark, sf):
+    log = derived(spark, sf, HISTORY).select("operation_id", "step_number", "created_at", "target_id", "action", F.struct(F.col("old").alias("active_generation_id"), F.col("was").alias("target_status")).alias("before"))
+    return replay.generations_of(log, derived(spark, sf, CREATED))
