@@ -4,8 +4,8 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts in a docum
 these strings. First, suffixes at anchors are range-partitioned by their leading bytes with sampled splitters; each range
 is sorted by multikey quicksort, and stretches that a document of smaller id has whole are done. Only stretches whose
 anchor also stands in unlike stretches, and the first ones of anchors that lie on a splitter and so in several ranges, go
-on: their windows are partitioned and sorted the same way, byte for byte. Last, windows that lie on a splitter are
-compared across ranges: each range hands on its first documents only.
+on: their bytes are partitioned the same way, and each range sorts their windows, byte for byte. Last, windows whose
+anchor lies on a splitter are compared across ranges: each range hands on its first documents only.
 
 Anchors of hot passages fill several ranges by document, so no range holds a group whole. Ranges hold about ``PER_RANGE``
 rows. Equal stretches are told by 104 bits of two hashes; windows by their bytes.
@@ -25,7 +25,9 @@ from .suffixes import WIDTH, Splitters, as_words, multikey_order, starts_of, str
 
 #: Rows of a range, and texts and words looked at to find the splitters.
 PER_RANGE, SAMPLE, SAMPLED = 1 << 20, 4_000, 400_000
-#: Two windows in fifteen or more bytes share an anchor on average: this share of the bytes is anchors at most.
+#: Pending stretches of a range: a stretch has about 16 windows of some hundred bytes while they are sorted.
+STRETCHES = PER_RANGE // 64
+#: Anchors in a byte of text, about.
 DENSITY = 1 / 15
 #: A document is named by its id and these bits of a checksum, so that rows which share an id stay apart.
 TAG = 20
@@ -53,39 +55,36 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
             yield doc[s.row], (s.start << (TAG + 8)) | (s.windows << TAG) | tag[s.row], s.word, s.whole
 
 
-def _starts(places: np.ndarray) -> np.ndarray:
-    """The starts of all windows of these stretches."""
-    first, n = places >> (TAG + 8), (places >> TAG) & 255
-    return np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``doc, place, bytes`` of each window of the pending stretches; a text's at a time."""
+def _pending(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """``doc, place, word, bytes`` of each pending stretch; a text's at a time."""
     for batch in batches:
-        doc, tag = _columns(batch, "doc_id", "tag")
+        doc = batch.column("doc_id").to_numpy()
         data, offsets = utf8_of(batch.column("text"))
-        lists = batch.column("places")
+        lists = batch.column("stretches")
         for i in range(batch.num_rows):
-            starts = _starts(lists[i].values.to_numpy(zero_copy_only=False))
-            yield np.full(len(starts), doc[i]), (starts << (TAG + 8)) | (1 << TAG) | tag[i], windows(data[offsets[i] : offsets[i + 1]], starts)
+            place, word = (np.asarray(lists[i].values.field(k)) for k in (0, 1))
+            first, size = place >> (TAG + 8), ((place >> TAG) & 255) + WIDTH - 1
+            ends = np.concatenate([[0], np.cumsum(size)])
+            taken = np.repeat(first - ends[:-1], size) + np.arange(ends[-1]) + offsets[i]
+            yield np.full(len(place), doc[i]), place, word.view(np.uint64), _binary(data[taken], ends)
+
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-def _words_of(kind, every: int):
-    """Every so many words, to find the splitters from."""
+
+def _words(every: int):
+    """Every so many words of texts' anchors, to find the splitters from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in kind(batches):
-            word = found[2] if found[2].ndim == 1 else as_words(found[2][:, :8])[0]
+        for _, _, word, _ in _anchors(batches):
             yield pa.RecordBatch.from_arrays([_signed(word[::every].copy())], ["word"])
 
     return run
 
 
-def _splitters(rows: DataFrame, kind, expected: int, share: float, ranges: int) -> Splitters:
-    """``share`` of the texts is looked at; the driver sees about ``SAMPLED`` words."""
-    every = max(1, int(expected * share) // SAMPLED)
-    words = arrow_map(rows.sample(share, 1) if share < 1 else rows, _words_of(kind, every), "word long").toArrow()
-    return Splitters(words.column("word").to_numpy().view(np.uint64), ranges)
+def _splitters(words: DataFrame, ranges: int) -> Splitters:
+    return Splitters(words.toArrow().column("word").to_numpy().view(np.uint64), ranges)
 
 
 def _deal_anchors(split: Splitters):
@@ -113,43 +112,57 @@ def _sort_anchors(split: Splitters):
         several = unlike & (np.minimum.reduceat(doc, anchor) < np.maximum.reduceat(doc, anchor))
         pending = ~had & (np.repeat(several, np.diff(np.append(anchor, len(word)))) | split.across(word))
         out = had | pending
-        yield pa.RecordBatch.from_arrays([_signed(doc[out]), _signed(place[out]), pa.array(had[out])], ["doc_id", "place", "had"])
+        yield pa.RecordBatch.from_arrays([_signed(doc[out]), _signed(place[out]), _signed(word[out]), pa.array(had[out])], ["doc_id", "place", "word", "had"])
 
     return run
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def _deal_windows(split: Splitters):
+def _deal_stretches(split: Splitters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, place, rows in _windows(batches):
-            to = split.deal(as_words(rows[:, :8])[0], doc)
-            yield pa.RecordBatch.from_arrays([pa.array(to), _binary(rows), _signed(doc), _signed(place)], ["range", "bytes", "doc_id", "place"])
+        for doc, place, word, data in _pending(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(split.deal(word, doc)), _signed(word), data, _signed(doc), _signed(place)], ["range", "word", "bytes", "doc_id", "place"])
 
     return run
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as few places: neighbours of a document become one, of 255 windows at most."""
+    order = np.lexsort([start, tag, doc])
+    doc, start, tag = doc[order], start[order], tag[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + 1)
+    begin = np.flatnonzero(new)
+    base = np.repeat(start[begin], np.diff(np.append(begin, len(doc))))
+    begin = np.flatnonzero(new | (((start - base) % 255 == 0) & ~np.concatenate([[False], start[1:] == start[:-1]])))
+    n = start[np.append(begin, len(doc))[1:] - 1] - start[begin] + 1
+    return doc[begin], (start[begin] << (TAG + 8)) | (n << TAG) | tag[begin]
+
+
 def _sort_windows(split: Splitters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not sum(b.num_rows for b in got):
             return
-        rows = np.concatenate([utf8_of(b.column("bytes"))[0].reshape(-1, WIDTH) for b in got])
-        doc, place = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("doc_id", "place"))
+        word, doc, place = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("word", "doc_id", "place"))
+        data = np.concatenate([utf8_of(b.column("bytes"))[0] for b in got])
         del got
-        words = as_words(rows)
+        n = (place >> TAG) & 255
+        each, before = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        inner = np.arange(n.sum()) - before[each]
+        sizes = n + WIDTH - 1
+        rows = windows(data, (np.cumsum(sizes) - sizes)[each] + inner)
+        words, doc = as_words(rows), doc[each]
         order = multikey_order([*words, doc])
         alike = starts_of([w[order] for w in words])
         first = np.repeat(doc[order][alike], np.diff(np.append(alike, len(doc))))
         had = np.empty(len(doc), bool)
         had[order] = doc[order] > first
-        across = ~had & split.across(words[0])
-        none = pa.nulls(int(had.sum()), pa.binary())
-        yield pa.RecordBatch.from_arrays([_signed(doc[had]), _signed(place[had]), none], ["doc_id", "place", "bytes"])
-        yield pa.RecordBatch.from_arrays([_signed(doc[across]), _signed(place[across]), _binary(rows[across])], ["doc_id", "place", "bytes"])
+        start, tag = (place >> (TAG + 8))[each] + inner, (place & ((1 << TAG) - 1))[each]
+        docs, places = _joined(doc[had], start[had], tag[had])
+        yield pa.RecordBatch.from_arrays([_signed(docs), _signed(places), pa.nulls(len(docs), pa.binary())], ["doc_id", "place", "bytes"])
+        across = ~had & split.across(word.view(np.uint64))[each]
+        left = np.ascontiguousarray(rows[across])
+        yield pa.RecordBatch.from_arrays([_signed(doc[across]), _signed((start[across] << (TAG + 8)) | (1 << TAG) | tag[across]), _binary(left.ravel(), np.arange(len(left) + 1) * WIDTH)], ["doc_id", "place", "bytes"])
 
     return run
 
@@ -170,16 +183,20 @@ def repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(least, -int(-size * DENSITY // PER_RANGE))
-    split = _splitters(texts, _anchors, int(size * DENSITY), min(1.0, SAMPLE / max(n, 1)), ranges)
+    share = min(1.0, SAMPLE / max(n, 1))
+    some = texts.sample(share, 1) if share < 1 else texts
+    split = _splitters(arrow_map(some, _words(max(1, int(size * DENSITY * share) // SAMPLED)), "word long"), ranges)
     dealt = arrow_map(texts.select("doc_id", "tag", "text"), _deal_anchors(split), "range int, word long, whole long, doc_id long, place long")
-    found = ws.keep(_ranged(dealt, split.ranges, _sort_anchors(split), "doc_id long, place long, had boolean"), "stretches")
+    found = ws.keep(_ranged(dealt, split.ranges, _sort_anchors(split), "doc_id long, place long, word long, had boolean"), "stretches")
 
     tag = F.col("place").bitwiseAND((1 << TAG) - 1).alias("tag")
-    wanted = ws.keep(found.where("NOT had").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places")), "pending")
-    several, many = wanted.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, TAG).bitwiseAND(255))), F.lit(0))).first()
-    pending = ws.keep(texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places"), "pending-texts")
-    split = _splitters(pending, _windows, many, min(1.0, SAMPLE / max(several, 1)), max(least, -(-many // PER_RANGE)))
-    dealt = arrow_map(pending, _deal_windows(split), "range int, bytes binary, doc_id long, place long")
+    open_ = found.where("NOT had")
+    many = open_.count()
+    some = open_.select("word").sample(min(1.0, SAMPLED / max(many, 1)), 2)
+    split = _splitters(some, max(least, -(-many // STRETCHES)))
+    wanted = ws.keep(open_.groupBy("doc_id", tag).agg(F.collect_list(F.struct("place", "word")).alias("stretches")), "pending")
+    pending = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "stretches")
+    dealt = arrow_map(pending, _deal_stretches(split), "range int, word long, bytes binary, doc_id long, place long")
     sorted_ = ws.keep(_ranged(dealt, split.ranges, _sort_windows(split), "doc_id long, place long, bytes binary"), "windows")
     across = sorted_.where("bytes IS NOT NULL").withColumn("first", F.min("doc_id").over(Window.partitionBy("bytes")))  # a range's first documents only
     had = found.where("had").select("doc_id", "place").union(sorted_.where("bytes IS NULL").select("doc_id", "place")).union(across.where("doc_id > first").select("doc_id", "place"))

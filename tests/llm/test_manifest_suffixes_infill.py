@@ -126,6 +126,7 @@ def passages(seed=3, n=60):
 def test_cuts_are_those_of_brute_force(spark, tmp_path, monkeypatch, ranged, at_once):
     """Also with ranges so small that passages lie on splitters, and with texts in pieces."""
     monkeypatch.setattr(suffix_dedup, "PER_RANGE", ranged)
+    monkeypatch.setattr(suffix_dedup, "STRETCHES", max(8, ranged // 64))
     monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
     rows = passages()
     random.Random(1).shuffle(rows)
@@ -137,6 +138,7 @@ def test_cuts_are_those_of_brute_force(spark, tmp_path, monkeypatch, ranged, at_
 def test_one_passage_in_every_document(spark, tmp_path, monkeypatch):
     """A passage that lies on splitters, with unlike neighbours: the first document keeps it, all others lose it."""
     monkeypatch.setattr(suffix_dedup, "PER_RANGE", 30)
+    monkeypatch.setattr(suffix_dedup, "STRETCHES", 10)
     rnd = random.Random(5)
     line = "all of these documents hold this very line, word for word, and it is long"
     rows = [(i, f"{rnd.random()} {line} {rnd.random()}") for i in range(200)]
