@@ -56,7 +56,8 @@ class Workspace:
 
     def keep(self, df: DataFrame, label: str, one_file: bool = False) -> DataFrame:
         """``one_file`` is for a row a group: its size then shows that it is small, and joins with it don't shuffle."""
-        (df.repartition(1) if one_file else df).write.parquet(to := self.folder(label))
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):  # a step's shuffles end with it
+            (df.repartition(1) if one_file else df).write.parquet(to := self.folder(label))
         if self._n % FREED_EVERY == 0:  # Spark drops shuffles and broadcasts when the driver collects garbage, and the heap shrinks
             self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(to)
