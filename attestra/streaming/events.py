@@ -1,17 +1,24 @@
-"""Windows, sessions and leases over the event stream."""
+"""Windows, sessions, first occurrences and leases over the event stream.
+
+What is emitted in append mode is emitted once, when the watermark has passed it, and leaves the state then. What is still
+open when the input ends stays in the state and comes with later input. Rows older than the watermark are dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .run import finished, source
+from .run import finished, keyed_state, source
 
 LEASE_MS = 3_600_000
+#: How long after a lease's end its key is remembered.
+FORGET_MS = 24 * LEASE_MS
 
 
 def tumbling(spark: SparkSession, sf_dir: str, size: str = "1 hour", late: str = "60 days") -> DataFrame:
@@ -23,33 +30,112 @@ def tumbling(spark: SparkSession, sf_dir: str, size: str = "1 hour", late: str =
     return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "r.events", F.round("r.total", 4).alias("total"))
 
 
-def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes", late: str = "60 days") -> DataFrame:
-    """Sessions of a user's events, ended by a gap. Emitted whole, as complete output of the run."""
-    e = source(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    stream = e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
-    out = finished(stream.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events"), "complete")
-    latest = out.agg(F.max("epoch").alias("epoch"))
-    rows = out.join(F.broadcast(latest), "epoch")  # one row
-    return rows.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "events")
-
-
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    lease, attempt = state.get if state.exists else (0, 0)
-    rows = pd.concat(batches).sort_values(["at", "event_id"])
-    out = []
-    for event, at in zip(rows["event_id"], rows["at"], strict=True):
-        if attempt and lease > at:
-            outcome = "BUSY"
-        else:
-            outcome = "TAKEN_OVER" if attempt else "ACQUIRED"
-            lease, attempt = int(at) + LEASE_MS, attempt + 1
-        out.append((key[0], event, outcome, attempt))
-    state.update((lease, attempt))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "attempt"])
-
-
-def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event asks for its user's lease; the state keeps expiry and attempt and never forgets a key."""
-    e = source(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    stream = e.groupBy("user_id").applyInPandasWithState(_decide, "user_id long, event_id long, outcome string, attempt long", "lease long, attempt long", "append", GroupStateTimeout.NoTimeout)
-    return finished(stream, "append").drop("epoch")
+def _events(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
+    return source(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """``user_id, session_start, session_end, events`` of ``events(at, user_id)`` with a watermark: sessions ended by a gap."""
+    stream = events.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
+    return stream.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+
+
+def sliding(events: DataFrame, size: str = "2 hours", step: str = "30 minutes") -> DataFrame:
+    """``window_start, event_type, events, most`` of overlapping windows."""
+    stream = events.groupBy(F.window("at", size, step).alias("w"), "event_type").agg(F.count("*").alias("events"), F.max("value").alias("most"))
+    return stream.select(F.col("w.start").alias("window_start"), "event_type", "events", "most")
+
+
+def firsts(events: DataFrame) -> DataFrame:
+    """``user_id, content_hash`` of contents that the user hasn't sent within the watermark; copies go as they come in."""
+    content = F.sha2(F.concat_ws("|", "event_type", "props"), 256)
+    return events.withColumn("content_hash", content).dropDuplicatesWithinWatermark(["user_id", "content_hash"]).select("user_id", "content_hash")
+
+
+def final_sessions(spark: SparkSession, sf_dir: str, late: str = "2 hours") -> DataFrame:
+    out = finished(sessions(_events(spark, sf_dir, late)), "append")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "events")
+
+
+def final_sliding(spark: SparkSession, sf_dir: str, late: str = "2 hours") -> DataFrame:
+    out = finished(sliding(_events(spark, sf_dir, late)), "append")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", "most")
+
+
+def final_firsts(spark: SparkSession, sf_dir: str, late: str = "60 days") -> DataFrame:
+    return finished(firsts(_events(spark, sf_dir, late)), "append").drop("epoch")
+
+
+class Leases(StatefulProcessor):
+    """A key's lease: who asks while it runs finds it BUSY, who asks later takes it over; a timer says when it has run out.
+
+    A second timer forgets the key, so state holds the keys of the last day only. Outcomes follow event times alone, so
+    they don't depend on how rows are spread over batches, as long as none is late.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", "until long, attempt long, over boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        both = [(r["ms"].to_numpy(np.int64), r["event_id"].to_numpy(np.int64)) for r in rows]
+        ms, ids = (np.concatenate(x) for x in zip(*both))
+        order = np.lexsort([ids, ms])
+        ms, ids = ms[order], ids[order]
+        until, attempt, over = self.lease.get() if self.lease.exists() else (None, 0, True)
+        timer = until if until is None or not over else until + FORGET_MS  # the one that is set
+        outcomes, attempts, ended = np.full(len(ms), "BUSY", object), np.zeros(len(ms), np.int64), []
+        at = 0
+        while at < len(ms):  # a round for each lease
+            if until is not None and ms[at] < until:
+                to = int(np.searchsorted(ms, until, "left"))
+                attempts[at:to] = attempt
+                at = to
+                continue
+            if until is not None and not over:
+                ended.append((until, attempt))
+            known = until is not None and ms[at] < until + FORGET_MS
+            outcomes[at], attempt = ("TAKEN_OVER", attempt + 1) if known else ("ACQUIRED", 1)
+            until, over = int(ms[at]) + LEASE_MS, False
+            attempts[at] = attempt
+            at += 1
+        if not over and timer != until:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
+        self.lease.update((until, attempt, over))
+        yield pd.DataFrame({"user_id": key[0], "event_id": ids, "ms": ms, "outcome": outcomes, "attempt": attempts})
+        if ended:
+            yield _expired(key[0], ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, attempt, over = self.lease.get()
+        if over:
+            self.lease.clear()
+            return
+        self.lease.update((until, attempt, True))
+        self.handle.registerTimer(until + FORGET_MS)
+        yield _expired(key[0], [(until, attempt)])
+
+    def close(self) -> None:
+        pass
+
+
+def _expired(key: int, ended: list[tuple[int, int]]) -> pd.DataFrame:
+    until, attempt = zip(*ended)
+    return pd.DataFrame({"user_id": key, "event_id": pd.array([None] * len(ended), "Int64"), "ms": until, "outcome": "EXPIRED", "attempt": attempt})
+
+
+def leases(events: DataFrame) -> DataFrame:
+    """``user_id, event_id, ms, outcome, attempt`` of ``events(at, user_id, event_id)`` with a watermark.
+
+    A row for each event, and a row EXPIRED without an event at each lease's end, once the watermark or a later request has
+    passed it.
+    """
+    rows = events.select("user_id", "event_id", "at", F.unix_millis("at").alias("ms"))
+    return rows.groupBy("user_id").transformWithStateInPandas(Leases(), "user_id long, event_id long, ms long, outcome string, attempt long", "Append", "EventTime")
+
+
+def final_leases(spark: SparkSession, sf_dir: str, late: str = "2 hours") -> DataFrame:
+    with keyed_state(spark):
+        return finished(leases(_events(spark, sf_dir, late)), "append").drop("epoch")
