@@ -22,7 +22,7 @@ from .shared import Workspace, small_batches
 from .words import word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Documents that must hold both a term and an entity at least.
+#: Distinct texts that must hold both a term and an entity at least.
 SUPPORT = 2
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -115,7 +115,7 @@ class _Counts:
         return terms.astype(np.int64), n
 
 
-SCAN = "doc_id long, spans array<struct<kind: string, start: long, stop: long>>, entities array<long>, text string, term long, n long"
+SCAN = "digest binary, spans array<struct<kind: string, start: long, stop: long>>, entities array<long>, text string, term long, n long"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 _LONGS = pa.list_(pa.int64())
 FOUND = "row long, terms array<struct<start: long, stop: long, share: double>>"
@@ -123,28 +123,28 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("shar
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with its text where that has a mention, and rows of term counts."""
-    counts, names = _Counts(), ["doc_id", "spans", "entities", "text", "term", "n"]
+    """A row for each distinct text that has a mention, rows of term counts, and one of a number of texts without a term."""
+    counts, texts, names = _Counts(), 0, ["digest", "spans", "entities", "text", "term", "n"]
 
-    def counted() -> pa.RecordBatch:
+    def counted(last: bool = False) -> pa.RecordBatch:
         terms, n = counts.take()
+        if last:
+            terms, n = pa.array([*terms.tolist(), None], pa.int64()), [*n.tolist(), texts]
         none = lambda kind: pa.nulls(len(terms), kind)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(_SPAN), none(_LONGS), none(pa.string()), pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([none(pa.binary()), none(_SPAN), none(_LONGS), none(pa.string()), pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names)
 
     for batch in batches:
-        spans, entities, texts = [], [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
+        rows = []
+        for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
             counts.add(word_hashes(text.encode("utf-8", "surrogatepass")))
-            found = base_spans(text)
-            spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in found])
-            entities.append(_entities(text, found))
-            texts.append(text if found else None)
-        none = pa.nulls(len(spans), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPAN), pa.array(entities, _LONGS), pa.array(texts, pa.string()), none, none], names)
+            texts += 1
+            if found := base_spans(text):
+                rows.append((digest, [{"kind": k, "start": a, "stop": b} for k, a, b in found], _entities(text, found), text))
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), _SPAN, _LONGS, pa.string()))), none, none], names)
         if counts.size >= 4 * COUNTED:
             yield counted()
-    yield counted()
+    yield counted(last=True)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def together(held: DataFrame, words: DataFrame, counts: DataFrame, documents: in
 def disclosing_terms(pairs: DataFrame, documents: int) -> DataFrame:
     """``entity, term, share``: how much of the entity's information the term gives, where that passes ``GENERALISE``.
 
-    With document frequencies over the corpus, PMI(e, t) = log(N c(e,t) / (c(e) c(t))) and the share is PMI / IC(e),
+    With numbers of distinct texts, PMI(e, t) = log(N c(e,t) / (c(e) c(t))) and the share is PMI / IC(e),
     IC(e) = log(N / c(e)). A hot entity's pairs are counted in part before they are shuffled.
     """
     counted = pairs.groupBy("entity", "term", "have", "df").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
@@ -197,14 +197,16 @@ def personal_data(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     A span of ``terms`` also has its ``share``. ``sanitised`` is the text without what the spans disclose; null where there
     are none, as the text stays as it is. Null texts count as empty and have no spans; rows that share an id are
-    judged apart. Copies of a text count as documents of their own. An entity that every document has discloses nothing.
-    An empty table gives an empty result.
+    judged apart. All counts are of distinct texts, so that copies support nothing; what is found in a text goes for all its
+    copies. An entity that every text has discloses nothing. An empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256)).alias("digest")
     with small_batches(docs.sparkSession):
-        scan = ws.keep(texts.mapInArrow(_scan, SCAN), "scan")
-        rows = ws.keep(scan.where("spans is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", "entities", "text"), "rows")
-        documents = rows.count()
+        distinct = docs.select(text.alias("text")).distinct().select(F.unhex(F.sha2("text", 256)).alias("digest"), "text")  # copies meet before they are shuffled
+        scan = ws.keep(distinct.mapInArrow(_scan, SCAN), "scan")
+        rows = ws.keep(scan.where("spans is not null").select(F.monotonically_increasing_id().alias("row"), "digest", "spans", "entities", "text"), "rows")
+        documents = scan.where("spans is null and term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         each = rows.select("row", F.explode("entities").alias("entity"))
         shared = each.groupBy("entity").agg(F.count("*").alias("have")).where((F.col("have") >= SUPPORT) & (F.col("have") < documents))
         held = ws.keep(each.join(shared, "entity"), "held")
@@ -215,9 +217,11 @@ def personal_data(docs: DataFrame, ws: Workspace) -> DataFrame:
         told = told.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("told"))  # words of one text
         found = ws.keep(rows.select("row", "text", "spans").join(told, "row").mapInArrow(_found, FOUND), "found")
         none = F.array().cast("array<struct<start: long, stop: long, share: double>>")
-        spans = rows.join(found, "row", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"), "text")
-        edited = F.when(F.size("base") > 0, sanitised(F.col("text"), F.col("base"), F.col("terms")))
-        return ws.keep(spans.select("doc_id", "base", "terms", edited.alias("sanitised")), "sanitised")
+        spans = rows.join(found, "row", "left").select("digest", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"), "text")
+        edited = ws.keep(spans.select("digest", "base", "terms", sanitised(F.col("text"), F.col("base"), F.col("terms")).alias("sanitised")), "sanitised")
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest)
+        no_spans = F.array().cast("array<struct<kind: string, start: long, stop: long>>")
+        return ids.join(edited, "digest", "left").select("doc_id", F.coalesce("base", no_spans).alias("base"), F.coalesce("terms", none).alias("terms"), "sanitised")
 
 
 def general_form(word: str) -> str:
