@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # What counts as part of a token.
 TOKEN = r"[\p{L}\p{N}_]+"
+# What counts as blank at the ends of a text.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Characters that Markdown gives a meaning, in the order in which they are escaped.
 MARKDOWN_SPECIAL = "\\`*_{}[]<>#|"
 
@@ -38,6 +40,11 @@ def token_counts(text: Column) -> Column:
     return bound(F.sort_array(tokens(text)), runs)
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # The policy's sets and thresholds.
 HIGH_RISK_DOMAINS = ("medical", "medicine", "health", "legal", "law", "financial", "finance", "security")
 SUBJECTIVE_TYPES = ("OPINION", "PREDICTION")
@@ -55,7 +57,7 @@ def evidence_pack(materials: DataFrame) -> DataFrame:
 
 def risk_level(claim_type: Column, domain: Column, sensitivity: Column) -> Column:
     return (
-        F.when(F.lower(domain).isin(*HIGH_RISK_DOMAINS), "HIGH")
+        F.when(F.lower(strip(domain)).isin(*HIGH_RISK_DOMAINS), "HIGH")
         .when(claim_type.isin(*SUBJECTIVE_TYPES, *USER_TYPES), "LOW")
         .when(sensitivity == "PUBLIC", "LOW").otherwise("MEDIUM")
     )

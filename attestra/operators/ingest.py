@@ -40,13 +40,14 @@ def plan_changes(manifest: DataFrame, known: DataFrame) -> DataFrame:
     """What a scan changes: ``action, path_key, source_id, preserve_quarantine, matched_by, base_version``.
 
     ``manifest(path_key, file_key, content_hash, error_category)``, ``known(source_id, path_key, file_key, current_hash,
-    latest_hash, latest_status, eligible, current_version)``; ``verify.plan_problems`` tells whether they may be planned. Paths that both have are UPDATED (an error, another hash, or an earlier
+    latest_hash, latest_status, eligible, current_version, latest_version)``; ``verify.plan_problems`` tells whether they may be planned. Paths that both have are UPDATED (an error, another hash, or an earlier
     parse failure) or UNCHANGED. What is left is matched by unique file key, then by unique content hash, as MOVED. The
-    rest is CREATED, or DELETED where eligible. All but the new carry the version that the change is made from.
+    rest is CREATED, or DELETED where eligible. All but the new carry the version that the change is made from: the current
+    one, for moves the latest where there is no current one.
     """
     hash_known = F.coalesce("latest_hash", "current_hash")
     m = manifest.select("path_key", F.col("file_key").alias("m_file"), F.col("content_hash").alias("m_hash"), "error_category")
-    k = known.select("path_key", "source_id", F.col("file_key").alias("k_file"), hash_known.alias("k_hash"), "latest_status", "eligible", F.col("current_version").alias("base_version"))
+    k = known.select("path_key", "source_id", F.col("file_key").alias("k_file"), hash_known.alias("k_hash"), "latest_status", "eligible", F.col("current_version").alias("base_version"), F.coalesce("current_version", "latest_version").alias("move_version"))
     sides = m.withColumn("in_m", F.lit(True)).join(k.withColumn("in_k", F.lit(True)), "path_key", "full_outer")
     sides = kept(sides, "sides")  # both tables are read once
     both = sides.where("in_m and in_k")
@@ -56,12 +57,12 @@ def plan_changes(manifest: DataFrame, known: DataFrame) -> DataFrame:
         (~changed & F.coalesce(F.col("latest_status") == "QUARANTINED", F.lit(False))).alias("preserve_quarantine"), F.lit("path").alias("matched_by"), "base_version",
     )
     new = sides.where("in_k is null").select(F.col("path_key").alias("new_path"), "m_file", "m_hash")
-    old = sides.where("in_m is null").select(F.col("path_key").alias("old_path"), "source_id", "k_file", "k_hash", "eligible", "base_version")
+    old = sides.where("in_m is null").select(F.col("path_key").alias("old_path"), "source_id", "k_file", "k_hash", "eligible", "base_version", "move_version")
     moved = []
     for how, left, right in (("file", "m_file", "k_file"), ("hash", "m_hash", "k_hash")):
-        pairs = unique_match(new.withColumnRenamed(left, "key"), old.withColumnRenamed(right, "key"), "key", ["new_path"], ["old_path", "source_id", "base_version"])
+        pairs = unique_match(new.withColumnRenamed(left, "key"), old.withColumnRenamed(right, "key"), "key", ["new_path"], ["old_path", "source_id", "move_version"])
         pairs = kept(pairs, "pairs")
-        moved.append(pairs.select(F.lit("MOVED").alias("action"), F.col("new_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(how).alias("matched_by"), "base_version"))
+        moved.append(pairs.select(F.lit("MOVED").alias("action"), F.col("new_path").alias("path_key"), "source_id", F.lit(False).alias("preserve_quarantine"), F.lit(how).alias("matched_by"), F.col("move_version").alias("base_version")))
         new = new.join(pairs.select("new_path"), "new_path", "left_anti")
         old = old.join(pairs.select("old_path"), "old_path", "left_anti")
     created = new.select(F.lit("CREATED").alias("action"), F.col("new_path").alias("path_key"), F.lit(None).cast("long").alias("source_id"), F.lit(False).alias("preserve_quarantine"), F.lit(None).cast("string").alias("matched_by"), F.lit(None).cast("string").alias("base_version"))

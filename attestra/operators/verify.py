@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
+from ..functions.canonical import encoded
 from ..functions.hashing import sha256
+from ..functions.text import BLANK, strip
 from .control import TRANSITIONS
 
 # What generated Markdown must not hold, and the types of claims that need public evidence.
 UNSAFE_MARKDOWN = r"(?i)<(?:script|iframe|object|embed)\b|!\[[^\]]*\]\(https?://|\]\((?:javascript|data):"
 PUBLIC_EVIDENCE_TYPES = ("FACT", "DEFINITION", "PROCEDURE", "CODE_BEHAVIOR")
+# Headers that tell how fresh a document is.
+FRESHNESS_HEADERS = ("cache-control", "content-length", "content-type", "date", "etag", "last-modified")
 # The score from which each metric passes.
 PASS_AT = {"evidence_coverage": 0.95, "source_reliability": 0.8, "source_independence": 1.0, "source_agreement": 1.0, "freshness": 1.0, "version_match": 1.0, "extraction_quality": 1.0, "verifier_agreement": 1.0}
 
@@ -125,10 +130,11 @@ def verification_gaps(candidates: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def finish_decisions(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """What becomes of requests to end operations: ``id, target, outcome, next_revision``.
+    """What becomes of requests to end operations: ``request_id, id, target, outcome, next_revision``.
 
-    ``records(id, status, revision)``, ``requests(id, target, expected_revision, reconcile)``. An operation whose outcome is
-    unknown ends only by a request that says so; the transition must be one that the state machine has.
+    ``records(id, status, revision)``, ``requests(request_id, id, target, expected_revision, reconcile)``. An operation whose
+    outcome is unknown ends only by a request that says so; the transition must be one that the state machine has. Of
+    several requests that could end one operation the smallest ``request_id`` does; for the others the revision has moved on.
     """
     steps = F.create_map(*(F.lit(x) for a, to in TRANSITIONS["idempotency"].items() for x in (a, to)))
     rows = requests.join(records, "id", "left")
@@ -138,7 +144,10 @@ def finish_decisions(records: DataFrame, requests: DataFrame) -> DataFrame:
         .when((c("status") == "UNKNOWN") & ~c("reconcile"), "NEEDS_RECONCILING")
         .when(~F.coalesce(F.array_contains(F.split(F.try_element_at(steps, c("status")), " "), c("target")), F.lit(False)), "ILLEGAL").otherwise("APPLIED")
     )
-    return rows.select("id", "target", outcome.alias("outcome"), F.when(outcome == "APPLIED", c("revision") + 1).alias("next_revision"))
+    rows = rows.withColumn("outcome", outcome)
+    first = rows.where("outcome = 'APPLIED'").groupBy("id").agg(F.min("request_id").alias("first"))
+    rows = rows.join(first, "id", "left").withColumn("outcome", F.when((c("outcome") == "APPLIED") & (c("request_id") != c("first")), "STALE").otherwise(c("outcome")))
+    return rows.select("request_id", "id", "target", "outcome", F.when(c("outcome") == "APPLIED", c("revision") + 1).alias("next_revision"))
 
 
 def vault_decisions(files: DataFrame, publications: DataFrame) -> DataFrame:
@@ -188,14 +197,21 @@ def redacted_id(identifier: Column) -> Column:
 
 
 def safe_question(text: Column) -> Column:
-    """A question without blanks around it; null where nothing is left or it holds control characters."""
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    """A question without blanks around it, Unicode's among them; null where nothing is left or it holds control characters."""
+    plain = strip(text)
     return F.when((plain != "") & ~plain.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), plain)
 
 
+def single_line(text: Column) -> Column:
+    """A stripped text of one line; null where nothing is left, or it has line breaks or control characters."""
+    plain = strip(text)
+    return F.when((plain != "") & ~plain.rlike(r"[\x00-\x08\x0a-\x1f\x7f]"), plain)
+
+
 def chunk_form(text: Column) -> Column:
-    """A chunk's text without blanks at line ends and without empty lines around it."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"^\s+|\s+$", "")
+    """A chunk's text with line feeds alone for line ends, without blanks before them and around it."""
+    inner = BLANK.replace(r"[\t-\r", r"[\t\x0b-\r")  # all but the line feed
+    return strip(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), rf"(?<!{inner}){inner}++(?=\n|\z)", ""))
 
 
 def needs_public_evidence(claim_type: Column, sensitivity: Column) -> Column:
@@ -203,9 +219,12 @@ def needs_public_evidence(claim_type: Column, sensitivity: Column) -> Column:
 
 
 def header_digest(headers: Column) -> Column:
-    """The digest of a map of header names and values, whatever their order: values count by their own digests."""
-    pairs = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(F.lower(e["key"]), F.lit(":"), sha256(e["value"])))
-    return sha256(F.array_join(pairs, "\n"))
+    """The digest of canonical JSON that has those headers of a map that tell freshness, each by its value's own digest.
+
+    Names count in lower case; a null value counts as no header.
+    """
+    lower = F.map_from_entries(F.filter(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), sha256(e["value"]).alias("value"))), lambda e: e["key"].isin(*FRESHNESS_HEADERS) & e["value"].isNotNull()))
+    return sha256(encoded(lower, MapType(StringType(), StringType())))
 
 
 def active_notes(notes: DataFrame, generation: int | None = None) -> DataFrame:

@@ -68,7 +68,7 @@ def independence(spark, sf):
 CLAIMS = """SELECT doc_id AS claim_id, source, lang,
   CASE doc_id % 9 WHEN 0 THEN 'FACT' WHEN 1 THEN 'OPINION' WHEN 2 THEN 'PREFERENCE' WHEN 3 THEN 'CODE_BEHAVIOR' WHEN 4 THEN 'DECISION' WHEN 5 THEN 'PREDICTION' WHEN 6 THEN 'DEFINITION' ELSE 'FACT' END AS claim_type,
   CASE WHEN doc_id % 4 = 0 THEN 'T0' ELSE 'T4' END AS tier, CASE WHEN doc_id % 5 <> 0 THEN 'me' END AS owner,
-  CASE doc_id % 8 WHEN 0 THEN 'Medical' WHEN 1 THEN 'law' ELSE 'cooking' END AS domain, CASE WHEN doc_id % 3 = 0 THEN 'PRIVATE' ELSE 'PUBLIC' END AS sensitivity,
+  CASE doc_id % 8 WHEN 0 THEN ' Medical ' WHEN 1 THEN 'law' ELSE 'cooking' END AS domain, CASE WHEN doc_id % 3 = 0 THEN 'PRIVATE' ELSE 'PUBLIC' END AS sensitivity,
   CASE WHEN doc_id % 12 = 0 THEN '2.1' END AS version, CASE WHEN doc_id % 7 = 0 THEN 1000 END AS freshness_at, doc_id % 3 <> 0 AS search_available, doc_id % 53 = 0 AS unsafe FROM {documents}"""
 EVIDENCE = """SELECT cast(floor(o_orderkey / 15) AS bigint) - CASE WHEN cast(floor(o_orderkey / 15) AS bigint) % 10 = 9 THEN 1 ELSE 0 END AS claim_id,
   CASE WHEN cast(floor(o_orderkey / 15) AS bigint) % 7 < 3 THEN 'SUPPORT' WHEN cast(floor(o_orderkey / 15) AS bigint) % 7 = 3 THEN 'CONTRADICT' WHEN o_orderstatus = 'P' THEN 'CONTRADICT' WHEN o_orderstatus = 'O' THEN 'NEUTRAL' ELSE 'SUPPORT' END AS stance,
@@ -92,7 +92,7 @@ POLICY_SQL = f"""{DIM_SQL}, c AS (SELECT c.*, coalesce(results, 0) AS results, c
       WHEN NOT search_available OR results = 0 THEN 'INSUFFICIENT' WHEN s > 0 AND n > 0 THEN 'CONTESTED'
       WHEN s > 0 AND sc >= 0.95 AND (vo OR NOT (claim_type = 'CODE_BEHAVIOR' OR coalesce(version, '') <> '')) AND (fo OR freshness_at IS NULL) THEN 'VERIFIED'
       WHEN n > 0 AND s = 0 AND cc >= 0.95 THEN 'REJECTED' ELSE 'INSUFFICIENT' END AS verdict,
-    CASE WHEN unsafe OR lower(domain) IN ('medical', 'medicine', 'health', 'legal', 'law', 'financial', 'finance', 'security') THEN 'HIGH'
+    CASE WHEN unsafe OR lower(trim(domain)) IN ('medical', 'medicine', 'health', 'legal', 'law', 'financial', 'finance', 'security') THEN 'HIGH'
       WHEN claim_type IN ('OPINION', 'PREDICTION', 'USER_EXPERIENCE', 'PREFERENCE', 'DECISION') OR sensitivity = 'PUBLIC' THEN 'LOW' ELSE 'MEDIUM' END AS risk FROM c),
   p AS (SELECT *, CASE verdict WHEN 'QUARANTINED' THEN 'SAFETY_SIGNAL' WHEN 'OPINION' THEN 'SUBJECTIVE_CLAIM' WHEN 'USER_ASSERTED' THEN 'USER_OWNED_CLAIM' WHEN 'CONTESTED' THEN 'TRUSTED_CONFLICT'
       WHEN 'VERIFIED' THEN 'TRUSTED_SUPPORT' WHEN 'REJECTED' THEN 'TRUSTED_CONTRADICTION' ELSE CASE WHEN NOT search_available THEN 'SEARCH_CAPABILITY_UNAVAILABLE' WHEN results = 0 THEN 'EVIDENCE_MISSING' ELSE 'EVIDENCE_COVERAGE_INSUFFICIENT' END END AS reason,
@@ -164,9 +164,9 @@ def family_groups(spark, sf):
 
 def visible_sql() -> str:
     text = "coalesce(html, '')"
-    for pattern in html.REMOVED:
-        text = f"regexp_replace({text}, '{pattern}', '', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '{html.BREAK}', chr(10), 'g'), '{html.TAG}', '', 'g')"
+    for pattern, put in (*((p, "") for p in html.REMOVED), *html.TAGS):
+        quoted = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', {'chr(10)' if put else repr('')}, 'g')"
     for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):  # those that the pages have
         text = f"replace({text}, '&{entity};', '{char}')"
     return text

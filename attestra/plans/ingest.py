@@ -76,18 +76,18 @@ KNOWN = """SELECT doc_id AS source_id, 'p' || cast(doc_id AS string) AS path_key
   sha2(text, 256) AS current_hash,
   CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN 'changed' ELSE sha2(text, 256) END AS latest_hash,
   CASE WHEN doc_id % 31 = 0 THEN 'PARSE_FAILED' WHEN doc_id % 37 = 0 THEN 'QUARANTINED' ELSE 'READY' END AS latest_status,
-  doc_id % 2 = 0 AS eligible, 'v' || cast(doc_id AS string) AS current_version FROM {documents} WHERE source <> 'src6'"""
+  doc_id % 2 = 0 AS eligible, CASE WHEN doc_id % 7 <> 2 THEN 'v' || cast(doc_id AS string) END AS current_version, 'w' || cast(doc_id AS string) AS latest_version FROM {documents} WHERE source <> 'src6'"""
 PLAN_SQL = f"""
     WITH m AS ({twin(MANIFEST)}), k AS (SELECT *, coalesce(latest_hash, current_hash) AS h FROM ({twin(KNOWN)})),
     same AS (
       SELECT m.path_key, source_id, error_category IS NOT NULL OR content_hash IS DISTINCT FROM h OR latest_status = 'PARSE_FAILED' AS changed, latest_status, current_version FROM m JOIN k USING (path_key)
     ), n1 AS (SELECT * FROM m WHERE path_key NOT IN (SELECT path_key FROM k)), o1 AS (SELECT * FROM k WHERE path_key NOT IN (SELECT path_key FROM m)),
     f AS (
-      SELECT n.path_key AS new_path, o.path_key AS old_path, source_id, current_version FROM n1 n JOIN o1 o ON n.file_key = o.file_key
+      SELECT n.path_key AS new_path, o.path_key AS old_path, source_id, coalesce(current_version, latest_version) AS current_version FROM n1 n JOIN o1 o ON n.file_key = o.file_key
       WHERE (SELECT count(*) FROM n1 x WHERE x.file_key = n.file_key) = 1 AND (SELECT count(*) FROM o1 x WHERE x.file_key = n.file_key) = 1
     ), n2 AS (SELECT * FROM n1 WHERE path_key NOT IN (SELECT new_path FROM f)), o2 AS (SELECT * FROM o1 WHERE path_key NOT IN (SELECT old_path FROM f)),
     nc AS (SELECT content_hash AS h, min(path_key) AS new_path FROM n2 WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
-    oc AS (SELECT h, min(path_key) AS old_path, min(source_id) AS source_id, min(current_version) AS current_version FROM o2 WHERE h IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
+    oc AS (SELECT h, min(path_key) AS old_path, min(source_id) AS source_id, min(coalesce(current_version, latest_version)) AS current_version FROM o2 WHERE h IS NOT NULL GROUP BY 1 HAVING count(*) = 1),
     g AS (SELECT new_path, old_path, source_id, current_version FROM nc JOIN oc USING (h)),
     plan AS (
       SELECT CASE WHEN changed THEN 'UPDATED' ELSE 'UNCHANGED' END AS action, path_key, source_id, NOT changed AND latest_status = 'QUARANTINED' AS preserve_quarantine, 'path' AS matched_by, current_version AS base_version FROM same

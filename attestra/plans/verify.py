@@ -133,14 +133,15 @@ def verification_gaps(spark, sf):
 
 
 OPERATIONS = "SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'IN_PROGRESS' WHEN 'MACHINERY' THEN 'UNKNOWN' WHEN 'AUTOMOBILE' THEN 'SUCCEEDED' WHEN 'FURNITURE' THEN 'IN_PROGRESS' ELSE 'FAILED' END AS status, c_nationkey % 3 AS revision FROM {customer}"
-ENDINGS = "SELECT CASE WHEN o_totalprice > 400000 THEN -1 - o_custkey ELSE o_custkey END AS id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'FAILED' ELSE 'UNKNOWN' END AS target, o_orderkey % 3 AS expected_revision, o_orderpriority = '1-URGENT' AS reconcile FROM {orders}"
+ENDINGS = "SELECT o_orderkey AS request_id, CASE WHEN o_totalprice > 400000 THEN -1 - o_custkey ELSE o_custkey END AS id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'FAILED' ELSE 'UNKNOWN' END AS target, o_orderkey % 3 AS expected_revision, o_orderpriority = '1-URGENT' AS reconcile FROM {orders}"
 
 
 @query(
     "finish_decisions",
-    f"""WITH d AS (SELECT e.id, target, revision, CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN revision <> expected_revision THEN 'STALE' WHEN status = 'UNKNOWN' AND NOT reconcile THEN 'NEEDS_RECONCILING'
-      WHEN (status = 'IN_PROGRESS') OR (status = 'UNKNOWN' AND target <> 'UNKNOWN') THEN 'APPLIED' ELSE 'ILLEGAL' END AS outcome FROM ({twin(ENDINGS)}) e LEFT JOIN ({twin(OPERATIONS)}) o ON o.id = e.id)
-    SELECT id, target, outcome, CASE WHEN outcome = 'APPLIED' THEN revision + 1 END AS next_revision FROM d""",
+    f"""WITH d AS (SELECT request_id, e.id, target, revision, CASE WHEN status IS NULL THEN 'NOT_FOUND' WHEN revision <> expected_revision THEN 'STALE' WHEN status = 'UNKNOWN' AND NOT reconcile THEN 'NEEDS_RECONCILING'
+      WHEN (status = 'IN_PROGRESS') OR (status = 'UNKNOWN' AND target <> 'UNKNOWN') THEN 'APPLIED' ELSE 'ILLEGAL' END AS outcome FROM ({twin(ENDINGS)}) e LEFT JOIN ({twin(OPERATIONS)}) o ON o.id = e.id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id, outcome ORDER BY request_id) AS place FROM d)
+    SELECT request_id, id, target, CASE WHEN outcome = 'APPLIED' AND place > 1 THEN 'STALE' ELSE outcome END AS outcome, CASE WHEN outcome = 'APPLIED' AND place = 1 THEN revision + 1 END AS next_revision FROM k""",
 )
 def finish_decisions(spark, sf):
     return verify.finish_decisions(derived(spark, sf, OPERATIONS), derived(spark, sf, ENDINGS))
@@ -195,24 +196,29 @@ def redacted_ids(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", verify.redacted_id(id_).alias("redacted"), verify.redacted_id(F.col("c_custkey").cast("string")).alias("bare"))
 
 
-QUESTIONS = "SELECT conv_id, turn, role, CASE role WHEN 'user' THEN '  ' || text || '  ' WHEN 'assistant' THEN ' ' ELSE text END AS q FROM {conversations}"
+#: Blanks of many kinds around, line ends of both kinds inside, and now and then a control character.
+ODD = "'\u00a0' || chr(9) || replace(text, chr(10), '\u2003 ' || chr(13) || chr(10)) || '\u3000' || chr(10) || chr(28)"
+QUESTIONS = f"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN {ODD} WHEN 1 THEN '\u202f\u0085' WHEN 2 THEN chr(32) || text || chr(7) || role ELSE text END AS q FROM {{conversations}}"
+BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
 
 
-@query("safe_questions", f"SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN NULL ELSE regexp_replace(q, '^\\s+|\\s+$', '', 'g') END AS question FROM ({twin(QUESTIONS)})")
+@query("safe_questions", f"WITH q AS (SELECT conv_id, turn, trim(q, {BLANKS}) AS t FROM ({twin(QUESTIONS)})) SELECT conv_id, turn, CASE WHEN t <> '' AND NOT regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN t END AS question, CASE WHEN t <> '' AND NOT regexp_matches(t, '[\\x00-\\x08\\x0a-\\x1f\\x7f]') THEN t END AS line FROM q")
 def safe_questions(spark, sf):
-    return derived(spark, sf, QUESTIONS).select("conv_id", "turn", verify.safe_question(F.col("q")).alias("question"))
+    return derived(spark, sf, QUESTIONS).select("conv_id", "turn", verify.safe_question(F.col("q")).alias("question"), verify.single_line(F.col("q")).alias("line"))
 
 
-@query("chunk_forms", "SELECT doc_id, sha256(regexp_replace(regexp_replace(chr(10) || replace(text, chr(10), '  ' || chr(10)) || '  ', '(?m)[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g')) AS form FROM documents")
+@query("chunk_forms", f"WITH q AS (SELECT doc_id, {ODD} AS q FROM documents) SELECT doc_id, sha256(trim(array_to_string(list_transform(string_split(replace(q, chr(13) || chr(10), chr(10)), chr(10)), lambda l: rtrim(l, {BLANKS})), chr(10)), {BLANKS})) AS form FROM q")
 def chunk_forms(spark, sf):
-    rough = F.concat(F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("  \n")), F.lit("  "))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(verify.chunk_form(rough), 256).alias("form"))
+    rough = derived(spark, sf, f"SELECT doc_id, {ODD} AS q FROM {{documents}}")
+    return rough.select("doc_id", F.sha2(verify.chunk_form(F.col("q")), 256).alias("form"))
 
 
-@query("header_digest", "SELECT event_id, sha256('etag:' || sha256(props) || chr(10) || 'type:' || sha256(event_type)) AS digest FROM events")
+@query("header_digest", """SELECT event_id, sha256(CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{"content-type":"' || sha256(event_type) || '"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"etag":"' || sha256(props) || '"' END || '}' END) AS digest FROM events""")
 def header_digest(spark, sf):
-    headers = F.create_map(F.lit("type"), "event_type", F.lit("etag"), "props")
-    return table(spark, sf, "events").select("event_id", verify.header_digest(headers).alias("digest"))
+    """Only the listed headers count, whatever their case and order; some rows have none of them."""
+    e, text = table(spark, sf, "events"), F.lit(None).cast("string")
+    headers = F.create_map(F.lit("X-Trace"), F.col("event_id").cast("string"), F.lit("ETag"), F.when((F.col("event_id") % 5 == 0) | (F.col("event_id") % 3 == 0), text).otherwise(F.col("props")), F.lit("Content-Type"), F.when(F.col("event_id") % 3 == 0, text).otherwise(F.col("event_type")))
+    return e.select("event_id", verify.header_digest(headers).alias("digest"))
 
 
 @query(

@@ -15,15 +15,20 @@ HIDDEN = ("script", "style", "noscript", "template", "svg")
 BREAKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 BLOCK_CHARS, MOST_BLOCKS = 2000, 128
 
-_INSIDE = r"(?:[\s/][^>]*)?"
+_VALUES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+_INSIDE, _LOOSE = rf"(?:[\s/]{_VALUES})?", r"(?:[\s/][^>]*)?"
 #: A hidden element goes with all that it holds, up to its end tag or the page's end; then comments and declarations.
 REMOVED = (
     *(rf"(?is)<{tag}(?:\s[^>]*)?/>|<{tag}{_INSIDE}>.*?(?:</{tag}\s*>|\z)" for tag in HIDDEN),
     r"(?s)<!--.*?-->",
     r"<[!?][^>]*>",
 )
-BREAK, TAG = rf"(?i)</?(?:{'|'.join(BREAKS)}){_INSIDE}>", r"</?[A-Za-z][^>]*>"
-LINK, CANONICAL, HREF = r"(?is)<link\s[^>]*>", r"(?is)\srel\s*=\s*[\"']?canonical[\"'\s/>]", r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+#: Breaks and tags, with quoted values that may hold any character; then those whose quotes don't close, which end at their first ``>``.
+TAGS = (
+    (rf"(?i)</?(?:{'|'.join(BREAKS)}){_INSIDE}>", "\n"), (rf"</?[A-Za-z][A-Za-z0-9:-]*{_INSIDE}>", ""),
+    (rf"(?i)</?(?:{'|'.join(BREAKS)}){_LOOSE}>", "\n"), (r"</?[A-Za-z][^>]*>", ""),
+)
+LINK, CANONICAL, HREF = rf"(?is)<link\s{_VALUES}>", r"(?is)\srel\s*=\s*(?:\"canonical\"|'canonical'|canonical(?=[\s/>]))", r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
 
 def _unescaped(texts: pd.Series) -> pd.Series:
@@ -31,11 +36,12 @@ def _unescaped(texts: pd.Series) -> pd.Series:
 
 
 def visible(page: Column) -> Column:
-    """A page's text with a line feed at each break; null counts as empty. Tags end at their first ``>``."""
+    """A page's text with a line feed at each break; null counts as empty."""
     text = F.coalesce(page, F.lit(""))
     for pattern in REMOVED:
         text = F.regexp_replace(text, pattern, "")
-    text = F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), TAG, "")
+    for pattern, put in TAGS:
+        text = F.regexp_replace(text, pattern, put)
     return F.when(F.contains(text, F.lit("&")), F.pandas_udf(_unescaped, "string")(text)).otherwise(text)
 
 

@@ -20,11 +20,11 @@ def test_plan_has_every_action_and_leaves_ambiguous_keys_alone(spark):
     known = spark.createDataFrame(
         [(1, "same", None, "h1", None, "READY", True), (2, "edited", None, "h2", None, "READY", True), (3, "broken", None, "h3", None, "READY", True), (4, "renamed-from", "f9", "h0", None, "READY", True), (5, "copy-from", None, "h5", None, "READY", True), (6, "gone", None, "h7", None, "READY", True), (7, "outside", None, "h9", None, "READY", False), (8, "twin-c", None, "hh", None, "READY", True), (9, "held", None, "h8", None, "QUARANTINED", True)],
         "source_id long, path_key string, file_key string, current_hash string, latest_hash string, latest_status string, eligible boolean",
-    ).withColumn("current_version", F.concat(F.lit("v"), "source_id"))
+    ).withColumn("current_version", F.when(F.col("source_id") != 5, F.concat(F.lit("v"), "source_id"))).withColumn("latest_version", F.concat(F.lit("w"), "source_id"))
     plan = {(r.action, r.path_key): r for r in ingest.plan_changes(manifest, known).collect()}
     assert set(plan) == {("UNCHANGED", "same"), ("UPDATED", "edited"), ("UPDATED", "broken"), ("MOVED", "renamed-to"), ("MOVED", "copy-to"), ("CREATED", "new"), ("CREATED", "twin-a"), ("CREATED", "twin-b"), ("DELETED", "gone"), ("DELETED", "twin-c"), ("UNCHANGED", "held")}
     assert plan["UNCHANGED", "held"].preserve_quarantine and not plan["UNCHANGED", "same"].preserve_quarantine
-    assert plan["MOVED", "renamed-to"].source_id == 4 and plan["MOVED", "copy-to"].matched_by == "hash"
+    assert plan["MOVED", "renamed-to"].source_id == 4 and plan["MOVED", "copy-to"].matched_by == "hash" and plan["MOVED", "copy-to"].base_version == "w5"
     assert plan["DELETED", "gone"].base_version == "v6" and plan["MOVED", "renamed-to"].base_version == "v4" and plan["CREATED", "new"].base_version is None
 
 
