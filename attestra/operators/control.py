@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +148,43 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The row of the largest ``order`` for each key, by an aggregate that combines before the shuffle."""
     rest = [x for x in rows.columns if x not in (key, order)]
     return rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r")).select(key, "r.*")
+
+
+OUTCOMES = "id long, seq long, expected long, state string, outcome string, revision long"
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Updates sorted by row and turn; only the present revision of one row is kept between them."""
+    row, now = None, None
+    for batch in batches:
+        ids, begun, expected = (batch.column(c).to_pylist() for c in ("id", "begun", "expected"))
+        outcomes, after = [], []
+        for i, start, wanted in zip(ids, begun, expected, strict=True):
+            if i != row:
+                row, now = i, start
+            if now is None:
+                outcomes.append("NOT_FOUND")
+            elif wanted == now:
+                now += 1
+                outcomes.append("APPLIED")
+            else:
+                outcomes.append("STALE" if wanted is not None and wanted < now else "AHEAD")
+            after.append(now)
+        columns = [batch.column(c) for c in ("id", "seq", "expected", "state")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(outcomes, pa.string()), pa.array(after, pa.int64())], ["id", "seq", "expected", "state", "outcome", "revision"])
+
+
+def applied_in_turn(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Several updates of a row, one after the other: each update's outcome, and the table after all of them.
+
+    ``current(id, revision, state)``, ``updates(id, seq, expected, state)``; ``seq`` is the order, ties go by expected revision and
+    state. An update is APPLIED if it expects the revision that the row has when its turn comes, which counts it up; STALE if
+    that has moved on, AHEAD if it isn't reached or null, NOT_FOUND without the row. Turns of one row follow each other by
+    nature: they pass through a task as a sorted stream that keeps one number, so a row with many updates costs time, not memory.
+    """
+    begun = current.select("id", F.col("revision").cast("long").alias("begun"))
+    rows = updates.where("id IS NOT NULL").join(begun, "id", "left").select(F.col("id").cast("long").alias("id"), "begun", F.col("seq").cast("long").alias("seq"), F.col("expected").cast("long").alias("expected"), "state")
+    outcomes = rows.repartition("id").sortWithinPartitions("id", "seq", "expected", "state").mapInArrow(_in_turn, OUTCOMES)
+    last = outcomes.where("outcome = 'APPLIED'").groupBy("id").agg(F.max(F.struct("revision", "state")).alias("new"))
+    after = current.join(last, "id", "left").select("id", F.coalesce("new.revision", F.col("revision").cast("long")).alias("revision"), F.when(F.col("new").isNotNull(), F.col("new.state")).otherwise(F.col("state")).alias("state"))
+    return outcomes, after

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import apply, ingest, markdown
+from ..operators import apply, robots, ingest, markdown
 from ..sources.tables import table
 from .base import derived, query, twin
 
@@ -92,10 +92,35 @@ def note_lifecycle(spark, sf):
     return apply.note_lifecycle(derived(spark, sf, NOTES))
 
 
-@query("robots_verdict", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'DENY' WHEN 2 THEN 'DENY' WHEN 3 THEN 'RULES' WHEN 4 THEN 'RULES' ELSE 'ERROR' END AS verdict FROM pages")
+HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
+#: A file for each host, of five kinds, and for one in seven none that can be read.
+ROBOTS = f"""SELECT origin, CASE n % 7 WHEN 5 THEN 404 WHEN 6 THEN 403 WHEN 4 THEN 500 ELSE 200 END AS status,
+  CASE n % 4 WHEN 0 THEN concat('# nothing', chr(10), 'Disallow: /', chr(10), 'User-Agent: *', chr(13), chr(10), 'Disallow: /en/ # not these', chr(10), 'Allow: /en/7', chr(10), 'Crawl-delay: 3')
+    WHEN 1 THEN concat('User-agent: other', chr(10), 'USER-AGENT: Attestra', chr(10), 'disallow: /*/1', chr(10), 'allow: /*/11$', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow: /')
+    WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow: /de', chr(10), 'Allow: /de', chr(10), 'Disallow: /es/*5$', chr(10), 'User-agent: attestra', chr(10), 'Disallow:')
+    ELSE concat('User-agent: other', chr(10), 'Disallow: /', chr(10), 'User-agent: *', chr(10), 'Disallow: /*.html', chr(10), 'Disallow: /fr/', chr(10), 'Allow: /fr/(x)') END AS text
+  FROM (SELECT origin, row_number() OVER (ORDER BY origin) AS n FROM (SELECT DISTINCT {HOST} AS origin FROM {{pages}})) WHERE origin <> ''"""
+
+
+@query(
+    "robots_verdict",
+    rf"""WITH f AS ({twin(ROBOTS)}), u AS (SELECT page_id AS url_id, {HOST} AS origin, CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END AS path FROM pages),
+    l AS (SELECT origin, generate_subscripts(string_split(text, chr(10)), 1) AS at_, trim(regexp_replace(rtrim(unnest(string_split(text, chr(10))), chr(13)), '#.*$', '')) AS line FROM f WHERE status BETWEEN 200 AND 299),
+    k AS (SELECT origin, at_, lower(trim(split_part(line, ':', 1))) AS name, trim(regexp_replace(line, '^[^:]*:', '')) AS value FROM l WHERE lower(trim(split_part(line, ':', 1))) IN ('user-agent', 'allow', 'disallow')),
+    b AS (SELECT *, (name = 'user-agent' AND coalesce(lag(name) OVER w, '') <> 'user-agent')::INT AS begins FROM k WINDOW w AS (PARTITION BY origin ORDER BY at_)),
+    g AS (SELECT *, sum(begins) OVER (PARTITION BY origin ORDER BY at_) AS grp FROM b),
+    a AS (SELECT DISTINCT origin, grp, lower(value) AS agent FROM g WHERE name = 'user-agent' AND grp > 0 AND lower(value) IN ('attestra', '*')),
+    o AS (SELECT origin, bool_or(agent = 'attestra') AS own FROM a GROUP BY 1),
+    r AS (SELECT DISTINCT g.origin, value AS rule, name = 'allow' AS allow, '^' || replace(regexp_replace(regexp_replace(value, '\$$', ''), '([\\.\[\]{{}}()+?^$|])', '\\\1', 'g'), '*', '.*') || CASE WHEN value LIKE '%$' THEN '$' ELSE '' END AS pattern
+      FROM g JOIN a USING (origin, grp) JOIN o ON o.origin = g.origin AND (agent = 'attestra') = own WHERE name <> 'user-agent' AND value <> ''),
+    m AS (SELECT url_id, arg_max(rule, length(rule) * 2 + allow::INT) AS rule, arg_max(allow, length(rule) * 2 + allow::INT) AS allow FROM u JOIN r ON r.origin = u.origin AND regexp_matches(path, pattern) GROUP BY 1)
+    SELECT u.url_id, CASE WHEN status IS NULL THEN 'ERROR' WHEN status = 404 THEN 'ALLOW' WHEN status IN (401, 403) THEN 'DENY' WHEN status NOT BETWEEN 200 AND 299 THEN 'ERROR' WHEN coalesce(allow, true) THEN 'ALLOW' ELSE 'DENY' END AS verdict,
+      CASE WHEN status BETWEEN 200 AND 299 THEN rule END AS rule FROM u LEFT JOIN f ON f.origin = u.origin LEFT JOIN m ON m.url_id = u.url_id""",
+)
 def robots_verdict(spark, sf):
-    status = F.element_at(F.array(*(F.lit(s) for s in (404, 401, 403, 200, 204, 503))), (F.col("page_id") % 6 + 1).cast("int"))
-    return table(spark, sf, "pages").select("page_id", apply.robots_verdict(status).alias("verdict"))
+    urls = derived(spark, sf, f"SELECT page_id AS url_id, {HOST} AS origin, {PATH} AS path FROM {{pages}}")
+    return robots.robots_allowed(urls, derived(spark, sf, ROBOTS), "Attestra/1.0")
 
 
 @query(

@@ -144,3 +144,20 @@ def next_numbers(spark, sf):
 @query("event_times", "SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS utc_text FROM events")
 def event_times(spark, sf):
     return table(spark, sf, "events").select("event_id", times.utc_millis(F.col("ts")).alias("millis"), times.utc_text(F.col("ts")).alias("utc_text"))
+
+
+ROWS_NOW = "SELECT c_custkey AS id, cast(c_nationkey % 3 AS bigint) AS revision, c_mktsegment AS state FROM {customer} WHERE c_custkey % 10 <> 0"
+IN_TURN = "SELECT o_custkey AS id, o_orderkey AS seq, cast(o_orderkey % 5 AS bigint) AS expected, concat(o_orderstatus, cast(o_orderkey AS string)) AS state FROM {orders}"
+TURNS_SQL = f"""WITH RECURSIVE u AS (SELECT u.*, n.revision AS begun, row_number() OVER (PARTITION BY u.id ORDER BY seq) AS i FROM ({twin(IN_TURN)}) u LEFT JOIN ({twin(ROWS_NOW)}) n ON n.id = u.id),
+  f AS (SELECT *, CASE WHEN begun IS NULL THEN 'NOT_FOUND' WHEN expected = begun THEN 'APPLIED' WHEN expected < begun THEN 'STALE' ELSE 'AHEAD' END AS outcome, begun + (expected = begun)::INT AS revision FROM u WHERE i = 1
+    UNION ALL SELECT u.*, CASE WHEN u.begun IS NULL THEN 'NOT_FOUND' WHEN u.expected = f.revision THEN 'APPLIED' WHEN u.expected < f.revision THEN 'STALE' ELSE 'AHEAD' END, f.revision + (u.expected = f.revision)::INT FROM f JOIN u ON u.id = f.id AND u.i = f.i + 1)"""
+
+
+@query("updates_in_turn", TURNS_SQL + " SELECT id, seq, expected, state, outcome, revision::BIGINT AS revision FROM f")
+def updates_in_turn(spark, sf):
+    return control.applied_in_turn(derived(spark, sf, ROWS_NOW), derived(spark, sf, IN_TURN))[0]
+
+
+@query("rows_after_turns", TURNS_SQL + f", l AS (SELECT id, max(revision) AS revision, arg_max(state, revision) AS state FROM f WHERE outcome = 'APPLIED' GROUP BY 1) SELECT n.id, coalesce(l.revision, n.revision)::BIGINT AS revision, coalesce(l.state, n.state) AS state FROM ({twin(ROWS_NOW)}) n LEFT JOIN l ON l.id = n.id")
+def rows_after_turns(spark, sf):
+    return control.applied_in_turn(derived(spark, sf, ROWS_NOW), derived(spark, sf, IN_TURN))[1]

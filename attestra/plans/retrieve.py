@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import retrieve
+from ..operators import intervals, retrieve
 from ..sources.tables import spread, table
 from ..streaming.run import kept
 from .base import derived, query, twin
@@ -112,6 +112,16 @@ def hard_filter(spark, sf):
     return _allowed(spark, sf).select("doc_id", "note_id", "version_id", "status", "sensitivity")
 
 
+TIMES = "SELECT DISTINCT event_id % 67 AS point_id, 1000 * (event_id % 67) - 2000 AS at FROM {events}"
+
+
+@query("validity_at_times", f"SELECT doc_id, point_id FROM ({twin(ROWS)}) JOIN ({twin(TIMES)}) t(point_id, moment) ON (valid_from = 0 OR valid_from <= moment) AND (valid_to = 0 OR valid_to >= moment)")
+def validity_at_times(spark, sf):
+    """Which rows are valid at each of many times; 0 is an open end."""
+    rows = derived(spark, sf, ROWS).select("doc_id", F.nullif("valid_from", F.lit(0)).alias("start"), F.nullif("valid_to", F.lit(0)).alias("stop"))
+    return intervals.points_in(rows, derived(spark, sf, TIMES), "doc_id")
+
+
 POINTERS = "SELECT 'n' || cast(doc_id % 211 AS string) AS note_id, min(doc_id % 3) AS version_id, 1 AS generation FROM {documents} GROUP BY 1"
 
 
