@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import activate, answer, apply, control, govern, indexes, ingest, publish, retrieve, streams, verify  # noqa: F401  each registers its queries
+from .plans import activate, answer, apply, control, govern, indexes, ingest, notes, publish, retrieve, streams, verify  # noqa: F401  each registers its queries
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
