@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import fold, nfc
 
 
 def sha256(text: Column) -> Column:
@@ -13,7 +13,8 @@ def sha256(text: Column) -> Column:
 
 
 def path_key(path: Column) -> Column:
-    return sha256(fold(path))
+    """One key for all spellings of a path: normal form C, folded."""
+    return sha256(fold(nfc(path)))
 
 
 def file_key(device: Column, inode: Column) -> Column:

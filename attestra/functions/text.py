@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def token_counts(text: Column) -> Column:
     return bound(F.sort_array(tokens(text)), runs)
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """Normal form C. Nothing below U+0300 combines, so texts without such characters are in it already; only the others leave the engine."""
+    open_ = text.rlike(r"[^\x{0}-\x{2ff}]")
+    return F.when(open_, F.pandas_udf(_composed, "string")(F.when(open_, text))).otherwise(text)
+
+
 def strip(text: Column) -> Column:
     """Without blanks of any kind at either end."""
     return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
@@ -62,8 +74,8 @@ def explicit_block_id(text: Column) -> Column:
 
 
 def block_text(text: Column) -> Column:
-    """Line feeds only, no blanks at line ends, no empty lines around. The text is taken to be in normal form C."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)[ \t]+$", "")
+    """Normal form C, line feeds only, no blanks at line ends, no empty lines around."""
+    lines = F.regexp_replace(F.regexp_replace(nfc(text), r"\r\n?", "\n"), r"(?m)[ \t]+$", "")
     return F.regexp_replace(lines, r"\A\n+|\n+\z", "")
 
 
@@ -93,8 +105,8 @@ def in_scope(path: Column, allowed: list[str], excluded: list[str]) -> Column:
 
 
 def vault_path(path: Column) -> Column:
-    """A relative Markdown path with forward slashes; null where the path isn't acceptable."""
-    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    """A relative Markdown path in normal form C with forward slashes; null where the path isn't acceptable."""
+    p = F.replace(nfc(path), F.lit("\\"), F.lit("/"))
     parts = F.split(p, "/")
     # Device names that no path segment may have.
     devices = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import digests
 from ..functions.text import strip
 
 # The policy's sets and thresholds.
@@ -112,6 +113,19 @@ def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("review_required", review).withColumn("publishable", F.col("verdict").isin("OPINION", "USER_ASSERTED", "VERIFIED") & low)
 
 
+# What makes claims a family, and what makes them the same.
+FAMILY = ("claim_type", "predicate", "scope", "subject")
+SAME = (*FAMILY, "freshness_at", "object", "sensitivity", "valid_from", "valid_to")
+
+
+def fingerprints(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``family_key`` and ``fingerprint``: digests of canonical JSON, the scope without its nulls."""
+    rows = claims
+    for name, fields in (("family_key", FAMILY), ("fingerprint", SAME)):
+        rows = digests(rows.withColumn("whole", F.struct(*fields)), "whole", name, sparse=("scope",)).drop("whole")
+    return rows
+
+
 def rollup(items: DataFrame) -> DataFrame:
     """Per change: counts by stage and the status of run and change. Any failure fails it, any review holds it back."""
     out = items.groupBy("change_id").agg(

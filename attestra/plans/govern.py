@@ -139,12 +139,11 @@ FAMILY_JSON = "'{\"claim_type\":\"FACT\",\"predicate\":\"' || role || '\",\"scop
 def _fingerprints(spark, sf):
     """Family: type, subject, predicate and scope without its nulls; the fingerprint adds the object and the times."""
     p = derived(spark, sf, PRINTS)
-    scope = F.to_json(F.struct(F.array().cast("array<string>").alias("conditions"), F.array().cast("array<string>").alias("exceptions"), F.lit("AFFIRMED").alias("polarity"), F.col("version")))
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    scope = F.struct(none.alias("conditions"), none.alias("exceptions"), F.lit("AFFIRMED").alias("polarity"), F.col("version"))
     subject = F.concat(F.lit("c"), (F.col("conv_id") % 100).cast("string"))
-    family = F.concat(F.lit('{"claim_type":"FACT","predicate":'), F.to_json(F.array("role")).substr(F.lit(2), F.length(F.to_json(F.array("role"))) - 2), F.lit(',"scope":'), scope, F.lit(',"subject":"'), subject, F.lit('"}'))
-    object_ = F.to_json(F.struct(F.col("value"), F.lit("TEXT").alias("value_type")))
-    exact = F.concat(F.lit('{"claim_type":"FACT","freshness_at":null,"object":'), object_, F.lit(',"predicate":"'), F.col("role"), F.lit('","scope":'), scope, F.lit(',"sensitivity":"PUBLIC","subject":"'), subject, F.lit('","valid_from":null,"valid_to":null}'))
-    return p.select("conv_id", "turn", hashing.sha256(family).alias("family_key"), hashing.sha256(exact).alias("fingerprint"))
+    claims = p.select("conv_id", "turn", F.lit("FACT").alias("claim_type"), subject.alias("subject"), F.col("role").alias("predicate"), scope.alias("scope"), F.struct("value", F.lit("TEXT").alias("value_type")).alias("object"), F.lit("PUBLIC").alias("sensitivity"), *(text.alias(c) for c in ("valid_from", "valid_to", "freshness_at")))
+    return govern.fingerprints(claims).select("conv_id", "turn", "family_key", "fingerprint")
 
 
 PRINTS_SQL = f"""f AS (SELECT conv_id, turn, sha256({FAMILY_JSON}) AS family_key,

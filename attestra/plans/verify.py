@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -241,13 +243,27 @@ def derived_ids(spark, sf):
     return d.select("doc_id", *(i.alias(n) for i, n in zip(ids, ("candidate_id", "operation_id", "file_key"), strict=True)))
 
 
-@query("block_forms", "SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g')) AS form FROM documents")
+@query("block_forms", "SELECT doc_id, sha256(regexp_replace(regexp_replace(nfc_normalize(text), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g')) AS form FROM documents")
 def block_forms(spark, sf):
     """Texts as they come from another system: carriage returns, blanks at line ends and empty lines around them go."""
-    rough = F.concat(F.lit("\r\n\n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n")), F.lit("  \r"))
+    apart = F.col("text")
+    for letter in "éüßñàö":  # letters and their accents as characters of their own
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    rough = F.concat(F.lit("\r\n\n"), F.replace(apart, F.lit("\n"), F.lit(" \t\r\n")), F.lit("  \r"))
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.block_text(rough), 256).alias("form"))
 
 
+@query("path_spellings", "SELECT doc_id, sha256(lower(path)) AS key, path AS vault FROM (SELECT doc_id, 'Bücher/' || source || '/Café ' || lang || doc_id || '.md' AS path FROM documents)")
+def path_spellings(spark, sf):
+    """Paths from a file system that writes accents apart have the keys of those that don't."""
+    letters = F.lit("Bücher/"), F.lit("/Café ")
+    path = F.concat(letters[0], "source", letters[1], "lang", F.col("doc_id").cast("string"), F.lit(".md"))
+    for letter in "éü":
+        path = F.when(F.col("doc_id") % 2 == 0, F.replace(path, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))).otherwise(path)
+    rows = table(spark, sf, "documents").select("doc_id", path.alias("path"))
+    return rows.select("doc_id", hashing.path_key(F.col("path")).alias("key"), text.vault_path(F.col("path")).alias("vault"))
+
+
 @query("citation_links", "SELECT doc_id, '[[' || source || '/a\\|' || doc_id || '#' || lang || ' / C\\#\\]]]' AS link FROM documents")
 def citation_links(spark, sf):
     path = F.concat(F.col("source"), F.lit("/a|"), F.col("doc_id").cast("string"), F.lit(".md"))
