@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..functions.text import bound, token_counts
 
 # Fusion constant, BM25 parameters, candidates for each result wanted and their bounds.
 RRF_K, K1, B = 60, 1.2, 0.75
 CANDIDATES_PER_RESULT, LEAST_CANDIDATES, MOST_CANDIDATES = 6, 30, 500
-#: Vectors of one side in a block of the exact search.
-BLOCK = 2048
+#: Vectors of one side in a block of the exact search, and tokens whose places a task keeps.
+BLOCK, KNOWN_TOKENS = 2048, 1 << 20
 
 
 def candidate_count(top_k: int) -> int:
     return min(MOST_CANDIDATES, max(CANDIDATES_PER_RESULT * top_k, LEAST_CANDIDATES))
 
 
-def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf, length``; counted inside each row, so nothing is shuffled. A null text has no tokens.
+def counted(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``counts`` in place of their text. Written once, they serve all kinds of scores without tokenising again."""
+    return rows.withColumn("counts", token_counts(F.col(text))).drop(text)
 
-    The outer form keeps Spark from tokenising twice, for a filter of rows without tokens and for the rows.
+
+def _counts(rows: DataFrame, text: str = "text") -> Column:
+    return F.col("counts") if "counts" in rows.columns else token_counts(F.col(text))
+
+
+def term_counts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, token, tf, length`` of rows with a text or with counts; counted inside each row, so nothing is shuffled.
+
+    A null text has no tokens. The outer form keeps Spark from tokenising twice, for a filter of rows without tokens and for the rows.
     """
-    return rows.select(key, F.inline_outer(token_counts(F.col(text)))).where("token is not null")
+    return rows.select(key, F.inline_outer(_counts(rows, text))).where("token is not null")
 
 
 def overlap_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -41,13 +51,13 @@ def overlap_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def bm25_weights(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, token, weight, mean`` for ``docs(doc_id, text)``, ``queries(query_id, token, tf)``.
+    """``query_id, token, weight, mean`` for ``docs(doc_id, text)`` or counts, ``queries(query_id, token, tf)``.
 
     The weight is a token's number in the query times ``ln(1 + (N - df + 0.5) / (df + 0.5))``, ``mean`` the mean length. One
     pass counts documents by token; a row without a token in each document counts documents and lengths.
     """
     first = lambda x, i: F.when(i == 0, F.struct(F.lit(None).cast("string").alias("token"), x["length"].alias("tf"), x["length"].alias("length")))
-    both = bound(token_counts(F.col("text")), lambda counts: F.concat(counts, F.filter(F.transform(counts, first), lambda x: x.isNotNull())))
+    both = bound(_counts(docs), lambda counts: F.concat(counts, F.filter(F.transform(counts, first), lambda x: x.isNotNull())))
     rows = docs.select(F.inline_outer(both)).where("tf is not null")
     wanted = queries.select("token").distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("string").alias("token")))
     df = rows.join(wanted.withColumnRenamed("token", "wanted"), F.col("token").eqNullSafe(F.col("wanted")), "left_semi").groupBy("token").agg(F.count("*").cast("double").alias("df"), F.sum("tf").alias("total"))
@@ -57,20 +67,48 @@ def bm25_weights(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def bm25_scores(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score`` of ``docs(doc_id, text)`` that share a token; ``weights`` of ``bm25_weights``, written or small."""
-    rows = term_counts(docs, "doc_id", "text")
+    """``query_id, doc_id, score`` of ``docs(doc_id, text)`` or counts that share a token; ``weights`` of ``bm25_weights``, written or small."""
+    rows = term_counts(docs, "doc_id")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return rows.join(weights, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def _embedded(key: str, dimension: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+
+        def place(token: str) -> tuple[int, int]:
+            found = known.get(token)
+            if found is None:
+                if len(known) >= KNOWN_TOKENS:
+                    known.clear()
+                digest = hashlib.sha256(token.encode()).digest()
+                found = known[token] = int.from_bytes(digest[:4], "big") % dimension, 1 - 2 * (digest[4] & 1)
+            return found
+
+        for batch in batches:
+            lists = batch.column("counts")
+            flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            tokens = flat.field("token").dictionary_encode()
+            where = np.array([place(t) for t in tokens.dictionary.to_pylist()], np.int64).reshape(-1, 2)[tokens.indices.to_numpy(zero_copy_only=False)]
+            sums = np.zeros((batch.num_rows, dimension))
+            np.add.at(sums, (np.repeat(np.arange(batch.num_rows), sizes), where[:, 0]), where[:, 1] * flat.field("tf").to_numpy(zero_copy_only=False))
+            norms = np.sqrt((sums * sums).sum(1))
+            sums[norms == 0, 0] = norms[norms == 0] = 1.0
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(offsets, pa.array((sums / norms[:, None]).ravel()))], [key, "vector"])
+
+    return run
+
+
 def hash_embedding(rows: DataFrame, key: str, text: str, dimension: int) -> DataFrame:
-    """``key, vector``: signed token counts by hashed place, scaled to length one; without tokens the first unit vector."""
-    t = term_counts(rows, key, text)
-    places = t.groupBy(key, vectors.bucket(F.col("token"), dimension).alias("i")).agg(F.sum(F.col("tf") * vectors.sign(F.col("token"))).alias("v")).where("v <> 0")
-    by_key = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")) / F.col("n"), F.lit(0.0)))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return rows.select(key).join(by_key, key, "left").select(key, F.coalesce(F.when(F.col("m").isNotNull(), filled), unit).alias("vector"))
+    """``key, vector`` of rows with a text or with counts: signed token counts by hashed place, scaled to length one.
+
+    Without tokens, or where all cancel out, the first unit vector. Each row's vector is made where the row is; a distinct
+    token is hashed once in a batch and kept for later ones.
+    """
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, _counts(rows, text).alias("counts")).mapInArrow(_embedded(key, dimension), f"`{key}` {kind}, vector array<double>")
 
 
 def ranked(scores: DataFrame, k: int, tie: Column, digits: int = 6) -> DataFrame:

@@ -143,22 +143,30 @@ HYBRID_SQL = f"""
   k AS (SELECT c.query_id, c.doc_id, c.score FROM c JOIN a USING (doc_id) JOIN ({twin(POINTERS)}) g ON a.note_id = g.note_id AND a.version_id = g.version_id AND a.generation = g.generation)"""
 
 
-def _candidates(spark, sf):
-    """Filter, rank both ways, fuse, cut; then what isn't current goes."""
-    rows = _allowed(spark, sf)
-    docs, queries = spread(rows.select("doc_id", "text")), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    terms = _queries(spark, sf)
-    lexical = retrieve.with_unscored(retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id", "text"), terms), docs, queries, CANDIDATES)
+def _searched(spark, sf):
+    """The documents that may be found, as token counts written once, and the queries with theirs."""
+    docs = kept(retrieve.counted(spread(_allowed(spark, sf).select("doc_id", "text"))), "counts")
+    return docs, table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), _queries(spark, sf)
+
+
+def _dense(docs, queries):
     vectors_ = retrieve.hash_embedding(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "id")
-    dense = retrieve.nearest(vectors_, retrieve.hash_embedding(queries, "query_id", "text", DIM), CANDIDATES)
-    best = retrieve.fused([dense, retrieve.ranked(lexical, CANDIDATES, F.col("doc_id"))], CANDIDATES)
-    named = best.join(rows.select("doc_id", "note_id", "version_id", "generation"), "doc_id")
-    return retrieve.current_only(named, derived(spark, sf, POINTERS)).select("query_id", "doc_id", "score")
+    return retrieve.nearest(vectors_, retrieve.hash_embedding(queries, "query_id", "text", DIM), CANDIDATES)
+
+
+def _candidates(spark, sf):
+    """Filter, rank both ways, fuse, cut; then what isn't current goes. Gives the overlap scores too."""
+    docs, queries, terms = _searched(spark, sf)
+    scores = kept(retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id"), terms), "overlap")
+    lexical = retrieve.with_unscored(scores, docs, queries, CANDIDATES)
+    best = retrieve.fused([_dense(docs, queries), retrieve.ranked(lexical, CANDIDATES, F.col("doc_id"))], CANDIDATES)
+    named = best.join(_allowed(spark, sf).select("doc_id", "note_id", "version_id", "generation"), "doc_id")
+    return retrieve.current_only(named, derived(spark, sf, POINTERS)).select("query_id", "doc_id", "score"), scores
 
 
 @query("hybrid_retrieval", HYBRID_SQL + ", " + ranked_sql("t", "k", TOP, 12) + " SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank FROM t")
 def hybrid_retrieval(spark, sf):
-    return retrieve.ranked(_candidates(spark, sf), TOP, F.col("doc_id"), 12).withColumn("score", F.round("score", 9))
+    return retrieve.ranked(_candidates(spark, sf)[0], TOP, F.col("doc_id"), 12).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -173,11 +181,9 @@ def hybrid_retrieval(spark, sf):
     + " SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank, false AS degraded FROM t",
 )
 def hybrid_bm25(spark, sf):
-    docs, queries = spread(_allowed(spark, sf).select("doc_id", "text")), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    vectors_ = retrieve.hash_embedding(docs, "doc_id", "text", DIM).withColumnRenamed("doc_id", "id")
-    dense = retrieve.nearest(vectors_, retrieve.hash_embedding(queries, "query_id", "text", DIM), CANDIDATES)
-    lexical = retrieve.ranked(_bm25(docs, _queries(spark, sf)), CANDIDATES, F.col("doc_id"))
-    return retrieve.degraded({"dense": dense, "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
+    docs, queries, terms = _searched(spark, sf)
+    lexical = retrieve.ranked(_bm25(docs, terms), CANDIDATES, F.col("doc_id"))
+    return retrieve.degraded({"dense": _dense(docs, queries), "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -198,7 +204,5 @@ def lexical_only(spark, sf):
     SELECT query_id, doc_id, overlap, rank::INT AS rank FROM t WHERE rank <= 5""".replace("k.score, coalesce", "k.score AS score, coalesce"),
 )
 def rerank(spark, sf):
-    hits = _candidates(spark, sf)
-    docs = table(spark, sf, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    overlap = retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id", "text"), _queries(spark, sf))
+    hits, overlap = _candidates(spark, sf)
     return retrieve.reranked(hits, overlap, TOP).select("query_id", "doc_id", "overlap", "rank")
