@@ -17,13 +17,3 @@ def norm(a: Column) -> Column:
 
 def finite(a: Column) -> Column:
     return F.forall(a, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
-def bucket(token: Column, dimension: int) -> Column:
-    """The place of a token in a hashed vector: the first 32 bits of its digest."""
-    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dimension
-
-
-def sign(token: Column) -> Column:
-    """Plus or minus one by the lowest bit of the digest's fifth byte."""
-    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
