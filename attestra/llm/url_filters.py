@@ -121,20 +121,37 @@ def _purity(b: Column, m: Column, above: Column) -> Column:
     return (b + WEIGHT * above) / (m + WEIGHT)
 
 
+def _shared(x: Column, y: Column) -> Column:
+    """How many whole segments all paths from ``x`` to ``y`` begin with, if each goes on behind them."""
+    a, b = F.split(x, "/"), F.split(y, "/")
+    size = F.least(F.size(a), F.size(b)) - 1
+    unlike = F.array_position(F.zip_with(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1), size), lambda s, t: s == t), F.lit(False))
+    return F.when(unlike > 0, unlike - 1).otherwise(size).cast("int")
+
+
 def _looked_into(nodes: DataFrame, ws: Workspace, label: str) -> DataFrame:
-    """Adds ``p``, the purity of the node of each row, and whether the node is ``open``."""
+    """Adds ``p``, the purity of the node of each row, and whether the node is ``open``.
+
+    Below an open node whose paths all go on alike, nothing can merge and no page leaves until they part; the walk goes to
+    that place at once, with the purity that it has after so many levels.
+    """
     sums = nodes.groupBy("host", "prefix").agg(F.sum("n").alias("pages"), F.sum("m").alias("mm"), F.sum("b").alias("bb"), F.min("rest").alias("x"), F.max("rest").alias("y"), F.count("rest").alias("deeper"), F.count("*").alias("rows"))
     kinds = (F.col("x") != F.col("y")) | (F.col("deeper") != F.col("rows"))
-    sums = sums.select("host", "prefix", "mm", "bb", ((F.col("pages") >= LEAST_PAGES) & (F.col("deeper") > 0) & F.coalesce(kinds, F.lit(True))).alias("wanted"))
-    rows = nodes.join(sums, ["host", "prefix"]).withColumn("p", _purity(F.col("bb"), F.col("mm"), F.col("p")))
+    wanted = (F.col("pages") >= LEAST_PAGES) & (F.col("deeper") > 0) & F.coalesce(kinds, F.lit(True))
+    skipped = F.when(wanted & (F.col("deeper") == F.col("rows")), _shared(F.col("x"), F.col("y"))).otherwise(0)
+    sums = sums.select("host", "prefix", "mm", "bb", wanted.alias("wanted"), "x", skipped.alias("skipped"))
+    sums = sums.select("host", "prefix", "mm", "bb", "wanted", "skipped", F.when(F.col("skipped") > 0, F.array_join(F.slice(F.split("x", "/"), F.lit(1), F.col("skipped")), "/")).alias("way"))
+    purity = F.aggregate(F.sequence(F.lit(0), F.col("skipped")), F.col("p"), lambda p, _: _purity(F.col("bb").cast("double"), F.col("mm").cast("double"), p))
+    rows = nodes.join(sums, ["host", "prefix"]).withColumn("p", purity)
+    rows = rows.withColumn("prefix", F.concat("prefix", F.coalesce(F.concat(F.lit("/"), F.col("way")), F.lit("")))).withColumn("rest", F.when(F.col("way").isNull(), F.col("rest")).otherwise(F.substr("rest", F.length("way") + 2)))
     return ws.keep(rows.select("host", "raw", "prefix", "rest", "n", "m", "b", "p", (F.col("wanted") & F.col("rest").isNotNull()).alias("open")), label)
 
 
 def templates(pages: DataFrame, ws: Workspace) -> DataFrame:
     """``pages(host, path, verdict)`` -> ``host, raw, template, purity``, a row for each kind of path (digits as ``<n>``).
 
-    ``verdict`` is a page's rule's, or null. A round goes down one level in all hosts at once; the rounds end when no node
-    has both pages enough and two kinds of path below it.
+    ``verdict`` is a page's rule's, or null. A round goes down to where paths part next, in all hosts at once; the rounds end
+    when no node has both pages enough and two kinds of path below it. So rounds are as many as partings on one path.
     """
     raw = F.regexp_replace("path", "[0-9]+", "<n>")
     nodes = pages.groupBy("host", raw.alias("raw")).agg(F.count("*").alias("n"), F.count("verdict").alias("m"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"))

@@ -414,6 +414,17 @@ def test_templates_go_down_all_levels(spark, ws):
     assert len(verdicts) == len(urls) and set(verdicts[verdicts.path.str.startswith("/b/")].verdict) == {"block"} and verdicts.rule.isna().sum() == 72 + 6
 
 
+def test_deep_paths_take_few_rounds(spark):
+    """Pages a thousand segments deep, which part near the root and at the end."""
+    deep = "/".join(f"s{i % 7}x" for i in range(1000))
+    urls = [f"http://h.com/{k}/{deep}/{x}" for k in ("en", "de") for x in "abcdefghij"] + [f"http://h.com/{deep}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    ws = Workspace(spark)
+    rules = (url_filters.Rule("block", "h.com", "/en/"),)
+    got = {r.page_id: r.verdict for r in url_filters.filtered(pages, ws, rules).collect()}
+    assert ws._n < 80 and all(got[i] == "block" for i in range(10)) and set(got.values()) <= {"allow", "block"}
+
+
 def test_templates_carry_labels_over(spark, ws):
     rules = (url_filters.Rule("block", "shop.test", "/item/1"), url_filters.Rule("allow", "shop.test", "/help/1"))
     urls = [f"https://shop.test/item/{n}" for n in (11, 12, 13, 14, 25)] + [f"https://shop.test/help/{n}" for n in (11, 12, 13, 14, 25)] + ["https://shop.test/about"]
