@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import digests
+from ..functions.canonical import canonical_json, digests
 from ..functions.text import strip
 
 # The policy's sets and thresholds.
@@ -126,6 +126,16 @@ def fingerprints(claims: DataFrame) -> DataFrame:
     return rows
 
 
+# What of a claim may leave for a public search.
+PUBLIC_FIELDS = ("claim_type", "subject", "predicate", "object", "scope")
+
+
+def public_claims(claims: DataFrame) -> DataFrame:
+    """``claim_id, payload``: the five public fields of each claim as canonical JSON, without nulls in its object and scope."""
+    rows = claims.withColumn("whole", F.struct(*PUBLIC_FIELDS))
+    return rows.select("claim_id", canonical_json(rows, "whole", sparse=("object", "scope")).alias("payload"))
+
+
 def rollup(items: DataFrame) -> DataFrame:
     """Per change: counts by stage and the status of run and change. Any failure fails it, any review holds it back."""
     out = items.groupBy("change_id").agg(

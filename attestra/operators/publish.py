@@ -176,6 +176,25 @@ def reconcile(notes: DataFrame, drift_by_note: DataFrame, repair: bool) -> DataF
     return rows.select("note_id", "drift", finding.alias("finding"), reason.alias("reason"))
 
 
+def reconcile_again(notes: DataFrame, expected: DataFrame, index: DataFrame, repaired: DataFrame, note_of: Column) -> DataFrame:
+    """Findings after a repair, which is looked at again: ``note_id, finding, reason, drift, left``.
+
+    ``notes(note_id, vault_ok, probed)``; ``index`` is what was found, ``repaired`` what is found after the repair, both as
+    ``expected(chunk_id, version_id, content_hash)``. ``note_of`` gives a chunk's note. BLOCKED when the vault or the index couldn't
+    be read, or when something is still not as expected; HEALTHY when nothing was wrong; else REPAIRABLE and repaired.
+    """
+    c = F.col
+    count = lambda now, name: probe_drift(expected, now).groupBy(note_of.alias("note_id")).agg(F.count("*").alias(name))
+    rows = notes.join(count(index, "drift"), "note_id", "left").join(count(repaired, "left"), "note_id", "left")
+    rows = rows.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("drift", "left")})
+    reason = (
+        F.when(~c("vault_ok"), "vault_verification_failed").when(~c("probed"), "index_verification_failed").when(c("drift") == 0, "publication_healthy")
+        .when(c("left") > 0, "index_repair_failed").otherwise("index_repaired")
+    )
+    finding = F.when(reason == "publication_healthy", "HEALTHY").when(reason == "index_repaired", "REPAIRABLE").otherwise("BLOCKED")
+    return rows.select("note_id", finding.alias("finding"), reason.alias("reason"), "drift", "left")
+
+
 def upsert(index: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The index with ``rows`` in place of those of the same key."""
     return index.join(rows.select(key), key, "left_anti").unionByName(rows)

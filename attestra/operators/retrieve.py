@@ -148,6 +148,23 @@ def reranked(hits: DataFrame, overlap: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def rescored(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates in a reranker's order, or in their own where it can't be trusted: ``query_id, doc_id, score, rerank_score, rank, degraded``.
+
+    ``candidates(query_id, doc_id, score)``, ``answers(query_id, place, doc_id, score)``. A query keeps its candidates' order, and is
+    ``degraded``, when nothing came back for it, or an id that isn't among them, or one twice. What a sound answer leaves out goes.
+    """
+    c = F.col
+    known = candidates.select("query_id", "doc_id", F.lit(True).alias("known")).distinct()
+    checked = answers.join(known, ["query_id", "doc_id"], "left")
+    each = checked.groupBy("query_id", "doc_id").agg(F.count("*").alias("times"), F.bool_and(c("known").isNotNull()).alias("known"), F.min("place").alias("place"), F.first("score").alias("rerank_score"))
+    sound = each.groupBy("query_id").agg(F.bool_and((c("times") == 1) & c("known")).alias("sound")).where("sound")
+    rows = candidates.join(sound, "query_id", "left").join(each.select("query_id", "doc_id", "place", "rerank_score"), ["query_id", "doc_id"], "left")
+    rows = rows.where("sound IS NULL OR place IS NOT NULL")
+    order = Window.partitionBy("query_id").orderBy(F.when(c("sound"), c("place")), F.round("score", 12).desc(), "doc_id")
+    return rows.select("query_id", "doc_id", "score", F.when(c("sound"), c("rerank_score")).alias("rerank_score"), F.row_number().over(order).alias("rank"), c("sound").isNull().alias("degraded"))
+
+
 def allowed(at: Column, generation: int, statuses: tuple[str, ...], sensitivities: tuple[str, ...], allow_stale: bool) -> Column:
     """The hard filter; 0 stands for an open end. It is a plain conjunction, so its columns' part reaches the scan."""
     valid = F.col("status").isin(*statuses) & F.col("sensitivity").isin(*sensitivities) & (F.col("generation") == generation)

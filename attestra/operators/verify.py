@@ -9,6 +9,7 @@ from pyspark.sql.types import MapType, StringType
 from ..functions.canonical import encoded
 from ..functions.hashing import sha256
 from ..functions.text import BLANK, strip
+from .answer import LEAST_PRECISION, LEAST_RECALL
 from .control import TRANSITIONS
 
 # What generated Markdown must not hold, and the types of claims that need public evidence.
@@ -166,6 +167,37 @@ def vault_decisions(files: DataFrame, publications: DataFrame) -> DataFrame:
     return rows.select("path", decision.alias("decision"))
 
 
+def recycle_decisions(files: DataFrame, trash: DataFrame, requests: DataFrame) -> DataFrame:
+    """What moving notes to the recycle area and back does: ``note_id, request, decision``; nothing is overwritten or lost.
+
+    ``files`` and ``trash`` have ``note_id, version_id, content_hash`` of what lies at a note's path and in its recycle place;
+    ``requests(note_id, request, version_id, content_hash)`` name what is to be moved, RECYCLE or RESTORE. MOVE when it is what
+    lies there and its new place is free, NOOP when it lies in its new place alone, MISSING when it is in neither; else CONFLICT.
+    """
+    c = F.col
+    side = lambda rows, name: rows.select("note_id", F.struct("version_id", "content_hash").alias(name))
+    rows = requests.join(side(files, "live"), "note_id", "left").join(side(trash, "gone"), "note_id", "left")
+    wanted, recycles = F.struct("version_id", "content_hash"), c("request") == "RECYCLE"
+    source, target = F.when(recycles, c("live")).otherwise(c("gone")), F.when(recycles, c("gone")).otherwise(c("live"))
+    decision = (
+        F.when(source.isNull() & target.isNull(), "MISSING").when(source.isNull(), F.when(target == wanted, "NOOP").otherwise("CONFLICT"))
+        .when(target.isNotNull() | (source != wanted), "CONFLICT").otherwise("MOVE")
+    )
+    return rows.select("note_id", "request", decision.alias("decision"))
+
+
+def gate_problems(gates: DataFrame, generation: str) -> DataFrame:
+    """``gates(gate_id, mode, generation_id, passed, precision, recall, refusal_accuracy, unsafe)`` -> ``gate_id, problem``, null if it opens.
+
+    INVALID without one of its values or in another mode, FAILED below a threshold or by its own word, OTHER for another generation.
+    """
+    c = F.col
+    fields = ("mode", "generation_id", "passed", "precision", "recall", "refusal_accuracy", "unsafe")
+    whole = (c("mode") == "deterministic") & ~F.exists(F.array(*(c(f).isNull() for f in fields)), lambda x: x)
+    good = c("passed") & (c("precision") >= LEAST_PRECISION) & (c("recall") >= LEAST_RECALL) & (c("refusal_accuracy") == 1) & (c("unsafe") == 0)
+    return gates.select("gate_id", F.when(~F.coalesce(whole, F.lit(False)), "INVALID").when(~good, "FAILED").when(c("generation_id") != generation, "OTHER").alias("problem"))
+
+
 def generation_problems(rows: DataFrame, dimension: int) -> DataFrame:
     """Vectors that a generation can't take: ``id, problem``, from ``rows(id, vector, model)``; the commonest model is the generation's."""
     models = rows.groupBy("model").agg(F.count("*").alias("n")).agg(F.max_by("model", F.struct("n", "model")).alias("main"))  # one row

@@ -136,14 +136,18 @@ _J = "replace(replace(replace(value, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n
 FAMILY_JSON = "'{\"claim_type\":\"FACT\",\"predicate\":\"' || role || '\",\"scope\":{\"conditions\":[],\"exceptions\":[],\"polarity\":\"AFFIRMED\"' || CASE WHEN version IS NOT NULL THEN ',\"version\":\"' || version || '\"' ELSE '' END || '},\"subject\":\"c' || conv_id % 100 || '\"}'"
 
 
-def _fingerprints(spark, sf):
-    """Family: type, subject, predicate and scope without its nulls; the fingerprint adds the object and the times."""
+def _typed(spark, sf):
     p = derived(spark, sf, PRINTS)
     none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
     scope = F.struct(none.alias("conditions"), none.alias("exceptions"), F.lit("AFFIRMED").alias("polarity"), F.col("version"))
     subject = F.concat(F.lit("c"), (F.col("conv_id") % 100).cast("string"))
     claims = p.select("conv_id", "turn", F.lit("FACT").alias("claim_type"), subject.alias("subject"), F.col("role").alias("predicate"), scope.alias("scope"), F.struct("value", F.lit("TEXT").alias("value_type")).alias("object"), F.lit("PUBLIC").alias("sensitivity"), *(text.alias(c) for c in ("valid_from", "valid_to", "freshness_at")))
-    return govern.fingerprints(claims).select("conv_id", "turn", "family_key", "fingerprint")
+    return claims
+
+
+def _fingerprints(spark, sf):
+    """Family: type, subject, predicate and scope without its nulls; the fingerprint adds the object and the times."""
+    return govern.fingerprints(_typed(spark, sf)).select("conv_id", "turn", "family_key", "fingerprint")
 
 
 PRINTS_SQL = f"""f AS (SELECT conv_id, turn, sha256({FAMILY_JSON}) AS family_key,
@@ -151,6 +155,14 @@ PRINTS_SQL = f"""f AS (SELECT conv_id, turn, sha256({FAMILY_JSON}) AS family_key
   FROM ({twin(PRINTS)}))"""
 
 
+@query(
+    "public_claims",
+    f"""SELECT conv_id * 1000 + turn AS claim_id, '{{"claim_type":"FACT","object":{{"value":"' || {_J} || '","value_type":"TEXT"}},"predicate":"' || role || '","scope":{{"conditions":[],"exceptions":[],"polarity":"AFFIRMED"' || CASE WHEN version IS NOT NULL THEN ',"version":"' || version || '"' ELSE '' END || '}},"subject":"c' || conv_id % 100 || '"}}' AS payload FROM ({twin(PRINTS)})""",
+)
+def public_claims(spark, sf):
+    return govern.public_claims(_typed(spark, sf).withColumn("claim_id", F.col("conv_id") * 1000 + F.col("turn")))
+
+
 @query("claim_fingerprint", f"WITH {PRINTS_SQL} SELECT * FROM f")
 def claim_fingerprint(spark, sf):
     return _fingerprints(spark, sf)

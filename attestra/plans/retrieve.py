@@ -206,3 +206,24 @@ def lexical_only(spark, sf):
 def rerank(spark, sf):
     hits, overlap = _candidates(spark, sf)
     return retrieve.reranked(hits, overlap, TOP).select("query_id", "doc_id", "overlap", "rank")
+
+
+#: A reranker that turns every order round, and for some queries leaves one out, gives one twice, makes one up or says nothing.
+FAULTS_SQL = """f AS (SELECT query_id, query_id % 5 AS kind, doc_id, score, rank AS r, 100 - rank AS place, rank * 1.5 AS rerank_score FROM r),
+  a AS (SELECT query_id, place, doc_id, rerank_score FROM f WHERE kind <> 4 AND NOT (kind = 1 AND r = 2) UNION ALL SELECT query_id, 200, doc_id, 0.0 FROM f WHERE kind = 2 AND r = 1 UNION ALL SELECT query_id, 200, -1, 0.0 FROM f WHERE kind = 3 AND r = 1)"""
+
+
+@query(
+    "rerank_fallback",
+    f"""WITH {OVERLAP_SQL}, {ranked_sql("r", "o", TOP)}, {FAULTS_SQL},
+    s AS (SELECT query_id FROM a GROUP BY 1 HAVING count(*) = count(DISTINCT doc_id) AND bool_and(EXISTS (SELECT 1 FROM f WHERE f.query_id = a.query_id AND f.doc_id = a.doc_id)))
+    SELECT f.query_id, f.doc_id, f.score, CASE WHEN s.query_id IS NOT NULL THEN a.rerank_score::DOUBLE END AS rerank_score, row_number() OVER (PARTITION BY f.query_id ORDER BY CASE WHEN s.query_id IS NOT NULL THEN a.place END, f.score DESC, f.doc_id)::INT AS rank, s.query_id IS NULL AS degraded
+    FROM f LEFT JOIN s USING (query_id) LEFT JOIN a ON s.query_id IS NOT NULL AND a.query_id = f.query_id AND a.doc_id = f.doc_id WHERE s.query_id IS NULL OR a.place IS NOT NULL""",
+)
+def rerank_fallback(spark, sf):
+    hits = kept(overlap_topk(spark, sf), "hits")
+    rows = hits.select("query_id", (F.lit(100) - F.col("rank")).alias("place"), "doc_id", (F.col("rank") * 1.5).alias("score"), (F.col("query_id") % 5).alias("kind"), "rank")
+    said = rows.where("kind <> 4 AND NOT (kind = 1 AND rank = 2)").select("query_id", "place", "doc_id", "score")
+    twice = rows.where("kind = 2 AND rank = 1").select("query_id", F.lit(200).alias("place"), "doc_id", F.lit(0.0).alias("score"))
+    made_up = rows.where("kind = 3 AND rank = 1").select("query_id", F.lit(200).alias("place"), F.lit(-1).cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
+    return retrieve.rescored(hits.select("query_id", "doc_id", "score"), said.unionByName(twice).unionByName(made_up))

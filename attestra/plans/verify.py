@@ -298,3 +298,30 @@ def canonical_origins(spark, sf):
     rows = derived(spark, sf, ORIGINS)
     page = F.concat(F.lit("<head>"), F.coalesce(F.concat(F.lit("<link rel='canonical' href='"), "link", F.lit("'>")), F.lit("")), F.lit("</head>"))
     return rows.select("page_id", verify.canonical_signal(F.col("url"), html.canonical_link(page)).alias("signal"))
+
+
+LIVE = "SELECT doc_id AS note_id, 'v1' AS version_id, CASE WHEN doc_id % 7 = 0 THEN 'edited' ELSE sha2(text, 256) END AS content_hash FROM {documents} WHERE doc_id % 4 <> 0"
+TRASH = "SELECT doc_id AS note_id, CASE WHEN doc_id % 11 = 0 THEN 'v0' ELSE 'v1' END AS version_id, sha2(text, 256) AS content_hash FROM {documents} WHERE doc_id % 4 = 0 AND doc_id % 5 <> 0 OR doc_id % 9 = 0"
+MOVE = "SELECT doc_id AS note_id, CASE WHEN doc_id % 3 = 0 THEN 'RESTORE' ELSE 'RECYCLE' END AS request, 'v1' AS version_id, sha2(text, 256) AS content_hash FROM {documents}"
+
+
+@query(
+    "recycle_decisions",
+    f"""WITH r AS (SELECT m.note_id, request, CASE request WHEN 'RECYCLE' THEN l.version_id || l.content_hash ELSE t.version_id || t.content_hash END AS here, CASE request WHEN 'RECYCLE' THEN t.version_id || t.content_hash ELSE l.version_id || l.content_hash END AS there, m.version_id || m.content_hash AS wanted
+      FROM ({twin(MOVE)}) m LEFT JOIN ({twin(LIVE)}) l USING (note_id) LEFT JOIN ({twin(TRASH)}) t USING (note_id))
+    SELECT note_id, request, CASE WHEN here IS NULL AND there IS NULL THEN 'MISSING' WHEN here IS NULL THEN CASE WHEN there = wanted THEN 'NOOP' ELSE 'CONFLICT' END WHEN there IS NOT NULL OR here <> wanted THEN 'CONFLICT' ELSE 'MOVE' END AS decision FROM r""",
+)
+def recycle_decisions(spark, sf):
+    return verify.recycle_decisions(derived(spark, sf, LIVE), derived(spark, sf, TRASH), derived(spark, sf, MOVE))
+
+
+GATES = """SELECT l_orderkey * 10 + l_linenumber AS gate_id, CASE WHEN l_linenumber = 5 THEN 'live' WHEN l_linenumber <> 6 THEN 'deterministic' END AS mode, CASE WHEN l_suppkey % 3 = 0 THEN 'g1' ELSE 'g2' END AS generation_id, l_tax < 0.08 AS passed,
+  0.9 + l_tax AS precision, 0.85 + l_discount AS recall, CASE WHEN l_quantity > 45 THEN 0.5 WHEN l_quantity > 40 THEN NULL ELSE 1.0 END AS refusal_accuracy, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS unsafe FROM {lineitem}"""
+
+
+@query(
+    "promotion_gates",
+    f"""SELECT gate_id, CASE WHEN mode IS NULL OR mode <> 'deterministic' OR refusal_accuracy IS NULL THEN 'INVALID' WHEN NOT (passed AND precision >= 0.95 AND recall >= 0.9 AND refusal_accuracy = 1 AND unsafe = 0) THEN 'FAILED' WHEN generation_id <> 'g2' THEN 'OTHER' END AS problem FROM ({twin(GATES)})""",
+)
+def promotion_gates(spark, sf):
+    return verify.gate_problems(derived(spark, sf, GATES), "g2")
