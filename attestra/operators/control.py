@@ -10,78 +10,78 @@ from pyspark.sql import functions as F
 
 # The transitions each state machine allows.
 TRANSITIONS = {
-    "answer_run": {"IN_PROGRESS": "ANSWERED REFUSED FAILED"},
+    "answer_run": {"IN_PROGRESS": ("ANSWERED", "REFUSED", "FAILED")},
     "source_version": {
-        "CAPTURED": "PARSED PARSE_FAILED QUARANTINED DELETED",
-        "PARSED": "READY PARSE_FAILED QUARANTINED DELETED",
-        "READY": "DELETED",
-        "PARSE_FAILED": "PARSED QUARANTINED DELETED",
-        "QUARANTINED": "DELETED",
+        "CAPTURED": ("PARSED", "PARSE_FAILED", "QUARANTINED", "DELETED"),
+        "PARSED": ("READY", "PARSE_FAILED", "QUARANTINED", "DELETED"),
+        "READY": ("DELETED",),
+        "PARSE_FAILED": ("PARSED", "QUARANTINED", "DELETED"),
+        "QUARANTINED": ("DELETED",),
     },
     "claim": {
-        "PROPOSED": "VERIFIED USER_ASSERTED OPINION INSUFFICIENT CONTESTED REJECTED QUARANTINED",
-        "VERIFIED": "OUTDATED SUPERSEDED",
-        "USER_ASSERTED": "OUTDATED SUPERSEDED",
-        "OPINION": "OUTDATED SUPERSEDED",
-        "INSUFFICIENT": "OUTDATED SUPERSEDED",
-        "CONTESTED": "OUTDATED SUPERSEDED",
+        "PROPOSED": ("VERIFIED", "USER_ASSERTED", "OPINION", "INSUFFICIENT", "CONTESTED", "REJECTED", "QUARANTINED"),
+        "VERIFIED": ("OUTDATED", "SUPERSEDED"),
+        "USER_ASSERTED": ("OUTDATED", "SUPERSEDED"),
+        "OPINION": ("OUTDATED", "SUPERSEDED"),
+        "INSUFFICIENT": ("OUTDATED", "SUPERSEDED"),
+        "CONTESTED": ("OUTDATED", "SUPERSEDED"),
     },
     "curated_version": {
-        "DRAFT": "VALIDATING",
-        "VALIDATING": "STAGING QUARANTINED FAILED",
-        "STAGING": "ACTIVE QUARANTINED FAILED",
-        "ACTIVE": "STALE_PENDING_REVIEW SUPERSEDED",
-        "STALE_PENDING_REVIEW": "SUPERSEDED",
+        "DRAFT": ("VALIDATING",),
+        "VALIDATING": ("STAGING", "QUARANTINED", "FAILED"),
+        "STAGING": ("ACTIVE", "QUARANTINED", "FAILED"),
+        "ACTIVE": ("STALE_PENDING_REVIEW", "SUPERSEDED"),
+        "STALE_PENDING_REVIEW": ("SUPERSEDED",),
     },
-    "index_generation": {"STAGING": "ACTIVE FAILED", "ACTIVE": "SUPERSEDED", "SUPERSEDED": "ACTIVE"},
+    "index_generation": {"STAGING": ("ACTIVE", "FAILED"), "ACTIVE": ("SUPERSEDED",), "SUPERSEDED": ("ACTIVE",)},
     "index_job": {
-        "PENDING": "INDEXING",
-        "INDEXING": "INDEXED FAILED",
-        "INDEXED": "ACTIVE_INDEXED",
-        "ACTIVE_INDEXED": "DELETE_PENDING",
-        "DELETE_PENDING": "DELETED ACTIVE_INDEXED",
-        "DELETED": "PENDING",
-        "FAILED": "PENDING",
+        "PENDING": ("INDEXING",),
+        "INDEXING": ("INDEXED", "FAILED"),
+        "INDEXED": ("ACTIVE_INDEXED",),
+        "ACTIVE_INDEXED": ("DELETE_PENDING",),
+        "DELETE_PENDING": ("DELETED", "ACTIVE_INDEXED"),
+        "DELETED": ("PENDING",),
+        "FAILED": ("PENDING",),
     },
     "knowledge_change": {
-        "RECEIVED": "VALIDATING FAILED QUARANTINED",
-        "VALIDATING": "PUBLISH_INTENT REVIEW_REQUIRED FAILED QUARANTINED",
-        "REVIEW_REQUIRED": "PUBLISH_INTENT FAILED QUARANTINED",
-        "PUBLISH_INTENT": "ACTIVE FAILED QUARANTINED",
+        "RECEIVED": ("VALIDATING", "FAILED", "QUARANTINED"),
+        "VALIDATING": ("PUBLISH_INTENT", "REVIEW_REQUIRED", "FAILED", "QUARANTINED"),
+        "REVIEW_REQUIRED": ("PUBLISH_INTENT", "FAILED", "QUARANTINED"),
+        "PUBLISH_INTENT": ("ACTIVE", "FAILED", "QUARANTINED"),
     },
-    "model_run": {"STARTED": "SUCCEEDED FAILED CANCELLED"},
-    "idempotency": {"IN_PROGRESS": "SUCCEEDED FAILED UNKNOWN", "UNKNOWN": "SUCCEEDED FAILED"},
-    "ingestion_run": {"PLANNING": "APPLYING FAILED ABANDONED", "APPLYING": "COMPLETED PARTIAL_FAILED FAILED ABANDONED"},
-    "ingestion_item": {"PENDING": "APPLYING", "APPLYING": "SUCCEEDED SKIPPED QUARANTINED FAILED", "FAILED": "PENDING"},
+    "model_run": {"STARTED": ("SUCCEEDED", "FAILED", "CANCELLED")},
+    "idempotency": {"IN_PROGRESS": ("SUCCEEDED", "FAILED", "UNKNOWN"), "UNKNOWN": ("SUCCEEDED", "FAILED")},
+    "ingestion_run": {"PLANNING": ("APPLYING", "FAILED", "ABANDONED"), "APPLYING": ("COMPLETED", "PARTIAL_FAILED", "FAILED", "ABANDONED")},
+    "ingestion_item": {"PENDING": ("APPLYING",), "APPLYING": ("SUCCEEDED", "SKIPPED", "QUARANTINED", "FAILED"), "FAILED": ("PENDING",)},
     "governance_run": {
-        "PLANNING": "EXTRACTING FAILED QUARANTINED",
-        "EXTRACTING": "EVALUATING FAILED QUARANTINED",
-        "EVALUATING": "RECONCILING FAILED QUARANTINED",
-        "RECONCILING": "COMPLETED PARTIAL_FAILED FAILED QUARANTINED",
+        "PLANNING": ("EXTRACTING", "FAILED", "QUARANTINED"),
+        "EXTRACTING": ("EVALUATING", "FAILED", "QUARANTINED"),
+        "EVALUATING": ("RECONCILING", "FAILED", "QUARANTINED"),
+        "RECONCILING": ("COMPLETED", "PARTIAL_FAILED", "FAILED", "QUARANTINED"),
     },
     "governance_item": {
-        "EXTRACTED": "EVIDENCE_PENDING DECIDING FAILED",
-        "EVIDENCE_PENDING": "VERIFYING FAILED",
-        "VERIFYING": "DECIDING FAILED",
-        "DECIDING": "DECIDED REVIEW_REQUIRED FAILED",
+        "EXTRACTED": ("EVIDENCE_PENDING", "DECIDING", "FAILED"),
+        "EVIDENCE_PENDING": ("VERIFYING", "FAILED"),
+        "VERIFYING": ("DECIDING", "FAILED"),
+        "DECIDING": ("DECIDED", "REVIEW_REQUIRED", "FAILED"),
     },
-    "review_request": {"PENDING": "APPROVED REJECTED CANCELLED"},
+    "review_request": {"PENDING": ("APPROVED", "REJECTED", "CANCELLED")},
     "publication_run": {
-        "PLANNING": "CURATING FAILED",
-        "CURATING": "VAULT_STAGED FAILED",
-        "VAULT_STAGED": "INDEXING FAILED",
-        "INDEXING": "INDEX_VERIFIED FAILED",
-        "INDEX_VERIFIED": "VAULT_PUBLISHED FAILED",
-        "VAULT_PUBLISHED": "ACTIVATING FAILED",
-        "ACTIVATING": "COMPLETED FAILED",
-        "FAILED": "CURATING VAULT_STAGED INDEXING INDEX_VERIFIED VAULT_PUBLISHED ACTIVATING",
+        "PLANNING": ("CURATING", "FAILED"),
+        "CURATING": ("VAULT_STAGED", "FAILED"),
+        "VAULT_STAGED": ("INDEXING", "FAILED"),
+        "INDEXING": ("INDEX_VERIFIED", "FAILED"),
+        "INDEX_VERIFIED": ("VAULT_PUBLISHED", "FAILED"),
+        "VAULT_PUBLISHED": ("ACTIVATING", "FAILED"),
+        "ACTIVATING": ("COMPLETED", "FAILED"),
+        "FAILED": ("CURATING", "VAULT_STAGED", "INDEXING", "INDEX_VERIFIED", "VAULT_PUBLISHED", "ACTIVATING"),
     },
 }
 
 
 def transitions(spark: SparkSession) -> DataFrame:
     """``machine, from_state, to_state``: every allowed step."""
-    rows = [(m, a, b) for m, steps in TRANSITIONS.items() for a, to in steps.items() for b in to.split()]
+    rows = [(m, a, b) for m, steps in TRANSITIONS.items() for a, to in steps.items() for b in to]
     return spark.createDataFrame(rows, "machine string, from_state string, to_state string")
 
 

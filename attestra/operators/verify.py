@@ -137,13 +137,13 @@ def finish_decisions(records: DataFrame, requests: DataFrame) -> DataFrame:
     outcome is unknown ends only by a request that says so; the transition must be one that the state machine has. Of
     several requests that could end one operation the smallest ``request_id`` does; for the others the revision has moved on.
     """
-    steps = F.create_map(*(F.lit(x) for a, to in TRANSITIONS["idempotency"].items() for x in (a, to)))
+    steps = F.create_map(*(x for a, to in TRANSITIONS["idempotency"].items() for x in (F.lit(a), F.array(*(F.lit(t) for t in to)))))
     rows = requests.join(records, "id", "left")
     c = F.col
     outcome = (
         F.when(c("status").isNull(), "NOT_FOUND").when(c("revision") != c("expected_revision"), "STALE")
         .when((c("status") == "UNKNOWN") & ~c("reconcile"), "NEEDS_RECONCILING")
-        .when(~F.coalesce(F.array_contains(F.split(F.try_element_at(steps, c("status")), " "), c("target")), F.lit(False)), "ILLEGAL").otherwise("APPLIED")
+        .when(~F.coalesce(F.array_contains(F.try_element_at(steps, c("status")), c("target")), F.lit(False)), "ILLEGAL").otherwise("APPLIED")
     )
     rows = rows.withColumn("outcome", outcome)
     first = rows.where("outcome = 'APPLIED'").groupBy("id").agg(F.min("request_id").alias("first"))

@@ -27,7 +27,7 @@ def cas_result(spark, sf):
 
 
 HISTORY = """SELECT 'ingestion_item' AS machine, user_id AS entity_id, event_id AS step, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'APPLYING' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' ELSE 'SKIPPED' END AS state FROM {events}"""
-_ALLOWED_VALUES = ", ".join(f"('{m}', '{a}', '{b}')" for m, steps in control.TRANSITIONS.items() for a, to in steps.items() for b in to.split())
+_ALLOWED_VALUES = ", ".join(f"('{m}', '{a}', '{b}')" for m, steps in control.TRANSITIONS.items() for a, to in steps.items() for b in to)
 
 
 @query(
