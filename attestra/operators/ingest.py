@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
 from ..streaming.run import kept
 
 
+def _array_digests(scope: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n, names, kinds = None, None, 0, [], []
+        done: list[tuple] = []
+        for batch in batches:
+            names, kinds = batch.schema.names[:scope], batch.schema.types[:scope]
+            keys = zip(*(batch.column(i).to_pylist() for i in range(scope)))
+            for key, entry in zip(keys, batch.column("entry").to_pylist(), strict=True):
+                if key != now:
+                    if digest is not None:
+                        done.append((*now, n, digest))
+                    now, digest, n = key, hashlib.sha256(b"["), 0
+                digest.update((b"," if n else b"") + entry.encode())
+                n += 1
+        if digest is not None:
+            done.append((*now, n, digest))
+            columns = [pa.array([d[i] for d in done], kind) for i, kind in enumerate([*kinds, pa.int64()])]
+            for *_, d in done:
+                d.update(b"]")
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d[-1].hexdigest() for d in done])], [*names, "entries", "manifest_hash"])
+
+    return run
+
+
 def manifest_digest(entries: DataFrame, scope: list[str], fields: list[str], order: str) -> DataFrame:
     """One digest a scope: the SHA-256 of the JSON array of its entries in the order of their keys.
 
-    A scope is one scan's listing of one folder. The digest is defined on the whole text, so a scope's entries meet in
-    one row; ``manifest_tree`` is the form for scopes of any size.
+    A digest of one text is serial by nature. Entries pass through a task as a sorted stream, which keeps a digest under way
+    and no entries, so a scope of any size costs its time alone; ``manifest_tree`` is the form that many tasks make together.
     """
-    entry = F.to_json(F.struct(*(F.col(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), entry.alias("e"))))
-    text = F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["e"]), ","), F.lit("]"))
-    return entries.groupBy(*scope).agg(F.count("*").alias("entries"), F.sha2(text, 256).alias("manifest_hash"))
+    rows = entries.withColumn("entry", F.struct(*fields))
+    rows = rows.select(*scope, order, canonical_json(rows, "entry").alias("entry")).repartition(*scope).sortWithinPartitions(*scope, order, "entry")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*scope).schema.fields)
+    return rows.mapInArrow(_array_digests(len(scope)), f"{kinds}, entries long, manifest_hash string")
 
 
 def manifest_tree(entries: DataFrame, key: str, entry_hash: Column, digits: int = 4) -> DataFrame:

@@ -40,18 +40,18 @@ def path_key_scope(spark, sf):
     return p.select("doc_id", text.vault_path(F.col("path")).alias("vault_path"), hashing.path_key(F.col("path")).alias("path_key"), text.in_scope(F.col("path"), ["SRC1", "src2/Straße", "src2/en"], ["src1/fr"]).alias("in_scope"))
 
 
-ENTRIES = "SELECT source, lang, cast(floor(doc_id / 1000) AS bigint) AS folder, 'p' || lpad(cast(doc_id AS string), 10, '0') AS path_key, length(text) AS size, CASE WHEN doc_id % 23 = 0 THEN 'UNSTABLE_FILE' END AS error_category FROM {documents}"
+ENTRIES = "SELECT source, lang, 'p' || lpad(cast(doc_id AS string), 10, '0') AS path_key, length(text) AS size, CASE WHEN doc_id % 23 = 0 THEN 'UNSTABLE_FILE' END AS error_category FROM {documents}"
 
 
 @query(
     "manifest_digest",
     f"""
     WITH e AS ({twin(ENTRIES)})
-    SELECT source, lang, folder, count(*) AS entries, sha256('[' || string_agg('{{"error_category":' || coalesce('"' || error_category || '"', 'null') || ',"path_key":"' || path_key || '","size":' || size || '}}', ',' ORDER BY path_key) || ']') AS manifest_hash
-    FROM e GROUP BY source, lang, folder""",
+    SELECT source, count(*) AS entries, sha256('[' || string_agg('{{"error_category":' || coalesce('"' || error_category || '"', 'null') || ',"path_key":"' || path_key || '","size":' || size || '}}', ',' ORDER BY path_key) || ']') AS manifest_hash
+    FROM e GROUP BY source""",
 )
 def manifest_digest(spark, sf):
-    return ingest.manifest_digest(derived(spark, sf, ENTRIES), ["source", "lang", "folder"], ["path_key", "size", "error_category"], "path_key")
+    return ingest.manifest_digest(derived(spark, sf, ENTRIES), ["source"], ["path_key", "size", "error_category"], "path_key")
 
 
 @query(
