@@ -64,7 +64,17 @@ def _bm25(docs, queries):
 
 BUCKET_SQL = f"('0x' || substr(sha256(token), 1, 8))::BIGINT % {DIM}"
 SIGN_SQL = "CASE WHEN ('0x' || substr(sha256(token), 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END"
-PLACES_SQL = f"e AS (SELECT doc_id, {BUCKET_SQL} AS i, sum(tf * {SIGN_SQL})::DOUBLE AS v FROM p GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM e GROUP BY 1)"
+
+
+def places_sql(e: str, n: str, counts: str, key: str, times: str, rows: str) -> str:
+    """Places of vectors and their lengths: a row without tokens, or whose tokens all cancel out, has the first unit vector."""
+    return f"""{e}_ AS (SELECT {key}, {BUCKET_SQL} AS i, sum({times} * {SIGN_SQL})::DOUBLE AS v FROM {counts} GROUP BY 1, 2), {n}_ AS (SELECT {key}, sqrt(sum(v * v)) AS n FROM {e}_ GROUP BY 1 HAVING sum(v * v) > 0),
+  {n} AS (SELECT {key}, coalesce(n, 1) AS n FROM (SELECT {rows}) LEFT JOIN {n}_ USING ({key})),
+  {e} AS (SELECT {e}_.* FROM {e}_ JOIN {n}_ USING ({key}) UNION ALL SELECT {key}, 0, 1 FROM {n} WHERE {key} NOT IN (SELECT {key} FROM {n}_))"""
+
+
+PLACES_SQL = places_sql("e", "n", "p", "doc_id", "tf", "doc_id FROM documents")
+QUERY_PLACES_SQL = places_sql("qe", "qn", "q", "query_id", "qtf", "item_id AS query_id FROM benchmark")
 
 
 @query("hash_embedding", f"WITH {POSTINGS_SQL}, {PLACES_SQL} SELECT doc_id, i::INT AS place, round(v / n, 6) AS value FROM e JOIN n USING (doc_id) WHERE v <> 0")
@@ -131,8 +141,7 @@ def current_version_filter(spark, sf):
 
 
 HYBRID_SQL = f"""
-  WITH a AS (SELECT * FROM ({twin(ROWS)}) WHERE {ALLOWED_SQL}), {POSTINGS_SQL.replace("FROM documents", "FROM a")}, {QUERY_SQL}, {PLACES_SQL},
-  qe AS (SELECT query_id, {BUCKET_SQL} AS i, sum(qtf * {SIGN_SQL})::DOUBLE AS v FROM q GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qe GROUP BY 1),
+  WITH a AS (SELECT * FROM ({twin(ROWS)}) WHERE {ALLOWED_SQL}), {POSTINGS_SQL.replace("FROM documents", "FROM a")}, {QUERY_SQL}, {PLACES_SQL.replace("FROM documents", "FROM a")}, {QUERY_PLACES_SQL},
   dense AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM qn q CROSS JOIN (SELECT doc_id FROM a) d LEFT JOIN
     (SELECT query_id, doc_id, sum((qe.v / qn.n) * (e.v / n.n)) AS score FROM qe JOIN qn USING (query_id) JOIN e USING (i) JOIN n USING (doc_id) GROUP BY 1, 2) s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
   lexical AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM qn q CROSS JOIN (SELECT doc_id FROM a) d LEFT JOIN
