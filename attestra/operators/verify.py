@@ -37,13 +37,16 @@ def located_evidence(hits: DataFrame, notes: DataFrame, versions: DataFrame, art
 
     ``hits(query_id, chunk_id, note_id, version_id, generation, claim_ids)``, ``notes(note_id, version_id, generation,
     deleted_at, path)``, ``versions(version_id, status, content_hash)``, ``artifacts(content_hash, note_id, version_id,
-    claim_ids)``. A hit with a claim that the artifact lacks is dropped too, silently as all others.
+    claim_ids)``. A hit with a claim that the artifact lacks is dropped too, silently as all others. Artifacts of consecutive
+    claims have ``claim_runs``, an array of ``first, last``, in place of ids: they are as large as their runs then.
     """
+    runs = "claim_runs" in artifacts.columns
     live = notes.where("deleted_at is null").select("note_id", "version_id", "generation", "path")
     active = versions.where("status = 'ACTIVE'").select("version_id", "content_hash")
-    stored = artifacts.select("content_hash", "note_id", "version_id", F.col("claim_ids").alias("stored_ids"))
+    stored = artifacts.select("content_hash", "note_id", "version_id", F.col("claim_runs" if runs else "claim_ids").alias("stored"))
     rows = hits.join(live, ["note_id", "version_id", "generation"]).join(active, "version_id").join(stored, ["content_hash", "note_id", "version_id"])
-    return rows.where(F.size(F.array_except("claim_ids", "stored_ids")) == 0).select("query_id", "chunk_id", "note_id", "version_id", "path")
+    in_runs = F.forall("claim_ids", lambda x: F.exists("stored", lambda run: x.between(run["first"], run["last"])))
+    return rows.where(in_runs if runs else F.size(F.array_except("claim_ids", "stored")) == 0).select("query_id", "chunk_id", "note_id", "version_id", "path")
 
 
 def excerpt_problems(candidates: DataFrame, blocks: DataFrame) -> DataFrame:

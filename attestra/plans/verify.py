@@ -44,7 +44,7 @@ ARTIFACTS = "SELECT 'h' || cast(o_orderkey AS string) AS content_hash, o_custkey
 )
 def evidence_lineage(spark, sf):
     """Artifacts hold all claims between their least and their greatest."""
-    artifacts = derived(spark, sf, ARTIFACTS).withColumn("claim_ids", F.sequence("a", F.col("b") + 1)).drop("a", "b")
+    artifacts = derived(spark, sf, ARTIFACTS).withColumn("claim_runs", F.array(F.struct(F.col("a").alias("first"), (F.col("b") + 1).alias("last")))).drop("a", "b")
     return verify.located_evidence(derived(spark, sf, HITS), derived(spark, sf, HIT_NOTES), derived(spark, sf, HIT_VERSIONS), artifacts)
 
 
