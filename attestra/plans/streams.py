@@ -19,13 +19,12 @@ MARK_SQL = "w AS (SELECT make_timestamp((max(epoch_us(ts)) // 1000 - 7200000) *
 
 @query(
     "event_sessions",
-    f"""WITH {MARK_SQL}, g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL '30 minutes', true) AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    s AS (SELECT user_id, ts, sum(new_::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
-    e AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS events FROM s GROUP BY user_id, n)
-    SELECT e.* FROM e, w WHERE session_end <= mark""",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL '30 minutes', true) AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new_::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS events FROM s GROUP BY user_id, n""",
 )
 def event_sessions(spark, sf):
-    """Those that the watermark has closed; the others stay in the state."""
+    """All sessions: those that the watermark has closed, then those that the input's end closes."""
     return events.final_sessions(spark, sf)
 
 

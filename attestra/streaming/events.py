@@ -1,7 +1,8 @@
 """Windows, sessions, first occurrences and leases over the event stream.
 
 What is emitted in append mode is emitted once, when the watermark has passed it, and leaves the state then. What is still
-open when the input ends stays in the state and comes with later input. Rows older than the watermark are dropped.
+open when the input ends stays in the state and comes with later input; ``final_sessions`` closes it, as no more will come.
+Rows older than the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .run import finished, keyed_state, source
+from ..sources.tables import table
+from .run import finished, keyed_state, shared_folder, source
 
 LEASE_MS = 3_600_000
 #: How long after a lease's end its key is remembered.
@@ -52,8 +54,20 @@ def firsts(events: DataFrame) -> DataFrame:
     return events.withColumn("content_hash", content).dropDuplicatesWithinWatermark(["user_id", "content_hash"]).select("user_id", "content_hash")
 
 
-def final_sessions(spark: SparkSession, sf_dir: str, late: str = "2 hours") -> DataFrame:
-    out = finished(sessions(_events(spark, sf_dir, late)), "append")
+def final_sessions(spark: SparkSession, sf_dir: str, late: str = "2 hours", gap: str = "30 minutes") -> DataFrame:
+    """All sessions of the input. Its end closes those still open: one row, later than them all, moves the watermark past them.
+
+    That row's own session ends behind the watermark and is never emitted.
+    """
+    rows = source(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), "user_id")
+    spark.createDataFrame([], rows.schema).write.parquet(end := shared_folder(spark, "end"))
+
+    def close() -> None:
+        last = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL")
+        last.select((F.col("at") + F.expr(f"INTERVAL {late} {gap} 1 second")).alias("at"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id")).write.mode("append").parquet(end)
+
+    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(end)).withWatermark("at", late)
+    out = finished(sessions(both, gap), "append", close)
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "events")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +31,24 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything the stream emits until its input ends, one folder an epoch: an epoch run again overwrites its own."""
+def finished(stream: DataFrame, mode: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Everything the stream emits until its input ends, one folder an epoch: an epoch run again overwrites its own.
+
+    ``close`` adds what ends the input; the stream then goes on from where it stood.
+    """
     spark = stream.sparkSession
     base = shared_folder(spark, "stream")
 
     def write(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    def run() -> None:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if close is not None:
+        close()
+        run()
     return spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{base}/out")
 
 
