@@ -53,10 +53,12 @@ def learned(sample: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
 
 
 def _nearest_lists(centers: np.ndarray, probes: int):
+    step = max(1, BLOCK // max(1, min(probes, len(centers))))  # so that a batch that goes out has a block's rows at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 if not len(centers):
                     continue
                 scores = _matrix(batch.column("vector")) @ centers.T
@@ -145,13 +147,17 @@ class VectorIndex:
         rows = self.rows() if where is None else self.rows().where(where)
         if not len(centers):
             return queries.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        wanted = _in_lists(queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), centers, probes or len(centers))
+        if probes is None or probes >= len(centers):  # every query goes to every block; lists don't matter
+            asked = queries.select(F.lit(0).alias("list"), F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_blocks, "list int, ids array<long>, data binary")
+            whole = rows.select(F.lit(0).alias("list"), "id", "vector").mapInArrow(_blocks, "list int, ids array<long>, data binary")
+            pairs = whole.select("ids", "data").crossJoin(asked.select(F.col("ids").alias("qids"), F.col("data").alias("qdata")))
+            return ranked(pairs.mapInArrow(_best(k, digits), "query_id long, doc_id long, score double"), k, F.col("doc_id"), digits)
+        wanted = _in_lists(queries.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")), centers, probes)
         asked = kept(wanted.repartition("list").sortWithinPartitions("list").mapInArrow(_blocks, "list int, ids array<long>, data binary"), "asked")
         blocks = rows.select("list", "id", "vector").sortWithinPartitions("list").mapInArrow(_blocks, "list int, ids array<long>, data binary")
         pairs = blocks.join(asked.select("list", F.col("ids").alias("qids"), F.col("data").alias("qdata")), "list")
         return ranked(pairs.select("ids", "data", "qids", "qdata").mapInArrow(_best(k, digits), "query_id long, doc_id long, score double"), k, F.col("doc_id"), digits)
 
-
     def probes_for(self, target: float, k: int, seed: int = 3) -> int:
         """How many lists to probe so that of the exact best ``k`` a share of ``target`` is found, as measured on ``TRIED`` rows."""
         rows = self.rows().select("id", "list", "vector")

@@ -2,9 +2,11 @@
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from attestra.operators import verify
+from attestra.operators import vector_index, verify
 from attestra.streaming import events
 
 
@@ -24,3 +26,10 @@ def test_evidence_in_runs_is_that_of_ids(spark):
     by_runs = by_ids.drop("claim_ids").withColumn("claim_runs", F.expr("array(struct(1L AS first, 3L AS last), struct(7L AS first, 8L AS last))"))
     found = lambda artifacts: sorted(r.query_id for r in verify.located_evidence(hits, notes, versions, artifacts).collect())
     assert found(by_ids) == found(by_runs) == [1, 2, 7, 20, 21]
+
+
+def test_queries_go_to_their_lists_in_bounded_batches():
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(rng.normal(size=(3000, 4))), pa.list_(pa.float64()))], ["id", "vector"])
+    given = list(vector_index._nearest_lists(rng.normal(size=(256, 4)), 256)([batch]))
+    assert max(b.num_rows for b in given) <= vector_index.BLOCK and sum(b.num_rows for b in given) == 3000 * 256
