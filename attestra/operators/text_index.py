@@ -8,6 +8,11 @@ block: what its best document can score. A search drops the blocks that can't re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +21,8 @@ from ..sources.versioned import Tables
 from ..streaming.run import kept
 from .retrieve import K1, B, ranked
 
-#: Postings of a block; documents whose postings of one token are sorted together, so that a token in every document is dealt out.
-BLOCK, SHARD = 128, 8192
+#: Postings of a block, and postings that a task gathers or sorts at once, so that a token in every document is dealt out.
+BLOCK, SHARD = 128, 1 << 20
 
 
 def _documents(rows: DataFrame, segment: int) -> DataFrame:
@@ -26,14 +31,104 @@ def _documents(rows: DataFrame, segment: int) -> DataFrame:
     return rows.withColumn("length", F.coalesce(F.get("counts", F.lit(0))["length"], F.lit(0))).withColumn("segment", F.lit(segment))
 
 
-def _postings(documents: DataFrame, shards: int) -> DataFrame:
-    """``token, segment, ids, tfs, lengths, most_tf, least_length``: blocks of each token's postings, the heaviest first."""
-    each = documents.select("segment", "chunk_id", F.inline("counts"))
-    shard = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard")
-    sorted_ = each.groupBy("token", "segment", shard).agg(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("order"), "length", F.col("chunk_id").alias("id"), "tf"))).alias("all"))
-    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    block = sorted_.select("token", "segment", F.explode(F.transform(starts, lambda i: F.slice("all", i, F.lit(BLOCK)))).alias("b"))
-    return block.select("token", "segment", F.col("b.id").alias("ids"), F.col("b.tf").alias("tfs"), F.col("b.length").alias("lengths"), F.array_max("b.tf").alias("most_tf"), F.array_min("b.length").alias("least_length"))
+def _runs(tokens: pa.Array, ids: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, most: int | None) -> pa.RecordBatch:
+    """Postings as a row a token, or rows of ``most`` postings of it; the heaviest first."""
+    coded = tokens.dictionary_encode()
+    names = coded.dictionary.take(order := pc.sort_indices(coded.dictionary))  # tokens stay in their order
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    code = place[coded.indices.to_numpy(zero_copy_only=False)]
+    by = np.lexsort((ids, lengths, -tfs.astype(np.int64), code))
+    code, ids, tfs, lengths = code[by], ids[by], tfs[by], lengths[by]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    if most:
+        inside = np.arange(len(code)) - first[np.searchsorted(first, np.arange(len(code)), "right") - 1]
+        first = np.flatnonzero(inside % most == 0)
+    offsets = pa.array(np.append(first, len(code)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, tfs, lengths)]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(code[first])), *lists], ["token", "ids", "tfs", "lengths"])
+
+
+def _packed(block: int, at_once: int):
+    """Rows with counts -> their postings by token; a token that fills a block here has a salt, so that its postings are dealt out."""
+
+    def out(parts: list[tuple]) -> pa.RecordBatch:
+        tokens = pa.concat_arrays([p[0] for p in parts])
+        rows = _runs(tokens, *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)), None)
+        full = pc.list_value_length(rows.column("ids")).to_numpy() >= block
+        salt = np.where(full, rows.column("ids").flatten().to_numpy()[rows.column("ids").offsets.to_numpy()[:-1]] + 1, 0)
+        return rows.append_column("salt", pa.array(salt))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            counts = batch.column("counts")
+            flat, sizes = counts.flatten(), pc.list_value_length(counts).to_numpy(zero_copy_only=False)
+            if not len(flat):
+                continue
+            number = lambda name: flat.field(name).to_numpy(zero_copy_only=False).astype(np.int32)
+            parts.append((flat.field("token"), np.repeat(batch.column("chunk_id").to_numpy(zero_copy_only=False), sizes), number("tf"), number("length")))
+            held += len(flat)
+            if held >= at_once:
+                yield out(parts)
+                parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return run
+
+
+def _cut(block: int, at_once: int, segment: int):
+    """Runs sorted by token -> blocks. What belongs to a batch's last token waits for the next batch, up to a bound."""
+
+    def taken(runs: pa.RecordBatch) -> tuple:
+        sizes = pc.list_value_length(runs.column("ids")).to_numpy(zero_copy_only=False)
+        return (runs.column("token").take(pa.array(np.repeat(np.arange(runs.num_rows), sizes))), *(runs.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "tfs", "lengths")))
+
+    def out(parts: list[tuple]) -> pa.RecordBatch:
+        rows = _runs(pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)), block)
+        starts = rows.column("ids").offsets.to_numpy()[:-1]
+        most, least = rows.column("tfs").values.to_numpy()[starts], np.minimum.reduceat(rows.column("lengths").values.to_numpy(), starts)
+        lists = [rows.column("ids"), *(rows.column(c).cast(pa.list_(pa.int64())) for c in ("tfs", "lengths"))]
+        columns = [rows.column("token"), pa.array(np.full(rows.num_rows, segment, np.int32)), *lists, pa.array(most.astype(np.int64)), pa.array(least.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "segment", "ids", "tfs", "lengths", "most_tf", "least_length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("token")
+            last = pc.index(pc.equal(tokens, tokens[-1]), True).as_py()  # the runs of the last token begin here
+            if parts and (last or parts[-1][0][-1] != tokens[0]):
+                parts.append(taken(batch.slice(0, last))) if last else None
+                yield out(parts)
+                parts, held = [], 0
+            elif last:
+                yield out([taken(batch.slice(0, last))])
+            parts.append(taken(batch.slice(last)))
+            held += len(parts[-1][0])
+            if held >= at_once:
+                yield out(parts)
+                parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return run
+
+
+def _postings(documents: DataFrame, segment: int) -> DataFrame:
+    """``token, segment, ids, tfs, lengths, most_tf, least_length``: blocks of each token's postings, the heaviest first.
+
+    Tasks gather postings by token before the one shuffle, so a token's name travels once for many of its postings.
+    """
+    packed = documents.select("chunk_id", "counts").mapInArrow(_packed(BLOCK, SHARD), "token string, ids array<long>, tfs array<int>, lengths array<int>, salt long")
+    met = packed.repartition("token", "salt").drop("salt").sortWithinPartitions("token")
+    return met.mapInArrow(_cut(BLOCK, SHARD, segment), "token string, segment int, ids array<long>, tfs array<long>, lengths array<long>, most_tf long, least_length long")
+
+
+def _terms_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.sum(F.size("ids")).alias("df"))
 
 
 def _term_changes(documents: DataFrame, sign: int) -> DataFrame:
@@ -72,17 +167,18 @@ class TextIndex:
         with self.store.transaction(operation) as t:
             segment, first = t.base + 1, "documents" not in t.tables
             if new is not None:
-                t.append("segment", _documents(new, segment))
-                rows = self.store._read(t.tables.pop("segment"))
+                t.append("documents", _documents(new, segment))
+                rows = self.store._read(t.tables["documents"][-1:])
             else:
                 rows = self.documents().limit(0)
             leaving = rows.select("chunk_id") if gone is None else gone.select(F.col("chunk_id").cast("long").alias("chunk_id")).unionByName(rows.select("chunk_id"))
             old = rows.limit(0) if first else kept(self.documents(t.base).join(leaving, "chunk_id", "left_semi"), "leaving")
-            t.append("documents", rows)
+            if new is None:
+                t.append("documents", rows)
             t.append("dead", old.select("chunk_id", "segment"))
-            shards = -(-rows.count() // SHARD) or 1
-            t.append("postings", _postings(rows, shards).repartitionByRange("token").sortWithinPartitions("token"))
-            t.append("terms", _term_changes(rows, 1).unionByName(_term_changes(old, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"))
+            t.append("postings", _postings(rows, segment))
+            entered = _terms_of(self.store._read(t.tables["postings"][-1:]))
+            t.append("terms", entered.unionByName(_term_changes(old, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"))
             t.append("totals", _totals(rows, 1).unionByName(_totals(old, -1)))
             return t.commit()
 
@@ -100,8 +196,8 @@ class TextIndex:
             t.write("documents", rows)
             rows = t.read("documents")
             t.write("dead", rows.limit(0).select("chunk_id", "segment"))
-            t.write("postings", _postings(rows, -(-rows.count() // SHARD) or 1).repartitionByRange("token").sortWithinPartitions("token"))
-            t.write("terms", _term_changes(rows, 1))
+            t.write("postings", _postings(rows, t.base + 1))
+            t.write("terms", _terms_of(t.read("postings")))
             t.write("totals", _totals(rows, 1))
             return t.commit()
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from attestra.operators import vector_index, verify
+from attestra.operators import text_index, vector_index, verify
 from attestra.streaming import events
 
 
@@ -33,3 +33,18 @@ def test_queries_go_to_their_lists_in_bounded_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(rng.normal(size=(3000, 4))), pa.list_(pa.float64()))], ["id", "vector"])
     given = list(vector_index._nearest_lists(rng.normal(size=(256, 4)), 256)([batch]))
     assert max(b.num_rows for b in given) <= vector_index.BLOCK and sum(b.num_rows for b in given) == 3000 * 256
+
+
+def test_a_task_gathers_postings_by_token():
+    """A token's name leaves a task once for all documents there, its blocks are the heaviest first, and runs over several batches are one."""
+    kind = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64()), ("length", pa.int64())]))
+    rows = [[{"token": "all", "tf": 1 + i % 7, "length": 50 + i}, {"token": f"t{i % 40}", "tf": 2, "length": 50 + i}] for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 100)), pa.array(rows[a : a + 100], kind)], ["chunk_id", "counts"]) for a in (0, 100, 200)]
+    (packed,) = text_index._packed(128, 1 << 20)(batches)
+    assert packed.num_rows == 41 and packed.column("token").to_pylist() == sorted(packed.column("token").to_pylist())
+    runs = packed.drop_columns("salt")
+    blocks = [r for b in text_index._cut(128, 1 << 20, 1)([runs.slice(i, 1) for i in range(41)]) for r in b.to_pylist()]
+    hot = [b for b in blocks if b["token"] == "all"]
+    assert [len(b["ids"]) for b in hot] == [128, 128, 44] and sorted(i for b in hot for i in b["ids"]) == list(range(300))
+    assert [t for b in hot for t in b["tfs"]] == sorted((1 + i % 7 for i in range(300)), reverse=True)
+    assert all(b["most_tf"] == max(b["tfs"]) and b["least_length"] == min(b["lengths"]) for b in blocks) and len(blocks) == 43
