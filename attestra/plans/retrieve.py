@@ -53,13 +53,13 @@ BM25_SQL = f"""{POSTINGS_SQL}, {QUERY_SQL}, l AS (SELECT doc_id, sum(tf) AS leng
 
 @query("bm25_topk", f"WITH {BM25_SQL}, {ranked_sql('r', 'b', TOP)} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r")
 def bm25_topk(spark, sf):
-    docs = _documents(spark, sf)
-    return retrieve.ranked(_bm25(docs, _queries(spark, sf)), TOP, F.col("doc_id")).withColumn("score", F.round("score", 6))
+    docs = kept(retrieve.counted(_documents(spark, sf)), "counts")
+    return _bm25(docs, _queries(spark, sf), TOP).withColumn("score", F.round("score", 6))
 
 
-def _bm25(docs, queries):
+def _bm25(docs, queries, k):
     weights = kept(retrieve.bm25_weights(docs, queries), "weights")  # as long as the queries; written, its size is known
-    return retrieve.bm25_scores(docs, weights)
+    return retrieve.best_bm25(docs, weights, k)
 
 
 BUCKET_SQL = f"('0x' || substr(sha256(token), 1, 8))::BIGINT % {DIM}"
@@ -164,13 +164,13 @@ def _dense(docs, queries):
 
 
 def _candidates(spark, sf):
-    """Filter, rank both ways, fuse, cut; then what isn't current goes. Gives the overlap scores too."""
+    """Filter, rank both ways, fuse, cut; then what isn't current goes. Gives what was searched and the queries' tokens too."""
     docs, queries, terms = _searched(spark, sf)
-    scores = kept(retrieve.overlap_scores(retrieve.term_counts(docs, "doc_id"), terms), "overlap")
+    scores = kept(retrieve.best_overlap(docs, terms, CANDIDATES), "overlap")
     lexical = retrieve.with_unscored(scores, docs, queries, CANDIDATES)
     best = retrieve.fused([_dense(docs, queries), retrieve.ranked(lexical, CANDIDATES, F.col("doc_id"))], CANDIDATES)
     named = best.join(_allowed(spark, sf).select("doc_id", "note_id", "version_id", "generation"), "doc_id")
-    return retrieve.current_only(named, derived(spark, sf, POINTERS)).select("query_id", "doc_id", "score"), scores
+    return retrieve.current_only(named, derived(spark, sf, POINTERS)).select("query_id", "doc_id", "score"), docs, terms
 
 
 @query("hybrid_retrieval", HYBRID_SQL + ", " + ranked_sql("t", "k", TOP, 12) + " SELECT query_id, doc_id, round(score, 9) AS score, rank::INT AS rank FROM t")
@@ -191,7 +191,7 @@ def hybrid_retrieval(spark, sf):
 )
 def hybrid_bm25(spark, sf):
     docs, queries, terms = _searched(spark, sf)
-    lexical = retrieve.ranked(_bm25(docs, terms), CANDIDATES, F.col("doc_id"))
+    lexical = _bm25(docs, terms, CANDIDATES)
     return retrieve.degraded({"dense": _dense(docs, queries), "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
 
 
@@ -213,8 +213,9 @@ def lexical_only(spark, sf):
     SELECT query_id, doc_id, overlap, rank::INT AS rank FROM t WHERE rank <= 5""".replace("k.score, coalesce", "k.score AS score, coalesce"),
 )
 def rerank(spark, sf):
-    hits, overlap = _candidates(spark, sf)
-    return retrieve.reranked(hits, overlap, TOP).select("query_id", "doc_id", "overlap", "rank")
+    hits, docs, terms = _candidates(spark, sf)
+    hits = kept(hits, "hits")
+    return retrieve.reranked(hits, retrieve.overlap_of(hits, docs, terms), TOP).select("query_id", "doc_id", "overlap", "rank")
 
 
 #: A reranker that turns every order round, and for some queries leaves one out, gives one twice, makes one up or says nothing.
