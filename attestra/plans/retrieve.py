@@ -42,7 +42,7 @@ def term_counts(spark, sf):
 
 @query("overlap_topk", f"WITH {OVERLAP_SQL}, {ranked_sql('r', 'o', TOP)} SELECT query_id, doc_id, score, rank::INT AS rank FROM r")
 def overlap_topk(spark, sf):
-    return retrieve.ranked(retrieve.overlap_scores(_postings(spark, sf), _queries(spark, sf)), TOP, F.col("doc_id"))
+    return retrieve.best_overlap(_documents(spark, sf), _queries(spark, sf), TOP)
 
 
 BM25_SQL = f"""{POSTINGS_SQL}, {QUERY_SQL}, l AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1),
