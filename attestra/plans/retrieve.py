@@ -201,7 +201,7 @@ def hybrid_bm25(spark, sf):
 )
 def lexical_only(spark, sf):
     """What retrieval gives where no vectors are to be had."""
-    lexical = retrieve.ranked(retrieve.overlap_scores(_postings(spark, sf), _queries(spark, sf)), CANDIDATES, F.col("doc_id"))
+    lexical = retrieve.best_overlap(_documents(spark, sf), _queries(spark, sf), CANDIDATES)
     return retrieve.degraded({"dense": None, "lexical": lexical}, TOP).withColumn("score", F.round("score", 9))
 
 

@@ -61,7 +61,7 @@ def test_overlap_of_given_pairs(spark, texts):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.join(pairs, ["query_id", "doc_id"]).select("query_id", "doc_id", "score").collect()))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "overlap_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "overlap_topk", "lexical_only"])
 def test_pairs_are_not_shuffled(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
