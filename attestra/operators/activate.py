@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.versioned import Tables
+from ..streaming.run import kept
 
 
 class State(NamedTuple):
@@ -43,7 +44,8 @@ def activation_outcomes(state: State, requests: DataFrame) -> DataFrame:
     generation_revision)``. NOT_FOUND when a row is missing, STALE when a revision has moved on or the note is deleted,
     INVALID when statuses or links don't fit, MIGRATION_REQUIRED when the generation is still being staged while live
     notes are on the active one. A row changes once: of requests that want the same one, the smallest id may have it and
-    the others are CONFLICT, to be asked again. What is left is ACTIVATED. Null ids match nothing.
+    the others are CONFLICT, to be asked again. What is left is ACTIVATED. Null ids match nothing. The joined tables serve the
+    outcomes and the search for conflicts, so they are written once.
     """
     c = F.col
     for name in ("run", "note", "version", "job", "change", "generation"):
@@ -70,6 +72,7 @@ def activation_outcomes(state: State, requests: DataFrame) -> DataFrame:
     outcome = F.when(~found, "NOT_FOUND").when(~fresh, "STALE").when(~F.coalesce(fits, F.lit(False)), "INVALID").when(blocked, "MIGRATION_REQUIRED").otherwise("READY")
     ids = {f"{n}_id": c(f"{n}_{n}_id") for n in ("run", "note", "version", "job", "change", "generation")}
     rows = rows.select("request_id", outcome.alias("outcome"), *(v.alias(k) for k, v in ids.items()), F.when(replaces, c("old_version_id")).alias("old_version_id"), F.when(flips, c("generation_generation_id")).alias("flips"))
+    rows = kept(rows, "requests")
 
     ready = rows.where("outcome = 'READY'")
     wants = F.array(*(F.struct(F.lit(n).alias("kind"), c(k).cast("string").alias("id")) for n, k in (("run", "run_id"), ("note", "note_id"), ("version", "version_id"), ("version", "old_version_id"), ("job", "job_id"), ("change", "change_id"), ("generation", "flips"))))
@@ -90,8 +93,8 @@ def _changed(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
 
 
 def activated(state: State, outcomes: DataFrame) -> State:
-    """The six tables after the requests that came through; all other rows are as they were."""
-    done = outcomes.where("outcome = 'ACTIVATED'")
+    """The six tables after the requests that came through, which are written once for all six; all other rows are as they were."""
+    done = kept(outcomes.where("outcome = 'ACTIVATED'"), "activated")
     new = lambda key, status: done.select(key, F.lit(status).alias("status"))
     superseded = done.where("old_version_id IS NOT NULL").select(F.col("old_version_id").alias("version_id"), F.lit("SUPERSEDED").alias("status"))
     flips = done.where("flips IS NOT NULL").select(F.col("flips").alias("generation_id"), F.lit("ACTIVE").alias("status"))

@@ -153,3 +153,11 @@ def test_canonical_json_is_that_of_json_dumps(spark):
     assert '"s":{"p":2}' in sparse and '"a":null' in sparse
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(F.struct("x").alias("v"))
     assert [r.j for r in odd.select(canonical.canonical_json(odd, "v").alias("j")).collect()] == [None, None, '{"x":null}']
+
+
+def test_outcomes_are_worked_out_once_for_all_tables(spark):
+    s = state(spark)
+    out = activate.activation_outcomes(s, asked(spark))
+    for name, rows in zip(State._fields, activate.activated(s, out)):
+        joins = rows._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        assert joins <= (3 if name == "generations" else 1), name  # the table with what came through, no joins of the outcomes again
