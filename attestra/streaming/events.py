@@ -96,7 +96,7 @@ class Leases(StatefulProcessor):
         ms, ids = (np.concatenate(x) for x in zip(*both))
         order = np.lexsort([ids, ms])
         ms, ids = ms[order], ids[order]
-        until, attempt, over = self.lease.get() if self.lease.exists() else (None, 0, True)
+        until, attempt, over = self.lease.get() or (None, 0, True)  # one call to the state; each is a trip to the engine
         timer = until if until is None or not over else until + FORGET_MS  # the one that is set
         outcomes, attempts, ended = np.full(len(ms), "BUSY", object), np.zeros(len(ms), np.int64), []
         at = 0
@@ -118,9 +118,7 @@ class Leases(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(until)
         self.lease.update((until, attempt, over))
-        yield pd.DataFrame({"user_id": key[0], "event_id": ids, "ms": ms, "outcome": outcomes, "attempt": attempts})
-        if ended:
-            yield _expired(key[0], ended)
+        yield _outcomes(key[0], ids, ms, outcomes, attempts, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until, attempt, over = self.lease.get()
@@ -129,15 +127,18 @@ class Leases(StatefulProcessor):
             return
         self.lease.update((until, attempt, True))
         self.handle.registerTimer(until + FORGET_MS)
-        yield _expired(key[0], [(until, attempt)])
+        none = np.zeros(0, np.int64)
+        yield _outcomes(key[0], none, none, none.astype(object), none, [(until, attempt)])
 
     def close(self) -> None:
         pass
 
 
-def _expired(key: int, ended: list[tuple[int, int]]) -> pd.DataFrame:
-    until, attempt = zip(*ended)
-    return pd.DataFrame({"user_id": key, "event_id": pd.array([None] * len(ended), "Int64"), "ms": until, "outcome": "EXPIRED", "attempt": attempt})
+def _outcomes(key: int, ids: np.ndarray, ms: np.ndarray, outcomes: np.ndarray, attempts: np.ndarray, ended: list[tuple[int, int]]) -> pd.DataFrame:
+    """What became of events, then the leases that ended, which have no event: one frame a key, as each costs more than its rows."""
+    over = np.array(ended, np.int64).reshape(-1, 2)
+    event = pd.arrays.IntegerArray(np.append(ids, np.zeros(len(over), np.int64)), np.repeat([False, True], [len(ids), len(over)]))
+    return pd.DataFrame({"user_id": key, "event_id": event, "ms": np.append(ms, over[:, 0]), "outcome": np.append(outcomes, np.full(len(over), "EXPIRED", object)), "attempt": np.append(attempts, over[:, 1])})
 
 
 def leases(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,26 @@ def test_copies_go_until_the_watermark_has_passed_them(spark, tmp_path):
     rows, state = run(spark, tmp_path, batches, events.firsts)
     assert sorted(r[1] for r in rows) == [1, 1, 1, 2, 2]  # user 1 may send the first content again two days later
     assert state[-1] <= 3
+
+
+def test_a_key_costs_one_frame_and_one_read_of_its_state():
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def exists(self):
+            calls.append("exists")
+            return False
+
+        def update(self, value):
+            calls.append("update")
+
+    lease = events.Leases()
+    lease.lease, lease.handle = State(), type("Handle", (), {"registerTimer": lambda self, at: calls.append(at)})()
+    frames = list(lease.handleInputRows((7,), iter([pd.DataFrame({"ms": [0, 10, events.LEASE_MS], "event_id": [1, 2, 3]})]), None))
+    assert len(frames) == 1 and calls == ["get", 2 * events.LEASE_MS, "update"]
+    assert frames[0].astype(object).where(frames[0].notna(), None).values.tolist() == [
+        [7, 1, 0, "ACQUIRED", 1], [7, 2, 10, "BUSY", 1], [7, 3, events.LEASE_MS, "TAKEN_OVER", 2], [7, None, events.LEASE_MS, "EXPIRED", 1]
+    ]
