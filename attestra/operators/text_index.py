@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import token_counts
 from ..sources.versioned import Tables
 from ..streaming.run import kept
-from .retrieve import K1, B, ranked
+from .retrieve import K1, B, _doc_blocks, best_of_blocks, ranked
 
 #: Postings of a block, and postings that a task gathers or sorts at once, so that a token in every document is dealt out.
 BLOCK, SHARD = 128, 1 << 20
@@ -127,12 +127,65 @@ def _postings(documents: DataFrame, segment: int) -> DataFrame:
     return met.mapInArrow(_cut(BLOCK, SHARD, segment), "token string, segment int, ids array<long>, tfs array<long>, lengths array<long>, most_tf long, least_length long")
 
 
+def _dealt(buckets: int, at_once: int):
+    """Blocks of postings, and rows that are dead as blocks without a token -> what a task has gathered for each bucket of documents."""
+
+    def out(parts: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(parts).combine_chunks()
+        ids = rows.column("id").to_numpy()
+        bucket = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+        code = rows.column("token").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        by = np.lexsort((ids, code, bucket))
+        rows, ids, bucket = rows.take(pa.array(by)).combine_chunks(), ids[by], bucket[by].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sealed = []
+        for a, b in zip(first, [*first[1:], len(ids)], strict=True):
+            part = rows.slice(a, b - a)
+            part = part.set_column(0, "token", part.column("token").dictionary_encode()).set_column(2, "id", pa.array(np.diff(ids[a:b], prepend=0)))
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(part)
+            sealed.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(sealed, pa.binary())], ["bucket", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            tfs, lengths = (batch.column(x).flatten().cast(pa.int32()) for x in ("tfs", "lengths"))
+            parts.append(pa.table([batch.column("token").take(of), batch.column("segment").take(of), batch.column("ids").flatten(), tfs, lengths], ["token", "segment", "id", "tf", "length"]))
+            held += len(of)
+            if held >= at_once:
+                yield out(parts)
+                parts, held = [], 0
+        if held:
+            yield out(parts)
+
+    return run
+
+
+def _met(parts: pa.Table) -> pa.Table:
+    """All that was gathered for a bucket of documents -> blocks of its documents with their counts, without postings of dead rows."""
+    opened = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in parts.column("part")]
+    ids = np.concatenate([np.cumsum(p.column("id").to_numpy()) for p in opened])
+    token = pa.concat_arrays([x.cast(pa.string()) for p in opened for x in p.column("token").chunks])
+    segment, tf, length = (np.concatenate([p.column(x).to_numpy() for p in opened]) for x in ("segment", "tf", "length"))
+    dead = token.is_null().to_numpy(zero_copy_only=False)
+    by = np.lexsort((~dead, segment, ids))  # what is dead stands before its postings
+    first = np.concatenate([[True], (ids[by][1:] != ids[by][:-1]) | (segment[by][1:] != segment[by][:-1])])
+    by = by[~dead[by][np.flatnonzero(first)][np.cumsum(first) - 1]]
+    starts = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]])[: len(by)])
+    flat = pa.StructArray.from_arrays([token.take(pa.array(by)), pa.array(tf[by]), pa.array(length[by])], ["token", "tf", "length"])
+    docs = pa.RecordBatch.from_arrays([pa.array(ids[by][starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(by)).astype(np.int32)), flat)], ["doc_id", "counts"])
+    return pa.Table.from_batches(_doc_blocks([docs]), pa.schema([("docs", pa.binary())]))
+
+
 def _terms_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.sum(F.size("ids")).alias("df"))
 
 
 def _term_changes(documents: DataFrame, sign: int) -> DataFrame:
-    tokens = documents.select(F.explode("counts.token").alias("token"))
+    tokens = documents.where("length > 0").select(F.explode(F.split("tokens", " ")).alias("token"))
     return tokens.groupBy("token").agg((F.count("*") * sign).alias("df"))
 
 
@@ -171,15 +224,18 @@ class TextIndex:
                 rows = self.store._read(t.tables["documents"][-1:])
             else:
                 rows = self.documents().limit(0)
-            leaving = rows.select("chunk_id") if gone is None else gone.select(F.col("chunk_id").cast("long").alias("chunk_id")).unionByName(rows.select("chunk_id"))
-            old = rows.limit(0) if first else kept(self.documents(t.base).join(leaving, "chunk_id", "left_semi"), "leaving")
+            held = rows.limit(0) if first else self.store.read("documents", t.base)
+            held = held.select("chunk_id", "segment", "length", F.array_join("counts.token", " ").alias("tokens"))  # what it takes to count a row out; a token has no blank
+            if not first:
+                leaving = kept(rows.select("chunk_id") if gone is None else gone.select(F.col("chunk_id").cast("long").alias("chunk_id")), "leaving")
+                held = kept(held.join(leaving, "chunk_id", "left_semi").join(self.store.read("dead", t.base), ["chunk_id", "segment"], "left_anti"), "old")
             if new is None:
                 t.append("documents", rows)
-            t.append("dead", old.select("chunk_id", "segment"))
+            t.append("dead", held.select("chunk_id", "segment"))
             t.append("postings", _postings(rows, segment))
             entered = _terms_of(self.store._read(t.tables["postings"][-1:]))
-            t.append("terms", entered.unionByName(_term_changes(old, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"))
-            t.append("totals", _totals(rows, 1).unionByName(_totals(old, -1)))
+            t.append("terms", entered.unionByName(_term_changes(held, -1)).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0"))
+            t.append("totals", _totals(rows, 1).unionByName(_totals(held, -1)))
             return t.commit()
 
     def upsert(self, rows: DataFrame, operation: str) -> int:
@@ -213,23 +269,31 @@ class TextIndex:
 
         A floor for a query's ``k``-th score comes from the heaviest block of each of its tokens: what documents score by
         these blocks alone is no more than they score in all. A block goes if its best document, were it the best in all
-        other tokens too, stays below the floor.
+        other tokens too, stays below the floor of every query with its token. What is left is dealt out by document, each
+        posting once for all queries, and scored where all of a document's postings are.
         """
         c = F.col
-        impact = lambda tf, length: c("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / c("mean")))
-        met = self.store.read("postings").join(self.weights(queries), "token").withColumn("most", impact(c("most_tf"), c("least_length")))
-        met = kept(met, "blocks")
-        dead = self.store.read("dead").withColumnsRenamed({"chunk_id": "id", "segment": "at"})
-
-        def scored(blocks: DataFrame) -> DataFrame:
-            rows = blocks.select("query_id", "segment", "weight", "mean", F.inline(F.arrays_zip(c("ids").alias("id"), c("tfs").alias("tf"), c("lengths").alias("length"))))
-            rows = rows.join(dead, (rows["id"] == dead["id"]) & (c("segment") == c("at")), "left_anti")
-            return rows.groupBy("query_id", c("id").alias("doc_id")).agg(F.sum(impact(c("tf"), c("length"))).alias("score"))
-
-        tops = met.groupBy("query_id", "token").agg(F.max("most").alias("top"), F.max_by(F.struct("segment", "weight", "mean", "ids", "tfs", "lengths"), "most").alias("b"))
-        tops = kept(tops, "tops")  # a row for each token of each query
-        floor = ranked(scored(tops.select("query_id", "b.*")), k, c("doc_id"), 12).where(c("rank") == k).select("query_id", c("score").alias("floor"))
-        bound = tops.groupBy("query_id").agg(F.sum("top").alias("all")).join(floor, "query_id", "left")
-        others = tops.select("query_id", "token", "top").join(bound, "query_id")
-        open_ = met.join(others, ["query_id", "token"]).where(c("floor").isNull() | (c("most") + c("all") - c("top") >= c("floor") * (1 - 1e-9) - 1e-9))
-        return ranked(scored(open_), k, c("doc_id"), digits)
+        share = lambda tf, length: tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / c("mean")))
+        weights = kept(self.weights(queries), "weights")
+        asked = weights.select("token", "mean").distinct()
+        dead = self.store.read("dead")
+
+        met = self.store.read("postings").join(asked, "token").withColumn("most", share(c("most_tf"), c("least_length")))
+        tops = met.groupBy("token", "mean").agg(F.max("most").alias("top"), F.sum(F.size("ids")).alias("postings"), F.max_by(F.struct("segment", "ids", "tfs", "lengths"), "most").alias("b"))
+        tops = kept(tops, "tops")  # a row for each token asked for
+        rows = tops.select("token", "mean", "b.segment", F.inline(F.arrays_zip(c("b.ids").alias("chunk_id"), c("b.tfs").alias("tf"), c("b.lengths").alias("length"))))
+        rows = rows.join(dead, ["chunk_id", "segment"], "left_anti").select("token", c("chunk_id").alias("doc_id"), share(c("tf"), c("length")).alias("share"))
+        sums = rows.join(weights, "token").groupBy("query_id", "doc_id").agg(F.sum(c("weight") * c("share")).alias("score"))
+        floor = ranked(sums, k, c("doc_id"), 12).where(c("rank") == k).select("query_id", c("score").alias("floor"))
+        own = weights.drop("mean").join(tops.select("token", "mean", "top"), "token").withColumn("most", c("weight") * c("top"))
+        bound = own.groupBy("query_id").agg(F.sum("most").alias("all")).join(floor, "query_id", "left")
+        least = F.when(c("floor").isNull(), 0.0).otherwise((c("floor") * (1 - 1e-9) - 1e-9 - c("all") + c("most")) / c("weight"))
+        least = kept(own.join(bound, "query_id").groupBy("token", "mean").agg(F.min(least).alias("least")), "least")
+
+        open_ = self.store.read("postings").join(least, "token").where(share(c("most_tf"), c("least_length")) >= c("least")).select("token", "segment", "ids", "tfs", "lengths")
+        none = F.array(F.lit(0).cast("long"))
+        gone = dead.select(F.lit(None).cast("string").alias("token"), "segment", F.array("chunk_id").alias("ids"), none.alias("tfs"), none.alias("lengths"))
+        buckets = (tops.agg(F.sum("postings")).first()[0] or 0) // SHARD + 1
+        dealt = open_.unionByName(gone).mapInArrow(_dealt(buckets, SHARD), "bucket long, part binary")
+        blocks = dealt.groupBy("bucket").applyInArrow(_met, "docs binary")
+        return best_of_blocks(blocks, "long", weights, k, digits)
